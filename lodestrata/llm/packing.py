@@ -14,12 +14,14 @@ from collections.abc import Iterator
 from functools import partial
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import transducer
-from lodestrata.llm.common import materialise
+from lodestrata.llm.common import materialise, small_batches
 
 VOCABULARY, END, SIZE = "word_bpe_49k.json", 2, 4096
 OPEN, LEAST, TOGETHER = 32, 8, 32
@@ -71,24 +73,29 @@ class Windows:
                 self.close(w[1])
 
 
-def _pack(batches: Iterator[pd.DataFrame], vocabulary: str, end: int, size: int, limit: int, least: int) -> Iterator[pd.DataFrame]:
+NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+
+
+def _pack(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, size: int, limit: int, least: int) -> Iterator[pa.RecordBatch]:
     machine, part = transducer.load(vocabulary), TaskContext.get().partitionId()
     windows = Windows(size, limit, least, part << 32)
-    tail = end.to_bytes(4, "little")
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    tail, kind = end.to_bytes(4, "little"), pa.int64()
 
-    def out(rows: list[tuple], group: int | None) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=names).assign(merge_group=pd.array([group] * len(rows), dtype="Int64"))
+    def out(group: int | None) -> pa.RecordBatch:
+        rows, windows.rows = windows.rows, []
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(NAMES)
+        kinds = [kind, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([group] * len(rows), pa.int64())], [*NAMES, "merge_group"])
 
     for batch in batches:
-        texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-        for doc_id, ids in zip(batch["doc_id"], machine.emit(texts), strict=True):
-            windows.add(None if pd.isna(doc_id) else doc_id, ids + tail)
-        yield out(windows.rows, None)
-        windows.rows = []
+        kind = batch["doc_id"].type
+        for doc_id, ids in zip(batch["doc_id"].to_pylist(), machine.emit(pc.fill_null(batch["text"], "")), strict=True):
+            windows.add(doc_id, ids + tail)
+        yield out(None)
     for _, pieces in windows.open:
         windows.close(pieces)
-    yield out(windows.rows, part // TOGETHER)
+    yield out(part // TOGETHER)
 
 
 def _merge(batch: pd.DataFrame, size: int) -> pd.DataFrame:
@@ -109,7 +116,7 @@ def _merge(batch: pd.DataFrame, size: int) -> pd.DataFrame:
             at, used, left = at + take, used + take, left - take
             if used == target and left:
                 seq, target, used = seq + 1, room(left), 0
-    return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+    return pd.DataFrame(rows, columns=NAMES)
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, size: int = SIZE, limit: int = OPEN, least: int = LEAST) -> DataFrame:
@@ -120,8 +127,9 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, size: in
     row by row. Partitions pack on their own, with ``limit`` windows in memory. An empty
     table gives no rows. Of further columns nothing is read.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    first = docs.select("doc_id", "text").mapInPandas(
+    first = docs.select("doc_id", "text").mapInArrow(
         partial(_pack, vocabulary=vocabulary, end=end, size=size, limit=limit, least=least), f"doc_id {kind}, {COLUMNS}, merge_group long"
     )
     first = materialise(first, "packed")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import packing, pii, secrets, token_counts
+from lodestrata.llm import packing, pfair, pii, secrets, token_counts, warc, weighted_sampling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,3 +42,24 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_packing"] = op5_packing
+
+
+def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair.digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_pfair_mix"] = op8_pfair_mix
+
+
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(_table(spark, sf_dir, "pages"))
+
+
+QUERIES["op7_warc_derivatives"] = op7_warc_derivatives
+
+
+def op4_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_weighted_fingerprints"] = op4_weighted_fingerprints

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialise
+from lodestrata.llm.common import materialise, small_batches
 
 # The patterns of the base kinds.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -85,6 +85,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     repeated rows; a null doc_id is kept, with strong spans only. Of the other columns
     nothing is read.
     """
+    small_batches(docs.sparkSession)
     source = docs.select("doc_id", "text")
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key string, parts array<{PART}>"
     parts = materialise(source.mapInPandas(_extract, schema), "secret-parts")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial, reduce
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import transducer
+from lodestrata.llm.common import small_batches
 
 VOCABULARY = "word_bpe_49k.json"
 #: Code points of a piece; longer texts are mapped piece by piece.
@@ -17,27 +19,31 @@ PIECE = 65_536
 LIMIT = 2048
 
 
-def _count(batches: Iterator[pd.DataFrame], vocabulary: str) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
     machine = transducer.load(vocabulary)
     for batch in batches:
-        alone = (batch["of"] == 1).tolist()
-        done = iter(machine.emit([p for p, a in zip(batch["piece"], alone, strict=True) if a]))
-        cut = iter(machine.chunk_maps([p for p, a in zip(batch["piece"], alone, strict=True) if not a]))
-        maps = [("", len(next(done)) // 4, "") if a else next(cut) for a in alone]
-        head, count, tail = zip(*maps, strict=True) if maps else ((), (), ())
-        yield batch[["doc_id", "row", "n_bytes", "no"]].assign(head=head, n_tokens=pd.array(count, dtype="Int64"), tail=tail)
+        alone = pc.equal(batch["of"], 1)
+        done = iter(machine.counts(batch["piece"].filter(alone)).tolist())
+        cut = iter(machine.chunk_maps(batch["piece"].filter(pc.invert(alone)).to_pylist()))
+        maps = [("", next(done), "") if a else next(cut) for a in alone.to_pylist()]
+        head, count, tail = ([m[i] for m in maps] for i in range(3))
+        yield pa.RecordBatch.from_arrays(
+            [batch["doc_id"], batch["row"], batch["n_bytes"], batch["no"], pa.array(head, pa.string()), pa.array(count, pa.int64()), pa.array(tail, pa.string())],
+            ["doc_id", "row", "n_bytes", "no", "head", "n_tokens", "tail"],
+        )
 
 
-def _scan(batches: Iterator[pd.DataFrame], vocabulary: str) -> Iterator[pd.DataFrame]:
+def _scan(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
     machine = transducer.load(vocabulary)
     for batch in batches:
         totals = []
-        for maps in batch["maps"]:
+        for maps in batch["maps"].to_pylist():
             steps = [(m["head"], m["n_tokens"], m["tail"]) for m in maps]
             while len(steps) > 1:  # the levels of a parallel scan: neighbours in pairs
                 steps = [reduce(machine.compose, steps[i : i + 2]) for i in range(0, len(steps), 2)]
-            totals.append(machine.total(steps[0]))
-        yield batch[["doc_id", "n_bytes"]].assign(n_tokens=totals)
+            head, count, tail = steps[0]
+            totals.append(machine.total(steps[0]) if head or tail else count)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], pa.array(totals, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, piece: int = PIECE) -> DataFrame:
@@ -46,6 +52,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, piece: int = PIE
     Only the maps of pieces are shuffled, a few numbers and at most two words each, to meet
     the others of their row. A null text counts as empty: 0 bytes, 0 tokens. Null and repeated doc_ids keep their rows.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     pieces = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -55,12 +62,12 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, piece: int = PIE
         .withColumn("no", F.explode(F.sequence(F.lit(1), F.col("of"))))
     )
     cut = F.when(F.col("of") == 1, F.col("text")).otherwise(F.substr("text", (F.col("no") - 1) * piece + 1, F.lit(piece)))
-    maps = pieces.select("doc_id", "row", "n_bytes", "of", "no", cut.alias("piece")).mapInPandas(
+    maps = pieces.select("doc_id", "row", "n_bytes", "of", "no", cut.alias("piece")).mapInArrow(
         partial(_count, vocabulary=vocabulary),
         f"doc_id {kind}, row long, n_bytes long, no int, head string, n_tokens long, tail string",
     )
     ordered = maps.groupBy("doc_id", "row", "n_bytes").agg(F.sort_array(F.collect_list(F.struct("no", "head", "n_tokens", "tail"))).alias("maps"))
-    return ordered.mapInPandas(partial(_scan, vocabulary=vocabulary), f"doc_id {kind}, n_bytes long, n_tokens long")
+    return ordered.mapInArrow(partial(_scan, vocabulary=vocabulary), f"doc_id {kind}, n_bytes long, n_tokens long")
 
 
 def digest(docs: DataFrame) -> DataFrame:

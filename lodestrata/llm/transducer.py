@@ -4,8 +4,7 @@ The vocabulary's normaliser drops white space and its pre-tokenizer never joins
 so white space resets the machine: between two white-space characters it walks from the
 state "outside" along one arc, labelled with a whole unit, back to "outside". Each arc is
 annotated with what it emits (its token ids, hence their number). Arcs are compiled on
-demand by the tokenizer library and kept; a unit of plain Latin text is compiled out of
-the arcs of its letter, digit and sign runs.
+demand by the tokenizer library; those of units that recur are kept.
 
 A piece of text maps each entry state to (exit state, tokens emitted). As every white-space
 character leads to "outside", that map is (head, count, tail): the text before the first
@@ -18,18 +17,23 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 # The pre-tokenizer's pattern, and white space as the library sees it.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-#: Python's split() also cuts at these; the library does not.
-CONTROLS = re.compile("[\x1c-\x1f]")
-#: Units of these characters are compiled run by run: no composition or special lower case occurs among them.
+#: Arrow's split also cuts at these; the library does not.
+CONTROLS = "[\x1c-\x1f]"
+#: Units of these characters may be compiled many at a time: nothing composes, or is lower-cased, across them.
 PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017e]+")
-#: Arcs kept at a time in one worker process.
-ARCS = 400_000
+#: Arcs kept in one worker process.
+ARCS = 200_000
+WORD_END = "</w>"
 
 
 class Transducer:
@@ -42,50 +46,91 @@ class Transducer:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.arcs: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
-    def _encode(self, units: list[str]) -> list[bytes]:
-        import numpy as np
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4") for e in found]
 
-        found = self.library.encode_batch_fast(units, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def compile(self, units: set[str]) -> None:
-        """Add the arcs of ``units``."""
-        if len(self.arcs) > ARCS:
-            self.arcs.clear()
-        if len(self.runs) > ARCS:
-            self.runs.clear()
-        whole, split, fresh = [], {}, set()
+    def compile(self, units: list[str]) -> dict[str, bytes]:
+        """The arcs of ``units``. A plain one is the sum of its runs; new runs are compiled together and parted at the tokens that end them."""
+        out: dict[str, bytes] = {}
+        split: dict[str, list[str] | str] = {}
+        odd = []
         for u in units:
-            if PLAIN.fullmatch(u) and not ("<|" in u and any(s in u for s in self.special)):
-                split[u] = runs = PIECES.findall(u.lower())
-                fresh.update(r for r in runs if r not in self.runs)
+            if not PLAIN.fullmatch(u) or "<|" in u:
+                odd.append(u)
             else:
-                whole.append(u)
-        ready = list(fresh)
-        self.runs.update(zip(ready, self._encode(ready), strict=True))
-        self.arcs.update(zip(whole, self._encode(whole), strict=True))
-        runs = self.runs
-        self.arcs.update((u, b"".join([runs[r] for r in rs])) for u, rs in split.items())
-
-    def units(self, text: str) -> list[str]:
-        """The white-space-delimited units of a text."""
-        if CONTROLS.search(text):
-            return [u for u in SPACE.split(text) if u]
-        return text.split()
-
-    def emit(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as bytes."""
-        cut = [self.units(t) for t in texts]
-        missing = {u for us in cut for u in us if u not in self.arcs}
-        if missing:
-            kept = {u for us in cut for u in us} - missing if len(self.arcs) > ARCS else ()
-            self.compile(missing.union(kept))
+                split[u] = low = u.lower()
+                if not u.isalpha():
+                    split[u] = PIECES.findall(low)
+        if odd:
+            out.update(zip(odd, [x.tobytes() for x in self._encode(odd)], strict=True))
+        known, fresh = self.runs, {}
+        for runs in split.values():
+            for r in (runs,) if isinstance(runs, str) else runs:
+                if r not in known:
+                    fresh[r] = fresh.get(r, 0) + 1
+        if fresh:
+            ids = self._encode([" ".join(fresh)])[0]
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            made = dict(zip(fresh, [data[i:j] for i, j in zip([0, *stops], stops, strict=False)], strict=True))
+            if len(known) < ARCS:
+                known.update((r, made[r]) for r, n in fresh.items() if n > 1)
+        else:
+            made = {}
+        for u, runs in split.items():
+            if isinstance(runs, str):
+                out[u] = known[runs] if runs in known else made[runs]
+            else:
+                out[u] = b"".join([known[r] if r in known else made[r] for r in runs])
+        return out
+
+    def _split(self, texts: pa.Array) -> pa.ListArray:
+        if pc.any(pc.match_substring_regex(texts, CONTROLS)).as_py():
+            return pa.array([SPACE.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        return pc.utf8_split_whitespace(texts)
+
+    def walk(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Run over texts without nulls: (ids of the distinct units, the unit at each step, first step of each text and the end)."""
+        lists = self._split(texts)
+        steps = lists.flatten().dictionary_encode()
+        units, at = steps.dictionary.to_pylist(), np.asarray(steps.indices)
+        bounds = np.asarray(lists.offsets) - lists.offsets[0].as_py()
         arcs = self.arcs
-        return [b"".join([arcs[u] for u in us]) for us in cut]
+        ids = [arcs.get(u) for u in units]
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        made = self.compile([units[i] for i in gaps])
+        often = np.bincount(at, minlength=len(units)) > 1
+        for i in gaps:
+            ids[i] = made[units[i]]
+            if often[i] and len(arcs) < ARCS:
+                arcs[units[i]] = ids[i]
+        return ids, at, bounds
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Number of ids of each text."""
+        ids, at, bounds = self.walk(texts)
+        each = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        total = np.concatenate([[0], np.cumsum(each[at])])
+        return total[bounds[1:]] - total[bounds[:-1]]
+
+    def emit(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text, as bytes."""
+        ids, at, bounds = self.walk(texts)
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        first = np.cumsum(size) - size
+        each = size[at]
+        total = np.concatenate([[0], np.cumsum(each)])
+        where = np.repeat(first[at] - total[:-1], each) + np.arange(total[-1])
+        data = np.frombuffer(b"".join(ids), dtype="<u4")[where].tobytes()
+        ends = (4 * total[bounds]).tolist()
+        return [data[i:j] for i, j in pairwise(ends)]
 
     def chunk_map(self, piece: str) -> tuple[str, int | None, str]:
         """(head, count, tail) of a piece; count is null if it holds no white space (then all is head)."""
@@ -102,7 +147,8 @@ class Transducer:
             last = len(p) - len(SPACE.split(p[::-1], maxsplit=1)[0])
             out.append((p[: first.start()], 0, p[last:]))
             inner.append(p[first.start() : last])
-        return [(h, None if n is None else len(ids) // 4, t) for (h, n, t), ids in zip(out, self.emit(inner), strict=True)]
+        counts = self.counts(pa.array(inner, pa.string())).tolist()
+        return [(h, None if n is None else c, t) for (h, n, t), c in zip(out, counts, strict=True)]
 
     def compose(self, a: tuple[str, int | None, str], b: tuple[str, int | None, str]) -> tuple[str, int | None, str]:
         """The map of two adjacent pieces."""
@@ -110,12 +156,11 @@ class Transducer:
             return a[0] + b[0], b[1], b[2]
         if b[1] is None:
             return a[0], a[1], a[2] + b[0]
-        return a[0], a[1] + len(self.emit([a[2] + b[0]])[0]) // 4 + b[1], b[2]
+        return a[0], a[1] + int(self.counts(pa.array([a[2] + b[0]]))[0]) + b[1], b[2]
 
     def total(self, m: tuple[str, int | None, str]) -> int:
         """Tokens of a text whose map is ``m``, entered and left in the state "outside"."""
-        head, tail = self.emit([m[0], m[2]])
-        return (m[1] or 0) + (len(head) + len(tail)) // 4
+        return (m[1] or 0) + int(self.counts(pa.array([m[0], m[2]])).sum())
 
 
 _LOADED: dict[str, Transducer] = {}
