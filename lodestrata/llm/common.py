@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+#: Bytes handed to Python at once, if no single row is larger.
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,9 +38,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hand texts to Python ``rows`` at a time, so that workers stay small; larger settings of the session are lowered."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.match(r"\d+(?=b?$)", spark.conf.get(name))
+        if not (now and 0 < int(now[0]) <= most):
+            spark.conf.set(name, str(most))
 
 
 def spread(df: DataFrame) -> int:
