@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import packing, pfair, pii, secrets, token_counts, warc, weighted_sampling
+from lodestrata.llm import hyperminhash, multi_index, packing, pfair, pii, secrets, token_counts, toxicity, warc, weighted_sampling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,3 +63,24 @@ def op4_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_weighted_fingerprints"] = op4_weighted_fingerprints
+
+
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.digest(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op1_multi_index"] = op1_multi_index
+
+
+def op2_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op2_hyperminhash"] = op2_hyperminhash
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES["op3_toxicity"] = op3_toxicity
