@@ -1,6 +1,6 @@
 """Imports every query module, so that the registry is full."""
 
-from lodestrata.plans import rent  # noqa: F401
+from lodestrata.plans import loading, lookups, places, rent, retrieval, scalars, streams, texts  # noqa: F401
 from lodestrata.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
