@@ -20,9 +20,16 @@ RENT_FIELDS = {
 }
 
 
+def allow(spark: SparkSession, encoding: str) -> str:
+    """``encoding``, after Spark was told to accept it if it is none of its own."""
+    if not encoding.upper().startswith(("UTF-", "ISO-8859-1", "US-ASCII")):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    return encoding
+
+
 def csv(spark: SparkSession, path: str, names: Mapping[str, str] | None = None, encoding: str = "UTF-8", sep: str = ",") -> DataFrame:
     """A CSV with a header, all columns strings, some of them renamed."""
-    df = spark.read.option("header", True).option("encoding", encoding).option("sep", sep).option("inferSchema", False).csv(path)
+    df = spark.read.option("header", True).option("encoding", allow(spark, encoding)).option("sep", sep).option("inferSchema", False).csv(path)
     return df.withColumnsRenamed({k: v for k, v in (names or {}).items() if k in df.columns})
 
 
@@ -48,9 +55,9 @@ def csv_any(spark: SparkSession, path: str, names: Mapping[str, str] | None = No
 
 def numbered_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Lines of text files: file, line_no (from 1 in each file) and value. A file's lines stay in order as they are read as one split."""
-    whole = spark.read.option("wholetext", True).option("encoding", encoding).text(path).withColumn("file", F.col("_metadata.file_path"))
+    whole = spark.read.option("encoding", allow(spark, encoding)).text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     lines = F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n")
-    return whole.select("file", F.posexplode(lines).alias("line_no", "value")).withColumn("line_no", F.col("line_no") + 1)
+    return whole.select("file", F.posexplode(lines).alias("pos", "value")).select("file", (F.col("pos") + 1).alias("line_no"), "value")
 
 
 def csv_after_preamble(spark: SparkSession, path: str, schema: str, skip: int = 15, encoding: str = "UTF-8") -> DataFrame:
