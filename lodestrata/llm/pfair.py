@@ -14,12 +14,12 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import spread
-
 OTHER = "(other)"
 #: Production weights: the large source is held down, all others count alike.
 WEIGHTS = {"src0": 4} | {f"src{i}": 1 for i in range(1, 20)}
 BLOCK_ROWS = 8
+#: Hex digits by which a group is split: at most 16**SPLIT parts of it.
+SPLIT = 3
 
 
 def period(spark: SparkSession, weights: Mapping[str, int]) -> DataFrame:
@@ -52,22 +52,23 @@ def period(spark: SparkSession, weights: Mapping[str, int]) -> DataFrame:
 
 
 def numbered(df: DataFrame, group: str, order: str, out: str) -> DataFrame:
-    """Add ``out``: the number, from 0, of each row in its group.
+    """Add ``out``: the number, from 0, of each row in its group, in the order of the MD5 of ``order`` and then ``order`` (null first).
 
-    Groups are split by a hash of ``order``: rows are numbered within (group, part), after
-    the counts of the parts before. So no group, however large, meets in one task.
+    Groups are split by the first SPLIT hex digits: rows are numbered within (group, part),
+    after the counts of the parts before. So no group, however large, meets in one task, and
+    the numbers depend on the rows alone.
     """
-    parts = spread(df)
-    split = df.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(parts)).cast("int"))
+    digest = F.coalesce(F.md5(F.col(order).cast("string").cast("binary")), F.lit(""))
+    split = df.withColumn("_md5", digest).withColumn("_part", F.substring("_md5", 1, SPLIT))
     counts = split.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(group, "_part").orderBy(order)) - 1
+    inside = F.row_number().over(Window.partitionBy(group, "_part").orderBy("_md5", order)) - 1
     return (
         split.withColumn("_inside", inside)
         .join(starts, (F.col(group) == F.col("_g")) & (F.col("_part") == F.col("_p")))
         .withColumn(out, F.col("_inside") + F.col("_before"))
-        .drop("_part", "_inside", "_g", "_p", "_before", "_n")
+        .drop("_part", "_md5", "_inside", "_g", "_p", "_before", "_n")
     )
 
 
@@ -75,7 +76,7 @@ def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, block_rows: int =
     """Add mix_group, block_no, release, deadline, slot and place; ordering by (slot, place) gives the mix.
 
     Sources without a weight, null ones included, share the group ``(other)`` of weight 1. A
-    block is ``block_rows`` rows of a group in the order of a hash of ``key`` and then
+    block is ``block_rows`` rows of a group in the order of the MD5 of ``key`` and then
     ``key`` (null first). All rows stay: where a group has run out, its slots are empty and
     the others go on. Up to the first such slot each group is within less than one block of
     its share of any prefix. Ties of ``key`` are numbered in an order of Spark's choice.

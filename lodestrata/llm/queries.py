@@ -84,3 +84,48 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_toxicity"] = op3_toxicity
+
+
+#: Links of vectors and, by rounds of smallest neighbours, their components.
+ORACLE["op1_multi_index"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.c, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c.c, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id"""
+
+#: Whole shingle sets, joined on shingles.
+ORACLE["op2_hyperminhash"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || chr(1) || w[i + 1]) ELSE w END) AS g FROM w),
+s AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * common >= 80 * (na + nb - common)),
+reach(a, b) AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT g.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(g.doc_id, coalesce(c.c, g.doc_id)) AS component_id, g.doc_id = least(g.doc_id, coalesce(c.c, g.doc_id)) AS kept
+FROM g LEFT JOIN c ON c.a = g.doc_id"""
+
+
+def _pfair_sql(weights: dict[str, int], rows: int) -> str:
+    """Earliest deadlines first by a recursive step for each slot; blocks by the order of an MD5."""
+    total = sum(weights.values())
+    ws = ", ".join(f"({i}, '{n}', {w})" for i, (n, w) in enumerate(weights.items()))
+    return f"""
+WITH RECURSIVE src(no, source, w) AS (VALUES {ws}), names AS (SELECT list(w ORDER BY no) AS ws FROM src),
+run(t, done, pick) AS (
+  SELECT -1, list_transform(ws, lambda x: 0), -1 FROM names
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda d, i: d + CASE WHEN i - 1 = pick THEN 1 ELSE 0 END), pick FROM (
+    SELECT t, done, list_min(list_filter(list_transform(done, lambda d, i: CASE WHEN d < ws[i] AND floor(d * {total} / ws[i]) <= t + 1 THEN CAST(ceil((d + 1) * {total} / ws[i]) AS BIGINT) * 1000 + i - 1 END), lambda x: x IS NOT NULL)) % 1000 AS pick
+    FROM run, names WHERE t + 1 < {total})),
+plan AS (SELECT source, w, t AS slot, row_number() OVER (PARTITION BY source ORDER BY t) - 1 AS k FROM run JOIN src ON pick = no WHERE t >= 0),
+g AS (SELECT doc_id, d.source, coalesce(src.source, '(other)') AS mix_group FROM documents d LEFT JOIN src ON d.source = src.source),
+r AS (SELECT *, row_number() OVER (PARTITION BY mix_group ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS no FROM g)
+SELECT doc_id, r.source, mix_group, no // {rows} AS block_no, (no // {rows} // w) * {total} + CAST(floor(k * {total} / w) AS BIGINT) AS release, (no // {rows} // w) * {total} + CAST(ceil((k + 1) * {total} / w) AS BIGINT) AS deadline,
+  (no // {rows} // w) * {total} + slot AS slot, CAST(no % {rows} AS INTEGER) AS place
+FROM r JOIN plan ON r.mix_group = plan.source AND (no // {rows}) % w = k"""
+
+
+ORACLE["op8_pfair_mix"] = _pfair_sql({**pfair.WEIGHTS, pfair.OTHER: 1}, pfair.BLOCK_ROWS)

@@ -130,7 +130,8 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """
     kept = find_secrets(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"])
     names = docs.columns
-    joined = docs.join(kept.select(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key"), "spans"), (F.col("doc_id") == F.col("s_id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("s_key")), "left")
+    rows = docs.withColumnsRenamed({c: f"_in_{c}" for c in names if c not in ("doc_id", "text", "n_chars")})
+    joined = rows.join(kept.select(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key"), F.col("spans").alias("s_spans")), (F.col("doc_id") == F.col("s_id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("s_key")), "left")
     end = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -141,11 +142,11 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"),
         )
 
-    clean = F.aggregate("spans", end, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = joined.withColumn("text", F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("text")))
+    clean = F.aggregate("s_spans", end, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text"))))
+    out = joined.withColumn("text", F.when(F.col("s_spans").isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*names)
+        out = out.withColumn("n_chars", F.when(F.col("s_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(c if c in ("doc_id", "text", "n_chars") else f"_in_{c}").alias(c) for c in names])
 
 
 def span_text(spans: Column) -> Column:

@@ -147,5 +147,4 @@ def write_records(records: DataFrame, path: str) -> None:
     """Write records as WARC text files, gzip-compressed, one a partition: header, block, two line ends."""
     from pyspark.sql import functions as F
 
-    text = F.concat("header", "content", F.lit("\r\n\r\n"))
-    records.select(text.alias("value")).write.option("lineSep", "").option("compression", "gzip").text(path)
+    records.select(F.concat("header", "content").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)

@@ -1,0 +1,428 @@
+"""Each operator against a plain version, and on the odd cases: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestrata.llm import common, hyperminhash, multi_index, packing, pfair, pii, queries, secrets, token_counts, toxicity, warc, weighted_sampling
+from tests.llm import brute
+
+LONG = "lorem ipsum dolor sit amet " * 30_000
+ODD = [
+    (1, "A plain text with a few words in it"), (2, "a PLAIN text with a few words in it"), (3, None), (4, ""), (5, " \t\n "), (6, "one"), (7, "one"), (8, LONG),
+    (9, "password = hunter22x and user: bob at https://example.org/login"), (10, "x\x1cy　z � \U0001f600 <|endoftext|> it's 100% İstanbul"), (None, "no id here"), (11, "same id"), (11, "same id"), (12, "same id too, other text"),
+]
+COLUMNS = "doc_id long, text string, row long, part int, label int, spans string, n_chars long, component_id string, source string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(i, t, 0, 0, 0, "x", len(t or ""), "c", "src1" if i and i % 2 else None) for i, t in ODD], COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(5, 5), (None, 3)] + [(1000 + i, 1001 + i) for i in range(60)]
+    got = {r["id"]: r["component_id"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    real = [(a, b) for a, b in edges if a is not None and a != b]
+    assert got == brute.components({x for e in real for x in e}, real)
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, id string, cell int, weight string")
+
+
+def planted(seed, groups, dims=16):
+    rng = np.random.default_rng(seed)
+    rows, n = [], 0
+    for g in range(groups):
+        centre = rng.normal(size=dims)
+        for _ in range(rng.integers(1, 5)):
+            noise = rng.normal(size=dims) * rng.choice([0, 0.05, 0.12])
+            rows.append((n, [float(x) for x in (centre + noise)], g % 3))
+            n += 1
+    return rows
+
+
+def brute_links(rows):
+    held = [(i, np.array(v, dtype=np.float32).astype(float), lab) for i, v, lab in rows if i is not None and lab is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    links = []
+    for n, (a, x, lx) in enumerate(held):
+        for b, y, ly in held[n + 1 :]:
+            if lx == ly and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98:
+                links.append((a, b))
+    return links
+
+
+def test_multi_index(spark, monkeypatch):
+    rows = planted(1, 150)
+    base = rows[0][1]
+    rows += [(2000 + i, base, 0) for i in range(40)] + [(3000, None, 0), (3001, [0.0] * 16, 0), (3002, [float("nan")] * 16, 0), (3003, [None] * 16, 0), (3004, base, None), (3005, [], 0), (3006, [1.0, 2.0], 0), (None, base, 0)]
+    rows += [(4000 + i, [1.0 + 0.0005 * i, *[0.5] * 15], 1) for i in range(60)]
+    monkeypatch.setattr(multi_index, "BLOCK", 16)
+    got = {r["vec_id"]: r for r in multi_index.near_vectors(vectors(spark, [(*r, "x", 1, "w") for r in rows])).collect()}
+    links = brute_links(rows)
+    n = Counter(x for e in links for x in e)
+    want = brute.components([r[0] for r in rows if r[0] is not None], links)
+    assert len(got) == len(rows)
+    for i, c in want.items():
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (n[i], c, c == i)
+    assert got[None]["n_links"] == 0 and got[None]["kept"]
+    assert multi_index.near_vectors(vectors(spark, [])).count() == 0
+
+
+def test_multi_index_recall():
+    """Pairs at the threshold in random directions: the share whose cells the traversal visits."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    index = multi_index.fit(unit(rng.normal(size=(4000, 64))), 32)
+    x = unit(rng.normal(size=(1500, 64)))
+    noise = rng.normal(size=x.shape)
+    noise = unit(noise - (noise * x).sum(1)[:, None] * x)
+    q = 0.98 * x + np.sqrt(1 - 0.98**2) * noise
+    home = list(zip(multi_index.squared(x[:, :32], index.first).argmin(1), multi_index.squared(x[:, 32:], index.second).argmin(1), strict=True))
+    d1, d2 = multi_index.squared(q[:, :32], index.first), multi_index.squared(q[:, 32:], index.second)
+    walks = [multi_index.traverse(d1[i], d2[i], index.slack) for i in range(len(q))]
+    assert np.mean([h in set(w) for h, w in zip(home, walks, strict=True)]) >= 0.995
+    for i in range(50):  # cells come in order, none twice, none within the stop is left out
+        keys = [d1[i][a] + d2[i][b] for a, b in walks[i]]
+        assert keys == sorted(keys) and len(set(walks[i])) == len(walks[i])
+        assert len(keys) == ((d1[i][:, None] + d2[i][None, :]) <= d1[i].min() + d2[i].min() + index.slack + 1e-12).sum()
+
+
+def near_copies():
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(400)]
+    out, n = {}, 0
+    for _ in range(25):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([3, 10, 40, 200]))]
+        for _ in range(rng.choice([1, 2, 6])):
+            w = list(base)
+            for _ in range(rng.randrange(0, max(2, len(w) // 12))):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            out[n] = " ".join(w)
+            n += 1
+    base = [rng.choice(vocabulary) for _ in range(60)]
+    for _ in range(70):  # one large group: neighbours alike, some far ones not
+        w = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        out[n] = " ".join(w)
+        n += 1
+    return out
+
+
+@pytest.mark.parametrize("words", [2, 5])
+def test_near_duplicates(spark, monkeypatch, words):
+    monkeypatch.setattr(hyperminhash, "BLOCK", 8)
+    held = near_copies() | {5000: None, 5001: "", 5002: " \t", 5003: "solo", 5004: "SOLO", 5005: LONG, 5006: LONG + "x"}
+    want, sizes = brute.near(held, words)
+    df = spark.createDataFrame([(i, t, "c", 1) for i, t in held.items()], "doc_id long, text string, component_id string, k1 int")
+    got = {r["doc_id"]: r for r in hyperminhash.near_duplicates(df, words).collect()}
+    assert {i: r["component_id"] for i, r in got.items()} == want
+    assert {i: r["n_shingles"] for i, r in got.items()} == sizes
+    assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
+
+
+def test_near_duplicates_odd(odd, none):
+    rows = hyperminhash.near_duplicates(odd, 2).collect()
+    assert len(rows) == len(ODD)
+    by = {r["doc_id"]: r for r in rows}
+    assert by[None]["component_id"] is None and by[None]["kept"] and by[2]["component_id"] == 1 and by[7]["component_id"] == 6 and by[3]["kept"] and by[4]["n_shingles"] == 0
+    assert hyperminhash.near_duplicates(none).count() == 0
+    assert sorted(hyperminhash.deduplicate(odd, 2).columns) == sorted(odd.columns)
+    assert hyperminhash.deduplicate(odd, 2).count() == len(ODD) - 2
+
+
+def test_estimate():
+    rng = np.random.default_rng(2)
+    for share in (0.5, 0.8, 0.95):
+        a = rng.integers(0, 2**63, 4000).astype(np.uint64)
+        b = a.copy()
+        cut = int(len(a) * (1 - share) / (1 + share))
+        b[:cut] = rng.integers(0, 2**63, cut).astype(np.uint64)
+        x, y = hyperminhash.registers([np.unique(a), np.unique(b)], 4096)
+        found, _ = hyperminhash.estimate(x, y)
+        assert abs(found - share) < 0.04
+
+
+def maximal(values):
+    """Maximal-scoring segments by their definition, in cubic time."""
+    def rec(lo, hi):
+        best = None
+        for i in range(lo, hi):
+            total = 0.0
+            for j in range(i, hi):
+                total += values[j]
+                if total > 0 and (best is None or total > best[0] + 1e-12):
+                    best = (total, i, j + 1)
+        return [] if best is None else rec(lo, best[1]) + [best] + rec(best[2], hi)
+
+    return rec(0, len(values))
+
+
+def test_segments():
+    rng = random.Random(1)
+    for _ in range(300):
+        dense = [rng.choice([-1.0, -2.5, 0.5, 3.25, 1.125]) + rng.random() / 64 for _ in range(rng.randrange(0, 14))]
+        assert [(round(s, 9), a, b) for s, a, b in toxicity.segments(dense)] == [(round(s, 9), a, b) for s, a, b in maximal(dense)]
+        places = sorted(rng.sample(range(40), rng.randrange(0, 9)))
+        found = [rng.random() * 4 + 0.1 for _ in places]
+        whole = [-toxicity.DRIFT] * 40
+        for p, v in zip(places, found, strict=True):
+            whole[p] = v
+        assert [(round(s, 9), a, b) for s, a, b in toxicity.sparse_segments(places, found)] == [(round(s, 9), a, b) for s, a, b in maximal(whole)]
+
+
+def test_toxicity_held_out(spark):
+    base = "/root/testdata/sf0.01"
+    rows = {r["doc_id"]: r for r in queries.QUERIES["op3_toxicity"](spark, base).collect()}
+    assert len(rows) == 1000 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) and r["held_out"] == brute.held_out(i) for i, r in rows.items())
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{base}/labels.parquet").collect()}
+    test = [(y, rows[i]["predicted"]) for i, y in labels.items() if rows[i]["held_out"]]
+    right = sum(y == p for y, p in test) / len(test)
+    assert right > 0.93 and sum(p for y, p in test if not y) <= 2
+
+
+def test_toxicity_odd(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (6, None)], "doc_id long, toxic int")
+    found = toxicity.digest(odd, labels).collect()
+    assert len(found) == len(ODD) and all(r["score"] < 0.7 for r in found)
+    assert toxicity.digest(none, labels).count() == 0
+    assert toxicity.reject_toxic(odd, labels).count() == len(ODD)
+
+
+def test_fingerprints(spark, docs, texts):
+    rows = {r["doc_id"]: r for r in queries.QUERIES["op4_weighted_fingerprints"](spark, "/root/testdata/sf0.001").collect()}
+    ids = sorted(texts)
+    assert sorted(rows) == ids
+    errors = []
+    for i, nxt in zip(ids, [*ids[1:], ids[0]], strict=True):
+        t, u = texts[i] or "", texts[nxt] or ""
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + u[:cut]
+        assert rows[i]["n_chars"] == len(t) and rows[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        errors.append(rows[i]["near_edited"] - jaccard(t, edited))
+        assert 0 <= rows[i]["near_next"] <= 1
+        if edited == t:
+            assert rows[i]["fingerprint"] == rows[i]["edited_fingerprint"]
+    assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.12
+    by_text = defaultdict(set)
+    for i, t in texts.items():
+        by_text[t].add(rows[i]["fingerprint"])
+    assert all(len(f) == 1 for f in by_text.values())
+
+
+def jaccard(a, b):
+    pairs = []
+    for t in (a, b):
+        w = [x for x in t.lower().replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if x]
+        pairs.append(Counter(zip(w, w[1:], strict=False) if len(w) > 1 else w))
+    x, y = pairs
+    low, high = sum((x & y).values()), sum((x | y).values())
+    return low / high if high else 1.0
+
+
+def test_fingerprints_odd(odd, none):
+    rows = weighted_sampling.fingerprint_edits(odd).collect()
+    assert len(rows) == len(ODD) and all(r["fingerprint"] for r in rows)
+    assert weighted_sampling.fingerprint_edits(none).count() == 0
+
+
+def library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def check_packing(rows, want, size=4096):
+    """want: list of (doc_id, ids) rows."""
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[(r["doc_id"], r["doc_tokens"])].append(r)
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    total = padded = 0
+    for pieces in by_sequence.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at and length > 0
+            at += length
+        assert at <= size
+        total += at
+        padded += at if at & (at - 1) == 0 else size
+    assert total == sum(len(ids) for _, ids in want)
+    expected = Counter()
+    for d, ids in want:
+        expected[(d, len(ids))] += len(ids)
+    assert {k: sum(p["length"] for p in v) for k, v in by_doc.items()} == dict(expected)
+    once = Counter((d, len(ids)) for d, ids in want)
+    for d, ids in want:
+        if once[(d, len(ids))] == 1:
+            at = 0
+            for p in sorted(by_doc[(d, len(ids))], key=lambda p: p["start"]):
+                assert p["start"] == at and p["ids_crc32"] == zlib.crc32(np.array(ids[at : at + p["length"]], dtype="<u4").tobytes())
+                at += p["length"]
+            assert at == len(ids)
+    return total / padded
+
+
+def test_packing(spark, texts):
+    lib = library()
+    want = [(i, [*lib.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in texts.items()]
+    assert check_packing(queries.QUERIES["op5_packing"](spark, "/root/testdata/sf0.001").collect(), want) > 0.97
+
+
+def test_packing_odd(odd, none):
+    lib = library()
+    want = [(i, [*lib.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in ODD]
+    check_packing(packing.digest(odd.repartition(3)).collect(), want)
+    assert packing.digest(none).count() == 0
+
+
+def test_token_counts(spark, texts, odd, none):
+    lib = library()
+    n = lambda t: len(lib.encode(t or "", add_special_tokens=False).ids)
+    for r in queries.QUERIES["op6_token_counts"](spark, "/root/testdata/sf0.001").collect():
+        t = texts[r["doc_id"]] or ""
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), n(t), n(t) > 2048)
+    got = Counter((r["doc_id"], r["n_tokens"]) for r in token_counts.count_tokens(odd, piece=97).collect())
+    assert got == Counter((i, n(t)) for i, t in ODD)
+    assert token_counts.digest(none).count() == 0
+
+
+def test_warc(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = warc.derivatives(pages).collect()
+    held = {r["page_id"]: r for r in warc.responses(pages).collect()}
+    assert len(rows) == 2 * pages.count() and len({r["record_id"] for r in rows}) == len(rows)
+    for r in rows:
+        source = held[r["page_id"]]
+        assert r["refers_to"] == source["record_id"] and r["target_uri"] == source["target_uri"]
+        data = r["content"].encode("utf-8", "replace")
+        assert r["content_length"] == len(data) and r["block_digest"] == warc.digest_of(data) and f"WARC-Refers-To: {r['refers_to']}" in r["header"]
+        assert r["record_type"] == "metadata" or "<script" not in r["content"].lower()
+
+
+def test_warc_odd(spark, tmp_path):
+    page = "HTTP/1.1 200 OK\r\nServer: s\r\n\r\n<html lang=en><title>T &amp; U</title><body><p>Hello<br>there<script>x<p></script><a href='/a'>l</a></body>"
+    df = spark.createDataFrame([(1, "https://e.org/x", page, 1), (2, None, None, 1), (3, "", "", 1), (3, "", "", 1)], "page_id long, url string, html string, record_id int")
+    rows = {(r["page_id"], r["record_type"]): r for r in warc.derivatives(df).collect()}
+    meta = rows[1, "metadata"]["content"]
+    assert "source-header: Server: s\r\n" in meta and "outlink: https://e.org/a\r\n" in meta and "title: T & U\r\n" in meta and "language: en\r\n" in meta
+    assert rows[1, "conversion"]["content"] == "T & U\nHello\nthere l" and rows[2, "conversion"]["content"] == "" and rows[2, "metadata"]["target_uri"] == "urn:unknown"
+    warc.write_records(warc.derivatives(df.where("page_id = 1")), str(tmp_path / "w"))
+    assert "".join(r["value"] for r in spark.read.text(str(tmp_path / "w"), wholetext=True).collect()).count("WARC/1.1\r\n") == 2
+    assert warc.derivatives(df.where("false")).count() == 0
+
+
+def test_pfair(spark, docs):
+    weights = {"a": 3, "b": 1, "c": 2}
+    plan = pfair.period(spark, weights).collect()
+    assert sorted(r["slot"] for r in plan) == list(range(6)) and all(r["release"] <= r["slot"] < r["deadline"] for r in plan)
+    rng = random.Random(4)
+    rows = [(i, rng.choices("abcz", [6, 2, 3, 1])[0] if i % 40 else None) for i in range(900)]
+    got = pfair.mix(spark.createDataFrame([(i, s, 7) for i, s in rows], "doc_id long, source string, slot int"), weights, block_rows=4).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(900))
+    full = {**weights, pfair.OTHER: 1}
+    total = sum(full.values())
+    slots = {}
+    for r in got:
+        assert r["release"] <= r["slot"] < r["deadline"] and 0 <= r["place"] < 4
+        assert slots.setdefault(r["slot"], r["mix_group"]) == r["mix_group"]
+    last = min(max(s for s, g in slots.items() if g == name) for name in full)
+    seen = Counter()
+    for s in range(last + 1):
+        seen[slots[s]] += 1
+        for name, w in full.items():
+            assert abs(seen[name] - w * (s + 1) / total) < 1
+
+
+def test_pfair_odd(odd, none):
+    got = pfair.mix(odd).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in ODD) and {r["mix_group"] for r in got} == {"src1", pfair.OTHER}
+    assert pfair.mix(none).count() == 0
+
+
+HARD = [
+    (1, "a@b a@b.c x.y+z@q-1.example.org..com @a.b"), (2, "1.2.3.4.5.6.7.8 256.1.1.1 999.999.9.9 10.0.0.255"), (3, "4111 1111 1111 1111 and 4111-1111-1111-1112, 378282246310005"),
+    (4, "+1 (255) 555-8013, +49 30 1234 567 8901 2345 6789 +1-2"), (5, None), (6, ""), (7, "1" * 3000 + " " + "a" * 5000 + "@"), (8, "\U0001f600 é a@b.cd 　+4912345678901"), (9, "GB82 WEST 1234 5698 7654 32 account; 078-05-1120 ssn"),
+    (None, "null@id.org"), (10, "1.2.3.4 " * 400), (10, "1.2.3.4 " * 400), (11, "a.a.a@" * 3000 + "x.y"),
+]
+
+
+def spans_of(text):
+    return [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in text.split(",") if s)]
+
+
+def test_personal_data(spark, texts, none):
+    hard = spark.createDataFrame([(i, t, "clash") for i, t in HARD], "doc_id long, text string, found string")
+    got = [*pii.digest(hard).collect(), *queries.QUERIES["op9_personal_data"](spark, "/root/testdata/sf0.001").collect()]
+    want = [*HARD, *texts.items()]
+    assert len(got) == len(want)
+    keyed = defaultdict(list)
+    for i, t in want:
+        keyed[i].append(t)
+    small = [r for r in got[: len(HARD)]]
+    for source, rows in ((dict((i, t) for i, t in HARD), small), (texts, got[len(HARD) :])):
+        for r in rows:
+            base = brute.personal(source[r["doc_id"]])
+            counts = Counter(k for k, _, _ in base)
+            assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(counts[k] for k in ("email", "ip", "card", "phone")), r["doc_id"]
+            assert r["base_sha256"] == brute.digest(base) and set(base) <= set(spans_of(r["spans"]))
+    nine = next(r for r in small if r["doc_id"] == 9)
+    assert {"iban", "national_id"} <= {k for k, _, _ in spans_of(nine["spans"])}
+    assert pii.digest(none).count() == 0
+
+
+def test_secrets(spark, texts, odd, none):
+    for source, rows in ((texts, queries.QUERIES["op10_secrets"](spark, "/root/testdata/sf0.001").collect()), (dict(ODD), secrets.digest(odd).collect())):
+        for r in rows:
+            base = brute.secrets(source[r["doc_id"]])
+            counts = Counter(k for k, _, _ in base)
+            assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(counts[k] for k in ("assign", "access", "hex"))
+            assert r["base_sha256"] == brute.digest(base) and set(base) <= set(spans_of(r["spans"]))
+    assert len(secrets.digest(odd).collect()) == len(ODD) and secrets.digest(none).count() == 0
+
+
+def test_secret_links(spark):
+    """Weak parts are reported just where a part of another role lies within the scope."""
+    far = " " * 500
+    held = {1: "user: alice" + far + "password=abcdef1", 2: "user: alice password=abcdef1", 3: "see https://example.org/path only", 4: "https://example.org/path login=bob99", 5: "user: alice user: bob"}
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.find_secrets(spark.createDataFrame(list(held.items()), "doc_id long, text string")).collect()}
+    assert got == {1: ["assign"], 2: ["identity", "assign"], 3: [], 4: ["endpoint", "identity"], 5: []}
+    for i, t in held.items():
+        parts = secrets.parts_of(t)
+        linked = [k for k, role, a, b, weak in parts if not weak or any(role != r2 and a2 <= b + secrets.SCOPE and a <= b2 + secrets.SCOPE for _, r2, a2, b2, _ in parts)]
+        assert sorted(linked) == sorted(got[i])
+
+
+def test_redact(spark, odd):
+    clean = {(r["doc_id"], r["text"]): r for r in secrets.redact(odd).collect()}
+    assert sum(Counter(k for k, _ in clean).values()) >= len(ODD) - 1
+    nine = next(r for (i, _), r in clean.items() if i == 9)
+    assert "hunter22x" not in nine["text"] and nine["n_chars"] == len(nine["text"]) and not secrets.digest(secrets.redact(odd)).where("n_assign + n_access + n_hex > 0").count()
+    assert secrets.redact(odd).count() == len(ODD) and secrets.redact(odd).columns == odd.columns
+    assert secrets.redact(odd).where(F.col("text").isNull()).count() == 1
