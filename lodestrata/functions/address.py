@@ -91,3 +91,23 @@ def bus_point(x: Column, y: Column) -> Column:
     """``x,y`` when both are numbers, else blank."""
     a, b = x.try_cast("double"), y.try_cast("double")
     return F.when(a.isNotNull() & b.isNotNull(), F.concat_ws(",", a.cast("string"), b.cast("string"))).otherwise("")
+
+
+# Endings of building names, and words after which an address says nothing of its place.
+BUILDINGS = (
+    "아파트|빌딩|빌라|빌|타워|타운|센터|마트|몰|오피스|오피스텔|자이|파크|힐스|위브|시티|푸르지오|프레스티지|브이원|에코|리버|더프레티움|스위첸|리첸시아|플레이스|센트럴|그라시움|아이파크|아카데미|"
+    "엔지니어링|메디컬|홈캐스트|스위트|생활|주택"
+)
+INSIDE = "단지\\s*내|관리동|관리실|키즈클럽|상가동|상가|본관|주민공동시설|종합상가|교육관|주민센터|전층"
+PLACES = "어린이집|유치원|학교|병원|약국|편의점|공원|체육관"
+
+
+def facility(address: Column) -> Column:
+    """An address of a facility up to its number: repeats, parentheses, floors, rooms and names of buildings behind it go."""
+    storey = r"(?:지[상하]\s*)?\d+(?:\s*[~,]\s*\d+)*\s*층|지[상하]\d*\s*층?|B\d+층?|\d+[Ff]"
+    room = r"(?:[A-Z]?\d+(?:[-,]\s*\d+)*|[가-힣])호|\d{2,}동"
+    steps = [
+        (r"^(.{5,}?)\s+\1(?:\s.*)?$", "$1"), (r"\([^)]*\)", " "), (r"\s+", " "), (rf"\s+(?:{storey}|{room}|{INSIDE})(?:\s.*|$)", ""), (rf"\s+[가-힣A-Z]+(?:{BUILDINGS})(?:[\sA-Z0-9].*|$)", ""),
+        (rf"((?:로|길)\d*[가-힣]*\s+\d+(?:-\d+)?)\s+[가-힣]*(?:{PLACES}).*$", "$1"), (r"((?:로|길)\s+\d+(?:-\d+)?)\s+[가-힣]+동\s+\d+(?:-\d+)?.*$", "$1"), (r"(길)(\d)", "$1 $2"), (r",\s*[^,]*$", ""), (r"[.,\-\s]+$", ""), (r"\s+", " "),
+    ]
+    return F.trim(_sub(F.trim(address), steps))

@@ -275,3 +275,31 @@ def test_search_logs_and_stats(spark):
     assert search.top_k(v, [0.0, 0.0], 3).count() == 0
     with pytest.raises(ValueError, match="unknown model"):
         search.of_model(v.withColumn("model_name", F.lit("m")), "x", ["m"])
+
+
+def test_facility_address(apply):
+    raw = ["서울 종로구 세종대로 175 세종이야기 지하1층", "서울 강남구 테헤란로 152 강남빌딩 3층", "서울 중구 을지로 12 (을지로1가) 101호", "서울 마포구 독막로 3 나라어린이집", "서울 강서구 화곡로13길5"]
+    assert apply(address.facility, *raw) == ["서울 종로구 세종대로 175 세종이야기", "서울 강남구 테헤란로 152", "서울 중구 을지로 12", "서울 마포구 독막로 3", "서울 강서구 화곡로13길 5"]
+
+
+def test_faq(apply):
+    assert apply(T.faq, "머리 구분답변\n어떻게 신청하나요?\n누리집에서 신청합니다. 네.\n무엇이 필요한가요?\n") == [["**질문:** 어떻게 신청하나요?", "**답변:** 누리집에서 신청합니다."]]
+    assert apply(T.faq, "질문내용\n1. 대상은?\n설명", "첫 문단\n둘째 줄\n\n다음") == [["**질문:** 대상은?"], ["첫 문단\n둘째 줄", "다음"]]
+    assert apply(T.table_rows, "=== 표 1 ===\n| a | b |\n|---|---|\n| 1 | 두 줄\n이어짐 |\n") == [["| a | b |", "| 1 | 두 줄 이어짐 |"]]
+    assert apply(T.is_faq, "Q1. 무엇", "평범한 글") == [True, False]
+
+
+def test_rag(spark):
+    from lodestrata.operators import rag
+
+    texts = ["전세 대출 한도 안내", "월세 지원 신청", "주택 청약 절차", ""]
+    chunks = rag.encoded(spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "id int, content string, chunk_index int"), "content", rag.hash_encoder(256))
+    queries = rag.encoded(spark.createDataFrame([(1, "월세 지원", ["월세"]), (2, "전세 대출", ["대출"])], "query_id int, query string, expected array<string>"), "query", rag.hash_encoder(256), "query_embedding")
+    for reranked in (False, True):
+        best = {r["query_id"]: r["id"] for r in rag.searched(chunks, queries, 2, reranked=reranked).where("rank = 1").collect()}
+        assert best == {1: 1, 2: 0}
+    context = {r["query_id"]: r["context"] for r in rag.augmented(rag.searched(chunks, queries, 2), queries).collect()}
+    assert "[문서 1] (관련도: " in context[1] and "월세 지원 신청" in context[1]
+    row = rag.evaluated({"m": chunks}, queries, 2).first()
+    assert row["model_name"] == "m" and row["recall_1"] == 1.0 and row["mrr"] == 1.0 and row["success_rate"] == 1.0
+    assert rag.prepared(F.lit("x"), "e5", True) is not None and rag.answered(rag.augmented(rag.searched(chunks, queries, 1), queries), F.length).count() == 2
