@@ -6,6 +6,7 @@ import re
 import tempfile
 from uuid import uuid4
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,18 @@ def spread(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def roots(links: np.ndarray) -> np.ndarray:
+    """For a symmetric boolean matrix the smallest index of each row's component."""
+    at = np.arange(len(links))
+    linked = links | np.eye(len(links), dtype=bool)
+    while True:
+        low = np.where(linked, at[None, :], len(at)).min(1)
+        low = np.minimum(low, low[low])
+        if (low == at).all():
+            return low
+        at = low
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
     """Connected components of an undirected graph: columns ``id`` and ``component_id`` (the smallest id).
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lodestrata.llm.common import components, materialise, small_batches
+from lodestrata.llm.common import components, materialise, roots, small_batches
 
 COSINE = 0.98
 #: Vectors the codebooks and the stop are fitted on, at most.
@@ -126,18 +126,6 @@ def _visit(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_pydict({**columns, "cell": pa.array(cells, pa.int64()), "home": pa.array(home)})
 
 
-def roots(links: np.ndarray) -> np.ndarray:
-    """For a symmetric boolean matrix the smallest index of each row's component."""
-    at = np.arange(len(links))
-    linked = links | np.eye(len(links), dtype=bool)
-    while True:
-        low = np.where(linked, at[None, :], len(at)).min(1)
-        low = np.minimum(low, low[low])
-        if (low == at).all():
-            return low
-        at = low
-
-
 def _compare(batches: Iterator[pa.RecordBatch], cosine: float, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Per block pair: for each vector with a link the weight of its partners, and the smallest id of its component."""
     schema = pa.schema([("id", kind), ("links", pa.int64()), ("root", kind)])

@@ -17,7 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,7 @@ THRESHOLD = 0.7
 HELD = 500_000
 
 
+@lru_cache(maxsize=200_000)
 def units_of(word: str) -> tuple[str, ...]:
     """A word's units from the most special one; beginnings carry a mark that no word has."""
     return (word, *(word[:n] + "*" for n in BEGINNINGS if len(word) >= n))
@@ -194,13 +195,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _measure(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """Segments of labelled texts under a model that leaves each text's own counts out."""
-    general = _Values(model)
+    general, known = _Values(model), model.counts.keys()
     for batch in batches:
         rows = []
         for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
             words = set(tokens_of(text))
             own = {unit for word in words for unit in units_of(word)}
-            values = {w: model.value(w, (own, toxic)) if general[w] > 0 or not toxic else general[w] for w in words}
+            # A word without a unit in the model scores the same with and without this text.
+            values = {w: general[w] if known.isdisjoint(units_of(w)) else model.value(w, (own, toxic)) for w in words}
             found, length = passages(text, values)
             scores = sorted((s for s, _, _ in found), reverse=True)
             rows.append((int(toxic), length, [float(s) for s in scores]))
