@@ -303,3 +303,18 @@ def test_rag(spark):
     row = rag.evaluated({"m": chunks}, queries, 2).first()
     assert row["model_name"] == "m" and row["recall_1"] == 1.0 and row["mrr"] == 1.0 and row["success_rate"] == 1.0
     assert rag.prepared(F.lit("x"), "e5", True) is not None and rag.answered(rag.augmented(rag.searched(chunks, queries, 1), queries), F.length).count() == 2
+
+
+def test_schemas(spark):
+    from lodestrata import schemas
+    from lodestrata.operators.upsert import accepted, checked
+
+    assert all(schemas.empty(spark, name).count() == 0 for name in schemas.TABLES)
+    users = spark.createDataFrame([(1, "a@b.org", "u", "user"), (2, "bad", "u", "user"), (3, None, "u", None), (4, "c@d.org", "u", "root")], schemas.TABLES["users"])
+    assert {r["id"]: r["error"] for r in checked(users, schemas.checks("users")).collect()} == {1: None, 2: "email", 3: None, 4: "role"}
+    assert accepted(checked(users, schemas.checks("users"))).count() == 2
+    with pytest.raises(ValueError, match="no parent"):
+        schemas.enforced(users, "id", users.where("id = 1"), "id", "restrict")
+    stamp = spark.sql("SELECT 1 AS id, timestamp'2024-01-01' AS updated_at")
+    child = spark.sql("SELECT 1 AS conversation_id, timestamp'2024-02-01' AS created_at")
+    assert str(schemas.touched(stamp, "id", child, "conversation_id", "created_at").first()["updated_at"]).startswith("2024-02-01")
