@@ -8,8 +8,10 @@ and the whole shingle sets decide the rest.
 
 Rows with equal sets form one class and are compared once. Members of a band's group are
 linked to one centre a block, and centres to the centre before, so no text has many
-partners; groups that this leaves in several components are then compared whole, in blocks
-of sketches. So every pair that shares a band is either in one component already or tested.
+partners. Groups that this leaves in several components are then compared whole, in blocks
+of sketches; of these comparisons only the clusters of promising texts go on, never their
+pairs, and the texts of a cluster are compared whole, again in blocks. So every pair that
+shares a band is in one component already, or tested.
 """
 
 from __future__ import annotations
@@ -21,19 +23,19 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lodestrata.llm.common import components, materialise, small_batches
+from lodestrata.llm.common import components, materialise, roots, small_batches
 
 #: Words of a shingle and the link threshold, in hundredths, of the general operator.
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 48, 6
 #: Pairs whose estimate is lower than the threshold by so many standard errors are dropped.
 ERRORS = 6.0
-#: Members of a band's group to a centre, and sketches to a block.
-BLOCK = 256
+#: Members of a band's group to a centre, and texts to a block; sketches to a block.
+BLOCK, SKETCHES = 256, 256
 MANTISSA = 10
 EMPTY = 0xFFFF
 #: Characters of text hashed at once, and word hashes kept, in one worker.
@@ -172,24 +174,66 @@ def _screen(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep))
 
 
-def _screen_blocks(batches: Iterator[pa.RecordBatch], threshold: float, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _sides(row: dict) -> tuple[list[dict], list[dict], np.ndarray, np.ndarray]:
+    """The members of a block pair, and for each pair of them whether they lie in different components and their estimate leaves a link possible."""
+    left, right = row["left"], row["right"]
+    grids = [np.frombuffer(b"".join(x["sketch"] for x in m), dtype="<u2").reshape(len(m), -1) for m in (left, right)]
+    groups = [np.array([x["component_id"] for x in m]) for m in (left, right)]
+    found = np.zeros((len(left), len(right)))
+    likely = np.zeros((len(left), len(right)), dtype=bool)
+    for at in range(len(left)):
+        apart = np.flatnonzero(groups[1] != groups[0][at])
+        if len(apart):
+            found[at, apart], n = estimate(grids[1][apart], grids[0][at][None, :])
+            likely[at, apart] = found[at, apart] >= row["threshold"] - ERRORS * np.sqrt(row["threshold"] * (1 - row["threshold"]) / n)
+    return left, right, likely, found
+
+
+def _cluster(batches: Iterator[pa.RecordBatch], threshold: float, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """For each member of a block pair with a promising partner the smallest id of its local cluster."""
     for batch in batches:
-        a_ids, b_ids = [], []
         for row in batch.to_pylist():
-            left, right = row["left"], row["right"]
-            same = row["i"] == row["j"]
-            grid = np.frombuffer(b"".join(x["sketch"] for x in right), dtype="<u2").reshape(len(right), -1)
-            group = np.array([x["component_id"] for x in right])
-            for at, x in enumerate(left):
-                apart = group != x["component_id"]
-                if same:
-                    apart[: at + 1] = False
-                if apart.any():
-                    where = np.flatnonzero(apart)
-                    for y in where[promising(grid[where], np.frombuffer(x["sketch"], dtype="<u2")[None, :], threshold)]:
-                        a_ids.append(max(x["id"], right[y]["id"]))
-                        b_ids.append(min(x["id"], right[y]["id"]))
-        yield pa.RecordBatch.from_arrays([pa.array(a_ids, kind), pa.array(b_ids, kind)], ["a", "b"])
+            left, right, likely, _ = _sides(row | {"threshold": threshold})
+            if not likely.any():
+                continue
+            ids, place = np.unique(np.array([x["id"] for x in left + right]), return_inverse=True)
+            joined = np.zeros((len(ids), len(ids)), dtype=bool)
+            i, j = np.nonzero(likely)
+            joined[place[: len(left)][i], place[len(left) :][j]] = True
+            joined |= joined.T
+            some = np.flatnonzero(joined.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some].tolist(), kind), pa.array(ids[roots(joined)[some]].tolist(), kind)], ["a", "b"])
+
+
+def _link(batches: Iterator[pa.RecordBatch], words: int, percent: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Links between whole texts of a block pair that join components, the most alike first; texts that are joined by then are not compared."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            left, right, likely, found = _sides(row | {"threshold": percent / 100})
+            parent: dict = {}
+
+            def root(x: object, parent: dict = parent) -> object:
+                while (y := parent.setdefault(x, x)) != x:
+                    parent[x] = x = parent.setdefault(y, y)
+                return x
+
+            i, j = np.nonzero(likely)
+            sets: dict = {}
+            links = []
+            for k in np.argsort(-found[i, j], kind="stable"):
+                x, y = left[i[k]], right[j[k]]
+                c, d = root(x["component_id"]), root(y["component_id"])
+                if c == d:
+                    continue
+                for side, m in ((0, i[k]), (1, j[k])):
+                    if (side, m) not in sets:
+                        sets[side, m] = shingle_set((left, right)[side][m]["text"], words)
+                s, t = sets[0, i[k]], sets[1, j[k]]
+                both = len(s & t)
+                if both and 100 * both >= percent * (len(s) + len(t) - both):
+                    parent[c] = d
+                    links.append((max(x["id"], y["id"]), min(x["id"], y["id"])))
+            yield pa.RecordBatch.from_arrays([pa.array([e[n] for e in links], kind) for n in (0, 1)], ["a", "b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], words: int, percent: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -237,23 +281,22 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
 def bands(found: DataFrame) -> DataFrame:
     """Columns id and key: a row for each band of a sketch that holds a shingle."""
     size = 2 * ROWS
-    keys = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda x: F.when(_slice(x, size) != F.lit(b"\xff" * size), F.xxhash64(x, _slice(x, size))),
-    )
+    part = lambda x: F.substr(F.col("sketch"), x * size + 1, F.lit(size))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda x: F.when(part(x) != F.lit(b"\xff" * size), F.xxhash64(x, part(x))))
     return found.select("id", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"))
 
 
-def _slice(x: Column, size: int) -> Column:
-    return F.substr(F.col("sketch"), x * size + 1, F.lit(size))
+def shared_bands(held: DataFrame) -> DataFrame:
+    """key, id, n and low (the smallest id) of the bands that several sketches share."""
+    each = bands(held)
+    groups = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).where("n > 1")
+    return each.join(groups, "key").select("key", "id", "n", "low")
 
 
-def star_pairs(found: DataFrame) -> DataFrame:
+def star_pairs(shared: DataFrame) -> DataFrame:
     """Pairs (a, b), a > b, that link every member of a band's group to its block's centre, and each centre to the one before."""
-    groups = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).where("n > 1")
-    small = found.join(groups.where(f"n <= {BLOCK}"), "key").where("id > low").select(F.col("id").alias("a"), F.col("low").alias("b"))
-    large = found.join(groups.where(f"n > {BLOCK}").select("key", "n"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
-    large = materialise(large.select("key", "block", "id"), "large-groups")
+    small = shared.where(f"n <= {BLOCK} AND id > low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    large = shared.where(f"n > {BLOCK}").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))).select("key", "block", "id")
     centres = large.groupBy("key", "block").agg(F.min("id").alias("low"))
     members = large.join(centres, ["key", "block"]).where("id > low").select(F.col("id").alias("a"), F.col("low").alias("b"))
     before = F.lag("low").over(Window.partitionBy("key").orderBy("low"))
@@ -261,24 +304,35 @@ def star_pairs(found: DataFrame) -> DataFrame:
     return small.unionByName(members).unionByName(line).distinct()
 
 
-def open_pairs(found: DataFrame, held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Promising pairs in different components within a band's group, by comparing the group in blocks of sketches.
+def block_pairs(members: DataFrame, group: str, held: list[str], most: int) -> DataFrame:
+    """left and right: blocks of up to about ``most`` members of a group, all pairs of blocks but those within the group's main component.
 
-    ``found``: id, key; ``held``: id, sketch; ``labels``: id, component_id of linked ids.
+    ``members`` has the group, id and component_id; groups of one component are left out.
     """
-    kind = found.schema["id"].dataType
-    marked = found.join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    groups = marked.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("lo"), F.max("component_id").alias("hi"))
-    groups = groups.where("n > 2 AND lo != hi").select("key", "n")
-    members = materialise(
-        marked.join(groups, "key").select("key", "id", "component_id", F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("n") / BLOCK)).alias("block")), "open-groups"
-    )
-    packed = members.join(held, "id").groupBy("key", "block").agg(F.collect_list(F.struct("id", "component_id", "sketch")).alias("members"))
-    left = packed.select("key", F.col("block").alias("i"), F.col("members").alias("left"))
-    right = packed.select("key", F.col("block").alias("j"), F.col("members").alias("right"))
-    both = left.join(right, "key").where("i <= j").select("i", "j", "left", "right")
-    name = kind.simpleString()
-    return both.mapInArrow(partial(_screen_blocks, threshold=percent / 100, kind=to_arrow_type(kind)), f"a {name}, b {name}").distinct()
+    sizes = members.groupBy(group, "component_id").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy(group).agg(F.max_by("component_id", F.struct("size", "component_id")).alias("main"), F.sum("size").alias("total"), F.max("size").alias("largest")).where("total > largest")
+    is_main = F.col("component_id") == F.col("main")
+    count = F.ceil(F.when(is_main, F.col("largest")).otherwise(F.col("total") - F.col("largest")) / most)
+    placed = members.join(main, group).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), count) * 2 + is_main.cast("int"))
+    packed = placed.groupBy(group, "block").agg(F.collect_list(F.struct("id", "component_id", *held)).alias("members"))
+    left = packed.select(group, F.col("block").alias("i"), F.col("members").alias("left"))
+    right = packed.select(group, F.col("block").alias("j"), F.col("members").alias("right"))
+    return left.join(right, group).where("i <= j AND (i % 2 = 0 OR j % 2 = 0)").select("left", "right")
+
+
+def open_links(shared: DataFrame, held: DataFrame, labels: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that the centres missed: shared: key, id; held: id, sketch; labels: id, component_id of the ids linked so far."""
+    kind = shared.schema["id"].dataType
+    name, arrow = kind.simpleString(), to_arrow_type(kind)
+    marked = shared.where("n > 2").select("key", "id").join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    several = marked.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo != hi").select("key")
+    members = materialise(marked.join(several, "key").join(held, "id").select("key", "id", "component_id", "sketch"), "open-groups")
+    near = block_pairs(members, "key", ["sketch"], SKETCHES).mapInArrow(partial(_cluster, threshold=percent / 100, kind=arrow), f"a {name}, b {name}")
+    clusters = materialise(components(near), "clusters").withColumnRenamed("component_id", "cluster")
+    named = clusters.join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "id")).join(held, "id")
+    whole = named.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select("cluster", "id", "component_id", "sketch", "text")
+    pairs = block_pairs(materialise(whole, "open-texts"), "cluster", ["sketch", "text"], BLOCK)
+    return pairs.mapInArrow(partial(_link, words=words, percent=percent, kind=arrow), f"a {name}, b {name}")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -298,8 +352,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = materialise(classes, "classes")
     first = real.select(F.col("doc_id").alias("id"), "k1", "k2", "sketch").dropDuplicates(["id", "k1", "k2"])
     held = materialise(first.join(classes.select("id", "k1", "k2"), ["id", "k1", "k2"]).select("id", "sketch"), "representatives")
-    found = materialise(bands(held).distinct(), "bands")
-    pairs = materialise(star_pairs(found), "pairs")
+    shared = materialise(shared_bands(held), "bands")
+    pairs = materialise(star_pairs(shared), "pairs")
     with_sketches = pairs.join(held.select(F.col("id").alias("a"), F.col("sketch").alias("a_sketch")), "a").join(
         held.select(F.col("id").alias("b"), F.col("sketch").alias("b_sketch")), "b"
     )
@@ -310,10 +364,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     together = members.where("size(all) > 1").select(F.explode("all").alias("a"), F.col("class_id").alias("b")).where("a != b")
     links = materialise(verified(likely, docs, words, percent).unionByName(together), "links")
     labels = materialise(components(links), "components")
-    more = materialise(open_pairs(found, held, labels, percent).join(pairs, ["a", "b"], "left_anti"), "open-pairs")
+    more = materialise(open_links(shared, held, labels, docs, words, percent), "open-links")
     if not more.isEmpty():
-        links = materialise(links.unionByName(verified(more, docs, words, percent)), "links")
-        labels = materialise(components(links), "components")
+        labels = materialise(components(links.unionByName(more)), "components")
     places = members.select("doc_id", "class_id").join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
     places = places.select("doc_id", F.coalesce("component_id", "class_id").alias("component_id"))
     joined = table.select("doc_id", "n_shingles").join(places, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
