@@ -134,19 +134,23 @@ def fingerprint_edits(docs: DataFrame, share: int = 4) -> DataFrame:
     ids = sized.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("want").alias("want"))
     order = materialise(neighbours(ids), "next-ids")
     wanted = order.select(F.col("next_id").alias("w_id"), F.col("doc_id").alias("for_id"), "want")
-    dealt = base.repartition(spread(docs), "doc_id")
+    # Both joins filter alike, so that they share one exchange of the texts.
+    dealt = base.where("doc_id IS NOT NULL").repartition(spread(docs), "doc_id")
     heads = (
         dealt.join(wanted, dealt["doc_id"] == F.col("w_id")).select("for_id", F.substr("text", F.lit(1), F.col("want").cast("int")).alias("head"))
         .groupBy("for_id").agg(F.min("head").alias("head"))
     )
+    paired = dealt.join(heads, dealt["doc_id"] == F.col("for_id"), "left").withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")).cast("long"))
+    nameless = base.where("doc_id IS NULL").withColumn("head", F.lit(None).cast("string")).withColumn("row", F.monotonically_increasing_id())
     n, cut = F.length("text"), F.floor(F.length("text") / share).cast("int")
-    edited = (
-        dealt.join(heads, dealt["doc_id"] == F.col("for_id"), "left")
-        .withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-        .select("doc_id", "row", n.cast("long").alias("n_chars"), "text", F.concat(F.substr("text", F.lit(1), n - cut), F.substr(F.coalesce("head", F.lit("")), F.lit(1), cut)).alias("edited"))
-    )
-    keyed = edited.withColumn("edited_sha256", F.sha2("edited", 256))
-    prints = signatures(keyed, ["doc_id", "row", "n_chars", "edited_sha256"], ["text", "edited"])
+    edit = F.concat(F.substr("text", F.lit(1), n - cut), F.substr(F.coalesce("head", F.lit("")), F.lit(1), cut))
+
+    def printed(rows: DataFrame) -> DataFrame:
+        edited = rows.select("doc_id", "row", n.cast("long").alias("n_chars"), "text", edit.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
+        return signatures(edited, ["doc_id", "row", "n_chars", "edited_sha256"], ["text", "edited"])
+
+    # Joined rows lie by doc_id already, so their texts are not shuffled again; the others never were.
+    prints = printed(paired).unionByName(printed(nameless))
     prints = materialise(
         prints.select("doc_id", "n_chars", "edited_sha256", F.col("text_fingerprint").alias("fingerprint"), F.col("edited_fingerprint")), "fingerprints"
     )
