@@ -35,7 +35,7 @@ BANDS, ROWS = 48, 6
 #: Pairs whose estimate is lower than the threshold by so many standard errors are dropped.
 ERRORS = 6.0
 #: Members of a band's group to a centre, and texts to a block; sketches to a block.
-BLOCK, SKETCHES = 256, 256
+BLOCK, SKETCHES = 256, 1024
 MANTISSA = 10
 EMPTY = 0xFFFF
 #: Characters of text hashed at once, and word hashes kept, in one worker.
@@ -317,7 +317,9 @@ def block_pairs(members: DataFrame, group: str, held: list[str], most: int) -> D
     packed = placed.groupBy(group, "block").agg(F.collect_list(F.struct("id", "component_id", *held)).alias("members"))
     left = packed.select(group, F.col("block").alias("i"), F.col("members").alias("left"))
     right = packed.select(group, F.col("block").alias("j"), F.col("members").alias("right"))
-    return left.join(right, group).where("i <= j AND (i % 2 = 0 OR j % 2 = 0)").select("left", "right")
+    pairs = left.join(right, group).where("i <= j AND (i % 2 = 0 OR j % 2 = 0)")
+    # A group's block pairs meet in one task; from there they are dealt out one by one.
+    return pairs.repartition(group, "i", "j").select("left", "right")
 
 
 def open_links(shared: DataFrame, held: DataFrame, labels: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:

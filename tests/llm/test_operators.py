@@ -137,6 +137,7 @@ def near_copies():
 @pytest.mark.parametrize("words", [2, 5])
 def test_near_duplicates(spark, monkeypatch, words):
     monkeypatch.setattr(hyperminhash, "BLOCK", 8)
+    monkeypatch.setattr(hyperminhash, "SKETCHES", 16)
     held = near_copies() | {5000: None, 5001: "", 5002: " \t", 5003: "solo", 5004: "SOLO", 5005: LONG, 5006: LONG + "x"}
     want, sizes = brute.near(held, words)
     df = spark.createDataFrame([(i, t, "c", 1) for i, t in held.items()], "doc_id long, text string, component_id string, k1 int")
