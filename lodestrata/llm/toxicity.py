@@ -159,7 +159,9 @@ class _Values(dict):
     def __missing__(self, word: str) -> float:
         if len(self) > HELD:
             self.clear()
-        self[word] = found = self.model.value(word)
+        known = self.model.counts
+        likely = word in known or any(word[:n] + "*" in known for n in BEGINNINGS)
+        self[word] = found = self.model.value(word) if likely else -DRIFT
         return found
 
 
