@@ -23,10 +23,6 @@ def mixed(similarity: Column, score: Column, weight: float) -> Column:
     return similarity * (1 - weight) + score * weight
 
 
-def keyword_score(query: Column, content: Column) -> Column:
-    return overlap(keyword_tokens(query), keyword_tokens(content))
-
-
 def length_score(content: Column, optimal: int = OPTIMAL_LENGTH) -> Column:
     """1 at the optimal length, less with the distance from it."""
     return 1.0 / (1.0 + F.abs(F.length(content) - optimal) / optimal)
@@ -37,8 +33,14 @@ def position_score(chunk_index: Column) -> Column:
     return 1.0 / (1.0 + F.coalesce(chunk_index, F.lit(0)) * 0.1)
 
 
+def _ready(c: DataFrame, name: str, suffix: str, made: Column) -> Column:
+    """The tokens that the candidates bring along as ``<name>_<suffix>``, or else ``made``."""
+    return F.col(f"{name}_{suffix}") if f"{name}_{suffix}" in c.columns else made
+
+
 def by_keywords(c: DataFrame, query: str = "query", weight: float = KEYWORD_WEIGHT) -> DataFrame:
-    scored = c.withColumn("keyword_score", keyword_score(F.col(query), F.col("content")))
+    wanted, held = (_ready(c, name, "tokens", keyword_tokens(F.col(name))) for name in (query, "content"))
+    scored = c.withColumn("keyword_score", overlap(wanted, held))
     return scored.withColumn("rerank_score", mixed(F.col("similarity"), F.col("keyword_score"), weight))
 
 
@@ -75,7 +77,7 @@ def simple(c: DataFrame, query: str = "query") -> DataFrame:
     """0.7 similarity, 0.2 shared words, 0.1 length (0.8 for texts below 50 characters, 0.9 above 1000)."""
     n = F.length("content")
     length = F.when(n < 50, 0.8).when(n > 1000, 0.9).otherwise(1.0)
-    shared = overlap(words(F.lower(F.col(query))), words(F.lower(F.col("content"))))
+    shared = overlap(*(_ready(c, name, "words", words(F.lower(F.col(name)))) for name in (query, "content")))
     return c.withColumn("rerank_score", F.col("similarity") * 0.7 + shared * 0.2 + length * 0.1)
 
 

@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.functions.text import keyword_tokens, words
 from lodestrata.operators import augment, evaluate, rerank, search
 from lodestrata.operators.lookup import small
 from lodestrata.plans.registry import query
 from lodestrata.session import table
 
 SIM = "CAST((doc_id * 7919 + item_id * 104729) % 1000 AS DOUBLE) / 1000"
-#: Results of a query: documents whose key falls to it, and each item's number of them differs.
+#: Filter of the SQL alone: the Spark queries take every document as a candidate of every item.
 PICK = "(doc_id * 31 + item_id * 17) % 97 < item_id % 4"
 TOKENS = "[가-힣a-zA-Z0-9]+"
 
@@ -89,11 +90,31 @@ def embedding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 CANDIDATES_SQL = f"""items AS (SELECT item_id, text AS query FROM benchmark), cand AS (SELECT item_id AS query_id, query, d.doc_id, d.text AS content, {SIM} AS similarity, d.doc_id % 7 AS chunk_index FROM items JOIN documents d ON {PICK})"""
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = small(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
-    joined = docs.join(items, F.expr(PICK))
-    return joined.selectExpr("item_id AS query_id", "query", "doc_id", "doc_id AS prior_rank", "content", f"{SIM} AS similarity", "CAST(doc_id % 7 AS INT) AS chunk_index")
+    """Every document for every item. Tokens are taken before the join, once a text; columns that a query does not read cost nothing."""
+
+    def tokenised(rows: DataFrame, name: str) -> DataFrame:
+        text = F.col(name)
+        return rows.withColumns({f"{name}_tokens": F.array_distinct(keyword_tokens(text)), f"{name}_words": F.array_distinct(words(F.lower(text)))})
+
+    items = small(tokenised(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query")), "query"))
+    docs = documents(spark, sf_dir)
+    # A file may be one task; a pair costs more than the shuffle of a text.
+    dealt = docs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "doc_id")
+    joined = tokenised(dealt, "content").crossJoin(items)
+    return joined.selectExpr(
+        "item_id AS query_id", "query", "doc_id", "doc_id AS prior_rank", "content", f"{SIM} AS similarity", "CAST(doc_id % 7 AS INT) AS chunk_index", "query_tokens", "query_words", "content_tokens", "content_words",
+    )
+
+
+def nearest(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    """The ``k`` candidates of the greatest similarity of each item; texts are joined to these alone."""
+    thin = candidates(spark, sf_dir).select("query_id", "doc_id", "prior_rank", "similarity")
+    return rerank.ranked(thin, "similarity", k).join(documents(spark, sf_dir), "doc_id")
 
 
 TOKEN_SQL = f"list_filter(regexp_extract_all(lower({{c}}), '{TOKENS}'), lambda x: length(x) >= 2)"
@@ -149,12 +170,12 @@ SELECT query_id, doc_id, rank, CAST(CASE WHEN over = 0 THEN n ELSE 1000 - (total
 )
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """win_context_budget, aug_select with a budget of 1000 words."""
-    return augment.selected(candidates(spark, sf_dir), 1000).select("query_id", "doc_id", "rank", F.col("n_words").cast("bigint").alias("n_words"))
+    return augment.selected(nearest(spark, sf_dir), 1000).select("query_id", "doc_id", "rank", F.col("n_words").cast("bigint").alias("n_words"))
 
 
 def _context(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    docs = augment.selected(candidates(spark, sf_dir)).withColumn("source", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
+    docs = augment.selected(nearest(spark, sf_dir)).withColumn("source", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
     return docs.select("query_id", "rank", "content", "similarity", "source"), queries
 
 
@@ -178,7 +199,7 @@ FROM items LEFT JOIN p ON item_id = query_id""",
 def context_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """aug_context for questions: the three best documents, whole."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    top = augment.selected(candidates(spark, sf_dir), budget=1 << 40, most=3)
+    top = augment.selected(nearest(spark, sf_dir, 3), budget=1 << 40, most=3)
     return augment.question_answering(top, queries).select("query_id", F.md5("context").alias("context_md5"))
 
 
@@ -188,9 +209,9 @@ hit AS (SELECT top.query_id, rank, similarity, list_filter(expected, lambda k: c
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    results = rerank.ranked(candidates(spark, sf_dir), "similarity", 5).select("query_id", "doc_id", "rank", "content", "similarity")
-    words = F.slice(F.split(F.trim("text"), r"\s+"), 1, 3)
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.array_distinct(words).alias("expected"))
+    results = nearest(spark, sf_dir).select("query_id", "doc_id", "rank", "content", "similarity")
+    first = F.slice(F.split(F.trim("text"), r"\s+"), 1, 3)
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.array_distinct(first).alias("expected"))
     return results, queries
 
 
