@@ -1,14 +1,12 @@
 """Document fingerprints by consistent weighted sampling. Spark SQL expressions only.
 
 A text is a set of weighted terms: its pairs of neighbouring words, lower-cased, weighted
-by how often they occur. For term k of weight w and sample s, draws that depend on (k, s)
-alone give r and c ~ Gamma(2, 1) and b ~ Uniform(0, 1); with t = floor(ln w / r + b) the
-term's value is ln c - r * (t - b + 1), and the sample is the term and t of the least
-value. Two texts agree in a sample with the probability of their generalised Jaccard
-similarity. Terms are dealt to bins by a hash and compete within their bin only, for a few
-samples each, so a text costs a few evaluations a term, however long the signature. A
-slot is a hash of the least value, which determines term and t. Slots empty in both texts
-say nothing and are left out of the likeness.
+by how often they occur. Weights are whole numbers, so a term of weight w stands for w
+numbered copies, and each sample is the copy of the least hash under the sample's own
+hash function: all copies compete in every sample. The n-th copy of a term is the same in
+every text, whatever the term's weight there, so that two texts agree in a sample with the
+probability of their generalised Jaccard similarity. A slot is a hash of the least value,
+which determines the copy.
 """
 
 from __future__ import annotations
@@ -20,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import materialise, spread
 
-BINS, EACH, HEX = 16, 4, 4
+SAMPLES, HEX = 64, 4
 EMPTY = "-" * HEX
 
 
@@ -60,48 +58,28 @@ def weighted(found: Column) -> Column:
     return bound(F.sort_array(found), lambda o: F.when(F.size(o) > 0, runs(o)).otherwise(none))
 
 
-def _uniform(bits: Column, low: int, width: int) -> Column:
-    part = F.shiftrightunsigned(bits, low).bitwiseAND(F.lit((1 << width) - 1)) if low else bits.bitwiseAND(F.lit((1 << width) - 1))
-    return (part.cast("double") + 0.5) / float(1 << width)
-
-
-def value(term: Column, weight: Column, sample: int) -> Column:
-    """The logarithm of a term's value for one sample."""
-    one, two = F.xxhash64(term, F.lit(2 * sample)), F.xxhash64(term, F.lit(2 * sample + 1))
-    r = -F.log(_uniform(one, 0, 21) * _uniform(one, 21, 21))
-    b = _uniform(one, 42, 21)
-    c = -F.log(_uniform(two, 0, 32) * _uniform(two, 32, 31))
-    t = F.floor(F.log(weight.cast("double")) / r + b)
-    return F.log(c) - r * (t - b + 1.0)
+def copies(found: Column) -> Column:
+    """A hash of each copy of each term: of the term and the copy's number, from 1."""
+    return F.flatten(F.transform(weighted(found), lambda t: F.transform(F.sequence(F.lit(1), t["weight"]), lambda i: F.xxhash64(t["term"], i))))
 
 
 def signatures(texts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """``keys``, which identify a row, and a fingerprint of each text column, named ``<column>_fingerprint``.
 
-    All grouping is by the keys and the bin; rows partitioned by a key already are not
-    shuffled again, others meet as one short row per bin and task.
+    All grouping is by the keys; rows partitioned by a key already are not shuffled again,
+    others meet as one row of minima per text and task.
     """
-    tagged = F.array(*[F.struct(F.lit(i).alias("which"), weighted(terms(F.col(c))).alias("terms")) for i, c in enumerate(columns)])
-    each = texts.select(*keys, F.explode(tagged).alias("t")).select(*keys, "t.which", F.explode_outer("t.terms").alias("x"))
-    drawn = each.select(
-        *keys, (F.col("which") * BINS + F.pmod("x.term", F.lit(BINS))).cast("int").alias("bin"),
-        *[value(F.col("x.term"), F.col("x.weight"), s).alias(f"v{s}") for s in range(EACH)],
-    )
-    least = drawn.groupBy(*keys, "bin").agg(*[F.min(f"v{s}").alias(f"v{s}") for s in range(EACH)])
-    slot = F.concat(*[F.substring(F.lower(F.lpad(F.hex(F.xxhash64(f"v{s}")), 16, "0")), 1, HEX) for s in range(EACH)])
-    filled = F.when(F.col("bin").isNotNull(), F.struct("bin", slot.alias("slot")))
-    bins = least.groupBy(*keys).agg(F.map_from_entries(F.collect_list(filled)).alias("bins"))
-
-    def whole(which: int) -> Column:
-        places = F.sequence(F.lit(which * BINS), F.lit(which * BINS + BINS - 1))
-        return F.array_join(F.transform(places, lambda i: F.coalesce(F.try_element_at("bins", i), F.lit(EMPTY * EACH))), "")
-
-    return bins.select(*keys, *[whole(i).alias(f"{c}_fingerprint") for i, c in enumerate(columns)])
+    tagged = F.array(*[F.struct(F.lit(i).alias("which"), copies(terms(F.col(c))).alias("copies")) for i, c in enumerate(columns)])
+    each = texts.select(*keys, F.explode(tagged).alias("t")).select(*keys, "t.which", F.explode_outer("t.copies").alias("x"))
+    least = each.groupBy(*keys, "which").agg(F.count("x").alias("n"), *[F.min(F.xxhash64("x", F.lit(s))).alias(f"v{s}") for s in range(SAMPLES)])
+    slots = F.concat(*[F.substring(F.lower(F.lpad(F.hex(F.xxhash64(f"v{s}")), 16, "0")), 1, HEX) for s in range(SAMPLES)])
+    whole = least.select(*keys, "which", F.when(F.col("n") > 0, slots).otherwise(EMPTY * SAMPLES).alias("slots"))
+    return whole.groupBy(*keys).agg(*[F.max(F.when(F.col("which") == i, F.col("slots"))).alias(f"{c}_fingerprint") for i, c in enumerate(columns)])
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal slots among those filled in at least one fingerprint; 1 if both are of texts without terms."""
-    slots = F.transform(F.sequence(F.lit(0), F.lit(BINS * EACH - 1)), lambda i: F.struct(F.substr(a, i * HEX + 1, F.lit(HEX)).alias("a"), F.substr(b, i * HEX + 1, F.lit(HEX)).alias("b")))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda i: F.struct(F.substr(a, i * HEX + 1, F.lit(HEX)).alias("a"), F.substr(b, i * HEX + 1, F.lit(HEX)).alias("b")))
     filled = F.filter(slots, lambda s: (s["a"] != EMPTY) | (s["b"] != EMPTY))
     share = bound(filled, lambda f: F.when(F.size(f) == 0, 1.0).otherwise(F.try_divide(F.size(F.filter(f, lambda s: s["a"] == s["b"])).cast("double"), F.size(f))))
     return F.when(a.isNotNull() & b.isNotNull(), share)
