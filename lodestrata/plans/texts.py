@@ -102,8 +102,8 @@ def page_text_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("page_lines")
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pdf_visible_chars, pdf_lines, pdf_paragraphs: each page's first words as characters on a grid."""
-    words = F.posexplode(F.slice(T.words(pages.plain(F.col("html"))), 1, 60)).alias("seq", "text")
+    """pdf_visible_chars, pdf_lines, pdf_paragraphs: each page's words as characters on a grid, ten a line."""
+    words = F.posexplode(T.words(pages.plain(F.col("html")))).alias("seq", "text")
     placed = table(spark, sf_dir, "pages").select(F.col("url").alias("file"), F.col("page_id").alias("page"), words)
     n = F.col("seq")
     chars = placed.select(

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from lodestrata.functions import text as T
+from lodestrata.operators import layout, pages
 from lodestrata.plans import catalog, retrieval
 from tests.helpers import same
 
@@ -27,3 +31,22 @@ def test_contexts_of_all(spark, sf, duck):
         best = sorted(docs, key=lambda d: (-((d[0] * 7919 + item * 104729) % 1000), d[0]))[:5]
         found = [d["metadata"]["source"] for d in rows[item]]
         assert found and found == [f"doc {i}" for i, _ in best][: len(found)] and rows[item][0]["content"].split()[:40] == best[0][1].split()[:40]
+
+
+def test_lines_of_all_words(spark, sf, tmp_path):
+    """The paragraphs of all words of each page, ten a line; a heading starts one and ends it."""
+    made = [(i, f"u{i}", "<html><body><p>" + " ".join(f"w{j}" if j % 70 else "[heading]" for j in range(1, n + 1)) + "</p></body></html>") for i, n in ((1, 60), (2, 61), (3, 437), (4, 5))]
+    spark.createDataFrame(made, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for where in (str(tmp_path), sf):
+        held = spark.read.parquet(f"{where}/pages.parquet").select("url", "page_id", T.words(pages.plain(F.col("html"))).alias("words")).collect()
+        want = {}
+        for r in held:
+            number, after = 0, False
+            for i in range(0, len(r["words"]), 10):
+                line = "".join(r["words"][i : i + 10])
+                heading = bool(re.search(layout.HEADINGS, line.strip(), re.ASCII))
+                number += heading or after
+                after = heading
+                want.setdefault((r["url"], r["page_id"], number), []).append(line)
+        got = {(r["file"], r["page"], r["paragraph_no"]): r["text"] for r in catalog.QUERIES["page_lines"](spark, where).collect()}
+        assert max(len(r["words"]) for r in held) > 60 and got == {k: " ".join(v) for k, v in want.items()}
