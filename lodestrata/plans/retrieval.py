@@ -49,9 +49,9 @@ def knn_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 5""",
 )
 def knn_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """topk_knn_multi_query: every fiftieth vector is a query, against all."""
+    """topk_knn_multi_query: every vector whose id is divisible by 20 is a query, against all."""
     v = vectors(spark, sf_dir).select("id", "embedding")
-    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    q = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     return search.top_k_each(v, q, 5, -1.0).select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
@@ -63,7 +63,7 @@ FROM embeddings e JOIN embeddings q ON e.label = q.label WHERE q.vec_id % 50 = 0
 def knn_multi_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """topk_knn_multi_model, vec_model_dispatch: each model searches its own vectors."""
     v = vectors(spark, sf_dir)
-    q = v.where("id % 50 = 0").select("label", F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    q = v.where("id % 20 = 0").select("label", F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     return search.top_k_each(v, q, 3, -1.0, ["label"]).select("label", "query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
 
 

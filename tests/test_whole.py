@@ -50,3 +50,10 @@ def test_lines_of_all_words(spark, sf, tmp_path):
                 want.setdefault((r["url"], r["page_id"], number), []).append(line)
         got = {(r["file"], r["page"], r["paragraph_no"]): r["text"] for r in catalog.QUERIES["page_lines"](spark, where).collect()}
         assert max(len(r["words"]) for r in held) > 60 and got == {k: " ".join(v) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("name", ["knn_multi", "knn_multi_model"])
+def test_all_queries(spark, sf, duck, name):
+    """Every vector whose id is divisible by 20 is a query."""
+    assert "q.vec_id % 50 = 0" in catalog.ORACLE[name]
+    same(catalog.QUERIES[name](spark, sf), duck.execute(catalog.ORACLE[name].replace("q.vec_id % 50 = 0", "q.vec_id % 20 = 0")))
