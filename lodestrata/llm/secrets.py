@@ -4,7 +4,8 @@ A credential has parts: an access identifier, a secret and an endpoint. A strong
 ``password = ...`` assignment, an access key, a long hexadecimal run) is reported alone. A
 weak part (a user name, a mixed-case random string, a URL) is reported only if a part of a
 complementary role lies within the same scope of a document: an interval join on
-(document, bin of offsets), so no document's parts meet in one place.
+(document, bin of offsets), so no document's parts meet in one place. Parts are found whole,
+whatever their length; a random string, an encoded blob too, is told by its characters and entropy.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ BASE = ("assign", "access", "hex")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 
 WEAK = {
-    "endpoint": re.compile(r"\b(?:https?|jdbc:[a-z]+|s3|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,2000}"),
-    "identity": re.compile(r"""(?i)\b(?:user(?:_?name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,200})"""),
-    "random": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/_=-])"),
+    "endpoint": re.compile(r"\b(?:https?|jdbc:[a-z]+|s3|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}"),
+    "identity": re.compile(r"""(?i)\b(?:user(?:_?name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,})"""),
+    "random": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])"),
 }
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "endpoint": "endpoint", "identity": "identifier", "random": "secret"}
 SCOPE = 400

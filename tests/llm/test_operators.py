@@ -439,6 +439,20 @@ def test_secret_links(spark):
         assert sorted(linked) == sorted(got[i])
 
 
+def test_long_parts(spark):
+    """Weak parts of any length are found whole, also beside a long text without one."""
+    token = "".join(chr(65 + i * 7 % 26) + chr(97 + i * 11 % 26) + str(i * 3 % 10) for i in range(1000))
+    url, name = "https://example.org/" + "path/" * 1000 + "end", "n" * 1000
+    held = {1: f"{url} login={name} here", 2: f"user: bob {token}== here", 3: f"user: bob {token[:129]} here", 4: f"{token} alone", 5: f"{url} {token}", 6: "user: bob " + "Ab1" * 5000}
+    rows = spark.createDataFrame(list(held.items()), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], held[r["doc_id"]][s["start"] : s["end"]]) for s in r["spans"]] for r in secrets.find_secrets(rows).collect()}
+    assert got[1] == [("endpoint", url), ("identity", f"login={name}")] and got[4] == []
+    assert got[2] == [("identity", "user: bob"), ("random", f"{token}==")] and got[3] == [("identity", "user: bob"), ("random", token[:129])]
+    assert got[5] == [("endpoint", url), ("random", token)] and got[6] == []  # entropy, not length, decides on the last
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(rows).collect()}
+    assert clean[1] == "[secret] [secret] here" and clean[2] == "[secret] [secret] here" and clean[5] == "[secret] [secret]"
+
+
 def test_redact(spark, odd):
     clean = {(r["doc_id"], r["text"]): r for r in secrets.redact(odd).collect()}
     assert sum(Counter(k for k, _ in clean).values()) >= len(ODD) - 1
