@@ -83,7 +83,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     ``text_key`` is a hash of the text, so that spans can be joined back to rows that share
     a doc_id. Strong spans always stay; a weak one stays if a part of another role lies at
     most ``scope`` code points away. Null and empty texts give no spans; repeated rows give
-    repeated rows; a null doc_id is kept, with strong spans only. Of the other columns
+    repeated rows; rows of null doc_id are told apart by their texts. Of the other columns
     nothing is read.
     """
     small_batches(docs.sparkSession)
@@ -101,7 +101,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     linked = (
         weak.join(
             other,
-            (weak["doc_id"] == other["doc_id"]) & (weak["text_key"] == other["text_key"]) & (weak["bin"] == other["bin"])
+            weak["doc_id"].eqNullSafe(other["doc_id"]) & (weak["text_key"] == other["text_key"]) & (weak["bin"] == other["bin"])
             & (F.col("role") != F.col("o_role")) & (F.col("o_start") <= F.col("end") + scope) & (F.col("start") <= F.col("o_end") + scope),
             "left_semi",
         )
@@ -109,13 +109,14 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         .distinct()
         .groupBy("doc_id", "text_key")
         .agg(F.collect_list(F.struct("kind", "role", "start", "end")).alias("linked"))
+        .withColumnsRenamed({"doc_id": "l_id", "text_key": "l_key"})
     )
     strong = F.transform(F.filter("parts", lambda p: ~p["weak"]), lambda p: F.struct(p["kind"].alias("kind"), p["role"].alias("role"), p["start"].alias("start"), p["end"].alias("end")))
     both = F.concat("strong", F.coalesce("linked", F.array()))
     order = F.array_sort(F.transform(both, lambda s: F.struct(s["start"].alias("start"), _rank(s["kind"]).alias("rank"), s.alias("span"))))
     return (
         parts.select("doc_id", "text_key", strong.alias("strong"))
-        .join(linked, ["doc_id", "text_key"], "left")
+        .join(linked, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("text_key") == F.col("l_key")), "left")
         .select("doc_id", "text_key", F.transform(order, lambda x: x["span"]).alias("spans"))
     )
 
@@ -125,14 +126,14 @@ def _rank(kind: Column) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every reported span of ``text`` replaced by ``mark``; overlapping spans are merged. All rows stay.
+    """``docs`` with every reported span of ``text`` replaced by ``mark``; overlapping spans are merged. All rows stay, those of null doc_id are changed like others.
 
     A column ``n_chars``, if there, is set to the new length of the changed texts.
     """
     kept = find_secrets(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"])
     names = docs.columns
     rows = docs.withColumnsRenamed({c: f"_in_{c}" for c in names if c not in ("doc_id", "text", "n_chars")})
-    joined = rows.join(kept.select(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key"), F.col("spans").alias("s_spans")), (F.col("doc_id") == F.col("s_id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("s_key")), "left")
+    joined = rows.join(kept.select(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key"), F.col("spans").alias("s_spans")), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("s_key")), "left")
     end = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
