@@ -16,8 +16,6 @@ from lodestrata.plans.registry import query
 from lodestrata.session import table
 
 SIM = "CAST((doc_id * 7919 + item_id * 104729) % 1000 AS DOUBLE) / 1000"
-#: Filter of the SQL alone: the Spark queries take every document as a candidate of every item.
-PICK = "(doc_id * 31 + item_id * 17) % 97 < item_id % 4"
 TOKENS = "[가-힣a-zA-Z0-9]+"
 
 
@@ -46,7 +44,7 @@ def knn_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "knn_multi",
     f"""SELECT query_id, id, rank, similarity FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round({COS}, 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, e.vec_id) AS rank
-FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 5""",
+FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 5""",
 )
 def knn_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """topk_knn_multi_query: every vector whose id is divisible by 20 is a query, against all."""
@@ -58,7 +56,7 @@ def knn_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "knn_multi_model",
     f"""SELECT label, query_id, id, rank, similarity FROM (SELECT e.label, q.vec_id AS query_id, e.vec_id AS id, round({COS}, 6) AS similarity, row_number() OVER (PARTITION BY e.label, q.vec_id ORDER BY {COS} DESC, e.vec_id) AS rank
-FROM embeddings e JOIN embeddings q ON e.label = q.label WHERE q.vec_id % 50 = 0) WHERE rank <= 3""",
+FROM embeddings e JOIN embeddings q ON e.label = q.label WHERE q.vec_id % 20 = 0) WHERE rank <= 3""",
 )
 def knn_multi_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """topk_knn_multi_model, vec_model_dispatch: each model searches its own vectors."""
@@ -87,7 +85,7 @@ def embedding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.component_stats(vectors(spark, sf_dir), ["label"])
 
 
-CANDIDATES_SQL = f"""items AS (SELECT item_id, text AS query FROM benchmark), cand AS (SELECT item_id AS query_id, query, d.doc_id, d.text AS content, {SIM} AS similarity, d.doc_id % 7 AS chunk_index FROM items JOIN documents d ON {PICK})"""
+CANDIDATES_SQL = f"""items AS (SELECT item_id, text AS query FROM benchmark), cand AS (SELECT item_id AS query_id, query, d.doc_id, d.text AS content, {SIM} AS similarity, d.doc_id % 7 AS chunk_index FROM items, documents d)"""
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

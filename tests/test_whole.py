@@ -1,25 +1,15 @@
-"""Queries that take all of their tables, against SQL without the filter that is still in the registered SQL, or brute force."""
+"""Queries over whole tables and texts that have no SQL, against brute force."""
 
 from __future__ import annotations
 
 import json
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.operators import layout, pages
-from lodestrata.plans import catalog, retrieval
-from tests.helpers import same
-
-OVER_ALL = ["rerank_scores", "rerank_ranked", "simple_rerank", "context_budget", "context_qa", "ir_metrics", "ir_summary", "similarity_stats", "korean_metrics", "understanding", "search_log"]
-
-
-@pytest.mark.parametrize("name", OVER_ALL)
-def test_all_candidates(spark, sf, duck, name):
-    """Every document is a candidate of every item."""
-    same(catalog.QUERIES[name](spark, sf), duck.execute(catalog.ORACLE[name].replace(retrieval.PICK, "TRUE")))
+from lodestrata.plans import catalog
 
 
 def test_contexts_of_all(spark, sf, duck):
@@ -49,15 +39,3 @@ def test_lines_of_all_words(spark, sf, tmp_path):
                 want.setdefault((r["url"], r["page_id"], number), []).append(line)
         got = {(r["file"], r["page"], r["paragraph_no"]): r["text"] for r in catalog.QUERIES["page_lines"](spark, where).collect()}
         assert max(len(r["words"]) for r in held) > 60 and got == {k: " ".join(v) for k, v in want.items()}
-
-
-@pytest.mark.parametrize("name", ["knn_multi", "knn_multi_model"])
-def test_all_queries(spark, sf, duck, name):
-    """Every vector whose id is divisible by 20 is a query."""
-    same(catalog.QUERIES[name](spark, sf), duck.execute(catalog.ORACLE[name].replace("q.vec_id % 50 = 0", "q.vec_id % 20 = 0")))
-
-
-@pytest.mark.parametrize("name", ["spatial_summary", "spatial_score_top", "spatial_detail"])
-def test_all_stops(spark, sf, duck, name):
-    """Every part is a stop."""
-    same(catalog.QUERIES[name](spark, sf), duck.execute(catalog.ORACLE[name].replace(" WHERE p_partkey % 5 = 0", "")))
