@@ -2,20 +2,24 @@
 
 A document is the set of its shingles. Every shingle's hash falls into one of BANDS * ROWS
 buckets; of each bucket only the least hash is kept, and of that only the count of its
-leading zeros and the first mantissa bits: one 16-bit register. Bands of registers propose
-pairs, a collision-corrected estimate of the Jaccard similarity drops the hopeless ones,
-and the whole shingle sets decide the rest.
-
-Rows with equal sets form one class and are compared once. Members of a band's group are
+leading zeros and the first mantissa bits: one 16-bit register. Buckets that no hash fell
+into borrow the register of the first filled bucket in an order of their own (densification),
+so that each register agrees with the probability of the Jaccard similarity and a band is
+as selective for a short text as for a long one. Bands of registers propose pairs, the sizes
+of the sets and a collision-corrected estimate of the similarity drop the hopeless ones, and
+the whole shingle sets decide the rest.
+
+Rows with the same words in the same order form one class and are compared once. Members of a band's group are
 linked to one centre a block, and centres to the centre before, so no text has many
 partners. Groups that this leaves in several components are then compared whole, in blocks
 of sketches; of these comparisons only the clusters of promising texts go on, never their
-pairs, and the texts of a cluster are compared whole, again in blocks. So every pair that
+pairs, and the texts of a cluster are compared whole, again in blocks, bounded in bytes. So every pair that
 shares a band is in one component already, or tested.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import partial
 from itertools import chain
@@ -23,7 +27,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -34,8 +38,8 @@ WORDS, PERCENT = 5, 80
 BANDS, ROWS = 48, 6
 #: Pairs whose estimate is lower than the threshold by so many standard errors are dropped.
 ERRORS = 6.0
-#: Members of a band's group to a centre, and texts to a block; sketches to a block.
-BLOCK, SKETCHES = 256, 1024
+#: Members of a band's group to a centre, and texts to a block; sketches to a block; characters of text to a block, if no single text is longer.
+BLOCK, SKETCHES, CHARACTERS = 256, 1024, 4_000_000
 MANTISSA = 10
 EMPTY = 0xFFFF
 #: Characters of text hashed at once, and word hashes kept, in one worker.
@@ -69,9 +73,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(texts: list[str | None], words: int, cache: dict) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the shingles of each text."""
-    each = [words_of(t) for t in texts]
+def shingle_hashes(each: list[list[bytes]], words: int, cache: dict) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each text, given by its words."""
     sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
     total = int(sizes.sum())
     flat = np.fromiter(map(cache.__getitem__, chain.from_iterable(each)), dtype=np.uint64, count=total)
@@ -111,6 +114,24 @@ def registers(hashes: list[np.ndarray], count: int) -> np.ndarray:
     return np.where(filled, (zeros << MANTISSA) | mantissa, EMPTY).astype("<u2").reshape(len(hashes), count)
 
 
+def lenders(count: int) -> np.ndarray:
+    """For each register an order of all registers, the same in every process; empty ones borrow from the first filled one."""
+    return np.argsort(np.random.default_rng(11).random((count, count)), axis=1)
+
+
+def densified(found: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Registers with the empty ones filled by borrowing; rows without any stay empty."""
+    out = found.copy()
+    rows, cols = np.nonzero((found == EMPTY) & (found != EMPTY).any(1)[:, None])
+    turn = 0
+    while len(rows):
+        lent = found[rows, order[cols, turn]]
+        there = lent != EMPTY
+        out[rows[there], cols[there]] = lent[there]
+        rows, cols, turn = rows[~there], cols[~there], turn + 1
+    return out
+
+
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     start, held = 0, 0
     for i, t in enumerate(texts):
@@ -127,73 +148,82 @@ def _sketch(batches: Iterator[pa.RecordBatch], words: int, count: int) -> Iterat
     for batch in batches:
         texts = batch["text"].to_pylist()
         for a, b in _slices(texts):
-            hashes = shingle_hashes(texts[a:b], words, cache)
-            with np.errstate(over="ignore"):
-                sums = [(int(h.sum()), int(_mix(h ^ np.uint64(0xA0761D6478BD642F)).sum())) for h in hashes]
-            keys = np.array(sums, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            each = [words_of(t) for t in texts[a:b]]
+            hashes = shingle_hashes(each, words, cache)
             found = registers(hashes, count)
+            same = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in each]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"].slice(a, b - a), pa.array([len(h) for h in hashes], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
-                    pa.array([r.tobytes() for r in found], pa.binary()),
-                ],
-                ["doc_id", "n_shingles", "k1", "k2", "sketch"],
-            )
+                [batch["doc_id"].slice(a, b - a), pa.array([len(h) for h in hashes], pa.int64()), pa.array(same, pa.binary()), pa.array([r.tobytes() for r in found], pa.binary())],
+                ["doc_id", "n_shingles", "same", "sketch"],
+            )
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Columns doc_id, n_shingles, k1 and k2 (a hash of the set) and sketch, one row per input row."""
+    """Columns doc_id, n_shingles, same (a digest of the words in their order) and sketch, one row per input row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        partial(_sketch, words=words, count=BANDS * ROWS), f"doc_id {kind}, n_shingles long, k1 long, k2 long, sketch binary"
-    )
+    return docs.select("doc_id", "text").mapInArrow(partial(_sketch, words=words, count=BANDS * ROWS), f"doc_id {kind}, n_shingles long, same binary, sketch binary")
+
 
+def chance(n: np.ndarray, m: np.ndarray, count: int) -> np.ndarray:
+    """Probability that the registers of a bucket agree although their hashes differ, for sets of ``n`` and ``m`` shingles in ``count`` buckets.
 
-def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(Jaccard estimate, registers filled in either) of sketches, row by row; equal registers that chance explains are taken off."""
+    Both least hashes must lie in the same octave (equal leading zeros), then in the same of its 2**MANTISSA parts.
+    """
+    octave = 2.0 ** -np.arange(33)
+    share = [np.exp(-x[..., None] / count * octave[1:]) - np.exp(-x[..., None] / count * octave[:-1]) for x in (n, m)]
+    filled = [1 - np.exp(-x / count) for x in (n, m)]
+    return (share[0] * share[1]).sum(-1) / (filled[0] * filled[1]) / (1 << MANTISSA)
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(Jaccard estimate, registers filled in either) of sketches of sets of ``n`` and ``m`` shingles, row by row; equal registers that chance explains are taken off."""
     filled = (a != EMPTY) | (b != EMPTY)
-    n = np.maximum(filled.sum(-1), 1)
-    same = ((a == b) & filled).sum(-1) / n
-    chance = 2.0 ** -MANTISSA / 3  # equal leading zeros in about a third of the cases, then equal mantissas
-    return np.clip((same - chance) / (1 - chance), 0, 1), n
+    held = np.maximum(filled.sum(-1), 1)
+    same = ((a == b) & filled).sum(-1) / held
+    lucky = chance(np.asarray(n, dtype=float), np.asarray(m, dtype=float), a.shape[-1])
+    return np.clip((same - lucky) / (1 - lucky), 0, 1), held
 
 
-def promising(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether the estimate leaves ``threshold`` possible."""
-    found, n = estimate(a, b)
-    return found >= threshold - ERRORS * np.sqrt(threshold * (1 - threshold) / n)
+def promising(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether the sizes, which decide exactly, and the estimate leave a link possible, the estimate)."""
+    found, held = estimate(a, b, n, m)
+    least = percent / 100 - ERRORS * np.sqrt(percent / 100 * (1 - percent / 100) / held)
+    return (found >= least) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)), found
 
 
 def _grid(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(len(column), -1)
 
 
-def _screen(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _screen(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = promising(_grid(batch["a_sketch"]), _grid(batch["b_sketch"]), threshold) if len(batch) else np.zeros(0, dtype=bool)
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep))
+        if len(batch):
+            sizes = (np.asarray(batch["a_n"]), np.asarray(batch["b_n"]))
+            keep = promising(_grid(batch["a_sketch"]), _grid(batch["b_sketch"]), *sizes, percent)[0]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep))
 
 
-def _sides(row: dict) -> tuple[list[dict], list[dict], np.ndarray, np.ndarray]:
-    """The members of a block pair, and for each pair of them whether they lie in different components and their estimate leaves a link possible."""
+def _sides(row: dict, percent: int) -> tuple[list[dict], list[dict], np.ndarray, np.ndarray]:
+    """The members of a block pair, and for each pair of them whether they lie in different components and may be linked, and their estimate."""
     left, right = row["left"], row["right"]
     grids = [np.frombuffer(b"".join(x["sketch"] for x in m), dtype="<u2").reshape(len(m), -1) for m in (left, right)]
     groups = [np.array([x["component_id"] for x in m]) for m in (left, right)]
+    sizes = [np.array([x["n"] for x in m], dtype=np.int64) for m in (left, right)]
     found = np.zeros((len(left), len(right)))
     likely = np.zeros((len(left), len(right)), dtype=bool)
     for at in range(len(left)):
-        apart = np.flatnonzero(groups[1] != groups[0][at])
+        n = sizes[0][at]
+        apart = np.flatnonzero((groups[1] != groups[0][at]) & (100 * np.minimum(sizes[1], n) >= percent * np.maximum(sizes[1], n)))
         if len(apart):
-            found[at, apart], n = estimate(grids[1][apart], grids[0][at][None, :])
-            likely[at, apart] = found[at, apart] >= row["threshold"] - ERRORS * np.sqrt(row["threshold"] * (1 - row["threshold"]) / n)
+            likely[at, apart], found[at, apart] = promising(grids[1][apart], grids[0][at][None, :], sizes[1][apart], np.broadcast_to(n, len(apart)), percent)
     return left, right, likely, found
 
 
-def _cluster(batches: Iterator[pa.RecordBatch], threshold: float, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _cluster(batches: Iterator[pa.RecordBatch], percent: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """For each member of a block pair with a promising partner the smallest id of its local cluster."""
     for batch in batches:
         for row in batch.to_pylist():
-            left, right, likely, _ = _sides(row | {"threshold": threshold})
+            left, right, likely, _ = _sides(row, percent)
             if not likely.any():
                 continue
             ids, place = np.unique(np.array([x["id"] for x in left + right]), return_inverse=True)
@@ -209,7 +239,7 @@ def _link(batches: Iterator[pa.RecordBatch], words: int, percent: int, kind: pa.
     """Links between whole texts of a block pair that join components, the most alike first; texts that are joined by then are not compared."""
     for batch in batches:
         for row in batch.to_pylist():
-            left, right, likely, found = _sides(row | {"threshold": percent / 100})
+            left, right, likely, found = _sides(row, percent)
             parent: dict = {}
 
             def root(x: object, parent: dict = parent) -> object:
@@ -278,12 +308,23 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return met.mapInArrow(partial(_verify, words=words, percent=percent, kind=to_arrow_type(kind)), f"a {name}, b {name}")
 
 
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    order = lenders(BANDS * ROWS)
+    for batch in batches:
+        if not len(batch):
+            continue
+        each = densified(_grid(batch["sketch"]), order).astype(np.uint64).reshape(len(batch), BANDS, ROWS)
+        with np.errstate(over="ignore"):
+            keys = np.broadcast_to(_mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)), each.shape[:2])
+            for r in range(ROWS):
+                keys = _mix(keys + each[:, :, r] + np.uint64(0x9E3779B97F4A7C15))
+        ids = batch["id"].take(pa.array(np.repeat(np.arange(len(batch)), BANDS)))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(keys.reshape(-1).view(np.int64))], ["id", "key"])
+
+
 def bands(found: DataFrame) -> DataFrame:
-    """Columns id and key: a row for each band of a sketch that holds a shingle."""
-    size = 2 * ROWS
-    part = lambda x: F.substr(F.col("sketch"), x * size + 1, F.lit(size))
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda x: F.when(part(x) != F.lit(b"\xff" * size), F.xxhash64(x, part(x))))
-    return found.select("id", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"))
+    """Columns id and key: a row for each band of a sketch with its empty registers filled."""
+    return found.select("id", "sketch").mapInArrow(_bands, f"id {found.schema['id'].dataType.simpleString()}, key long")
 
 
 def shared_bands(held: DataFrame) -> DataFrame:
@@ -304,36 +345,46 @@ def star_pairs(shared: DataFrame) -> DataFrame:
     return small.unionByName(members).unionByName(line).distinct()
 
 
-def block_pairs(members: DataFrame, group: str, held: list[str], most: int) -> DataFrame:
-    """left and right: blocks of up to about ``most`` members of a group, all pairs of blocks but those within the group's main component.
+def block_pairs(members: DataFrame, group: str, held: list[str], most: int, weight: Column | None = None) -> DataFrame:
+    """left and right: blocks of about ``most`` members of a group, or a total ``weight`` of CHARACTERS; all pairs of blocks but those within the group's main component.
 
     ``members`` has the group, id and component_id; groups of one component are left out.
+    Each member goes to its block's pairs where it lies, so that no task holds a group. A pair
+    of a block with itself has the same members on both sides.
     """
-    sizes = members.groupBy(group, "component_id").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy(group).agg(F.max_by("component_id", F.struct("size", "component_id")).alias("main"), F.sum("size").alias("total"), F.max("size").alias("largest")).where("total > largest")
-    is_main = F.col("component_id") == F.col("main")
-    count = F.ceil(F.when(is_main, F.col("largest")).otherwise(F.col("total") - F.col("largest")) / most)
-    placed = members.join(main, group).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), count) * 2 + is_main.cast("int"))
-    packed = placed.groupBy(group, "block").agg(F.collect_list(F.struct("id", "component_id", *held)).alias("members"))
-    left = packed.select(group, F.col("block").alias("i"), F.col("members").alias("left"))
-    right = packed.select(group, F.col("block").alias("j"), F.col("members").alias("right"))
-    pairs = left.join(right, group).where("i <= j AND (i % 2 = 0 OR j % 2 = 0)")
-    # A group's block pairs meet in one task; from there they are dealt out one by one.
-    return pairs.repartition(group, "i", "j").select("left", "right")
+    weight = F.lit(0) if weight is None else weight
+    sizes = members.groupBy(group, "component_id").agg(F.count(F.lit(1)).alias("size"), F.sum(weight).alias("bytes"))
+    top = F.max_by(F.struct("component_id", "size", "bytes"), F.struct("size", "component_id")).alias("top")
+    several = sizes.groupBy(group).agg(top, F.sum("size").alias("total"), F.sum("bytes").alias("all_bytes")).where("total > top.size")
+    blocks = lambda n, b: F.greatest(F.ceil(n / most), F.ceil(b / CHARACTERS), F.lit(1))
+    counts = several.select(
+        group, F.col("top.component_id").alias("main"), blocks(F.col("top.size"), F.col("top.bytes")).alias("n_main"),
+        blocks(F.col("total") - F.col("top.size"), F.col("all_bytes") - F.col("top.bytes")).alias("n_rest"),
+    )
+    placed = members.join(counts, group).withColumn("is_main", F.col("component_id") == F.col("main"))
+    # Blocks of other components come first: 0 .. n_rest - 1; those of the main one follow and are not paired with one another.
+    block = F.when(F.col("is_main"), F.col("n_rest") + F.pmod(F.xxhash64("id", F.lit(7)), "n_main")).otherwise(F.pmod(F.xxhash64("id", F.lit(7)), "n_rest"))
+    partners = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("n_rest")).otherwise(F.col("n_rest") + F.col("n_main")) - 1)
+    dealt = placed.withColumn("block", block.cast("long")).withColumn("partner", F.explode(partners.cast("array<long>")))
+    member = F.struct("id", "component_id", *held)
+    pairs = dealt.groupBy(group, F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j")).agg(
+        F.collect_list(F.when(F.col("block") <= F.col("partner"), member)).alias("left"), F.collect_list(F.when(F.col("block") > F.col("partner"), member)).alias("right")
+    )
+    return pairs.select("left", F.when(F.col("i") == F.col("j"), F.col("left")).otherwise(F.col("right")).alias("right")).where("size(left) > 0 AND size(right) > 0")
 
 
 def open_links(shared: DataFrame, held: DataFrame, labels: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) that the centres missed: shared: key, id; held: id, sketch; labels: id, component_id of the ids linked so far."""
+    """Links (a, b) that the centres missed: shared: key, id; held: id, n, sketch; labels: id, component_id of the ids linked so far."""
     kind = shared.schema["id"].dataType
     name, arrow = kind.simpleString(), to_arrow_type(kind)
     marked = shared.where("n > 2").select("key", "id").join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     several = marked.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo != hi").select("key")
-    members = materialise(marked.join(several, "key").join(held, "id").select("key", "id", "component_id", "sketch"), "open-groups")
-    near = block_pairs(members, "key", ["sketch"], SKETCHES).mapInArrow(partial(_cluster, threshold=percent / 100, kind=arrow), f"a {name}, b {name}")
+    members = materialise(marked.join(several, "key").join(held, "id").select("key", "id", "component_id", "n", "sketch"), "open-groups")
+    near = block_pairs(members, "key", ["n", "sketch"], SKETCHES).mapInArrow(partial(_cluster, percent=percent, kind=arrow), f"a {name}, b {name}")
     clusters = materialise(components(near), "clusters").withColumnRenamed("component_id", "cluster")
     named = clusters.join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "id")).join(held, "id")
-    whole = named.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select("cluster", "id", "component_id", "sketch", "text")
-    pairs = block_pairs(materialise(whole, "open-texts"), "cluster", ["sketch", "text"], BLOCK)
+    whole = named.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select("cluster", "id", "component_id", "n", "sketch", "text")
+    pairs = block_pairs(materialise(whole, "open-texts"), "cluster", ["n", "sketch", "text"], BLOCK, F.length("text"))
     return pairs.mapInArrow(partial(_link, words=words, percent=percent, kind=arrow), f"a {name}, b {name}")
 
 
@@ -350,18 +401,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     kind = docs.schema["doc_id"].dataType.simpleString()
     table = materialise(sketches(docs, words), "sketches")
     real = table.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    classes = materialise(classes, "classes")
-    first = real.select(F.col("doc_id").alias("id"), "k1", "k2", "sketch").dropDuplicates(["id", "k1", "k2"])
-    held = materialise(first.join(classes.select("id", "k1", "k2"), ["id", "k1", "k2"]).select("id", "sketch"), "representatives")
+    classes = materialise(real.groupBy("same").agg(F.min("doc_id").alias("id")), "classes")
+    first = real.select(F.col("doc_id").alias("id"), "same", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["id", "same"])
+    held = materialise(first.join(classes, ["id", "same"]).select("id", "n", "sketch"), "representatives")
     shared = materialise(shared_bands(held), "bands")
     pairs = materialise(star_pairs(shared), "pairs")
-    with_sketches = pairs.join(held.select(F.col("id").alias("a"), F.col("sketch").alias("a_sketch")), "a").join(
-        held.select(F.col("id").alias("b"), F.col("sketch").alias("b_sketch")), "b"
-    )
-    likely = with_sketches.select("a", "b", "a_sketch", "b_sketch").mapInArrow(partial(_screen, threshold=percent / 100), f"a {kind}, b {kind}").distinct()
+    side = lambda x: held.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
+    with_sketches = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch")
+    likely = with_sketches.mapInArrow(partial(_screen, percent=percent), f"a {kind}, b {kind}").distinct()
     # A doc_id has one class, unless several rows share it; then their classes belong together.
-    members = real.join(classes.select("k1", "k2", F.col("id").alias("class_id")), ["k1", "k2"]).groupBy("doc_id")
+    members = real.join(classes.withColumnRenamed("id", "class_id"), "same").groupBy("doc_id")
     members = materialise(members.agg(F.min("class_id").alias("class_id"), F.collect_set("class_id").alias("all")), "members")
     together = members.where("size(all) > 1").select(F.explode("all").alias("a"), F.col("class_id").alias("b")).where("a != b")
     links = materialise(verified(likely, docs, words, percent).unionByName(together), "links")
