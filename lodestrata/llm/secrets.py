@@ -15,7 +15,7 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,17 +64,16 @@ def parts_of(text: str) -> list[tuple[str, str, int, int, bool]]:
     return out + sorted(weak, key=lambda x: (x[2], x[0]))
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+ARROW_PARTS = pa.list_(pa.struct([("kind", pa.string()), ("role", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("weak", pa.bool_())]))
+
+
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids pass through untouched."""
     for batch in batches:
-        texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-        found = [parts_of(t) for t in texts]
-        yield pd.DataFrame(
-            {
-                "doc_id": batch["doc_id"],
-                "text_key": [hashlib.md5(t.encode()).hexdigest() for t in texts],
-                "parts": [[dict(zip(("kind", "role", "start", "end", "weak"), p, strict=True)) for p in ps] for ps in found],
-            }
-        )
+        texts = [t or "" for t in batch["text"].to_pylist()]
+        keys = [hashlib.md5(t.encode()).hexdigest() for t in texts]
+        parts = [[dict(zip(("kind", "role", "start", "end", "weak"), p, strict=True)) for p in parts_of(t)] for t in texts]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(keys, pa.string()), pa.array(parts, ARROW_PARTS)], ["doc_id", "text_key", "parts"])
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -89,7 +88,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     small_batches(docs.sparkSession)
     source = docs.select("doc_id", "text")
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key string, parts array<{PART}>"
-    parts = materialise(source.mapInPandas(_extract, schema), "secret-parts")
+    parts = materialise(source.mapInArrow(_extract, schema), "secret-parts")
     # Only documents with a weak part take part in the join.
     each = parts.where(F.exists("parts", lambda p: p["weak"])).dropDuplicates(["doc_id", "text_key"])
     each = each.select("doc_id", "text_key", F.explode("parts").alias("p")).select("doc_id", "text_key", "p.*")
@@ -130,25 +129,24 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     A column ``n_chars``, if there, is set to the new length of the changed texts.
     """
-    kept = find_secrets(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"])
-    names = docs.columns
-    rows = docs.withColumnsRenamed({c: f"_in_{c}" for c in names if c not in ("doc_id", "text", "n_chars")})
-    joined = rows.join(kept.select(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key"), F.col("spans").alias("s_spans")), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("s_key")), "left")
-    end = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    kept = find_secrets(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"]).withColumnRenamed("doc_id", "s_id")
+    # The columns travel as one, so that no name of theirs meets one of the work.
+    rows = docs.select(F.struct(*docs.columns).alias("held"), F.col("doc_id").alias("h_id"), F.col("text").alias("h_text"), F.md5(F.coalesce("text", F.lit(""))).alias("h_key"))
+    joined = rows.join(kept, F.col("h_id").eqNullSafe(F.col("s_id")) & (F.col("h_key") == F.col("text_key")), "left")
+    text, end = F.col("h_text"), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        gap = F.substr(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        gap = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         return F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"),
+            F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"]).alias("out"),
         )
 
-    clean = F.aggregate("s_spans", end, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = joined.withColumn("text", F.when(F.col("s_spans").isNotNull(), clean).otherwise(F.col("text")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("s_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(c if c in ("doc_id", "text", "n_chars") else f"_in_{c}").alias(c) for c in names])
+    clean = F.aggregate("spans", end, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text))))
+    out = joined.select("held", F.col("spans").isNotNull().alias("changed"), F.when(F.col("spans").isNotNull(), clean).otherwise(text).alias("text"))
+    made = {"text": F.col("text"), "n_chars": F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("held")["n_chars"]) if "n_chars" in docs.columns else None}
+    return out.select(*[(made[c] if c in made else F.col("held")[c]).alias(c) for c in docs.columns])
 
 
 def span_text(spans: Column) -> Column:
