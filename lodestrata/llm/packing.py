@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -24,7 +23,7 @@ from lodestrata.llm import transducer
 from lodestrata.llm.common import materialise, small_batches
 
 VOCABULARY, END, SIZE = "word_bpe_49k.json", 2, 4096
-OPEN, LEAST, TOGETHER = 32, 8, 32
+OPEN, LEAST, TOGETHER = 32, 8, 4
 COLUMNS = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -98,25 +97,28 @@ def _pack(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, size: in
     yield out(part // TOGETHER)
 
 
-def _merge(batch: pd.DataFrame, size: int) -> pd.DataFrame:
-    """Leftover windows of some partitions, end to end in windows of ``size``; the last is cut at powers of two."""
-    batch = batch.sort_values(["sequence_id", "offset"], kind="stable")
-    left, rows = int(batch["length"].sum()), []
-    seq = (1 << 61) + (int(batch["merge_group"].iloc[0]) << 32)
+def _merge(held: pa.Table, size: int) -> pa.Table:
+    """Leftover windows of some partitions, end to end in windows of ``size``; the last is cut at powers of two. Ids of documents pass through untouched."""
+    held = held.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+    left, rows, origin = pc.sum(held["length"]).as_py(), [], []
+    seq = (1 << 61) + (held["merge_group"][0].as_py() << 32)
 
     def room(left: int) -> int:
         return size if left >= size else 1 << (left.bit_length() - 1)
 
     target, used = room(left), 0
-    for doc_id, start, ids, total in batch[["doc_id", "start", "ids", "doc_tokens"]].itertuples(index=False):
+    for row, (start, ids, total) in enumerate(zip(*(held[c].to_pylist() for c in ("start", "ids", "doc_tokens")), strict=True)):
         at, n = 0, len(ids) // 4
         while at < n:
             take = min(n - at, target - used)
-            rows.append((doc_id, start + at, take, ids[4 * at : 4 * (at + take)], total, seq, used))
+            origin.append(row)
+            rows.append((start + at, take, ids[4 * at : 4 * (at + take)], total, seq, used))
             at, used, left = at + take, used + take, left - take
             if used == target and left:
                 seq, target, used = seq + 1, room(left), 0
-    return pd.DataFrame(rows, columns=NAMES)
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.table([held["doc_id"].take(pa.array(origin)), *made], NAMES)
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, size: int = SIZE, limit: int = OPEN, least: int = LEAST) -> DataFrame:
@@ -133,7 +135,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, size: in
         partial(_pack, vocabulary=vocabulary, end=end, size=size, limit=limit, least=least), f"doc_id {kind}, {COLUMNS}, merge_group long"
     )
     first = materialise(first, "packed")
-    merged = first.where("merge_group IS NOT NULL").groupBy("merge_group").applyInPandas(partial(_merge, size=size), f"doc_id {kind}, {COLUMNS}")
+    merged = first.where("merge_group IS NOT NULL").groupBy("merge_group").applyInArrow(lambda held: _merge(held, size), f"doc_id {kind}, {COLUMNS}")
     return first.where("merge_group IS NULL").drop("merge_group").unionByName(merged)
 
 

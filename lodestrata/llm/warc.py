@@ -16,22 +16,29 @@ from collections.abc import Iterator
 from functools import partial
 from urllib.parse import urljoin, urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestrata.llm.common import small_batches
+
 DATE = "2024-01-01T00:00:00Z"
 SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
-DROP = re.compile(r"(?is)<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe)\b.*?(?:</\1\s*>|$)|<!doctype[^>]*>")
-BREAK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|tbody|td|th|thead|title|tr|ul)\b[^>]*>")
-TAG = re.compile(r"(?s)<[A-Za-z/!?][^>]*(?:>|$)")
+# Tags end at the next ``<`` at the latest, and what is left open runs to the end of the page: so no text is scanned twice.
+DROP = re.compile(r"(?is)<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe)\b.*?(?:</\1\s*>|$)|<!doctype[^<>]*>")
+TAG = re.compile(r"(?s)<(?:/?([A-Za-z][A-Za-z0-9]*)|[A-Za-z/!?])[^>]*(?:>|$)")
+#: Elements that start a line.
+BLOCKS = frozenset(
+    "address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table tbody td th thead title tr ul".split()
+)
 BLANKS = re.compile(r"[^\S\n]+")
 LINES = re.compile(r" ?\n\s*")
-TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-LANG = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z0-9-]+)""")
-CHARSET = re.compile(r"""(?is)<meta\b[^>]*?charset\s*=\s*["']?([A-Za-z0-9_-]+)""")
-LINK = re.compile(r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+TITLE, TITLE_END = re.compile(r"(?i)<title\b[^<>]*>"), re.compile(r"(?i)</title\s*>")
+LANG = re.compile(r"""(?is)<html\b[^<>]*?\blang\s*=\s*["']?([A-Za-z0-9-]+)""")
+CHARSET = re.compile(r"""(?is)<meta\b[^<>]*?charset\s*=\s*["']?([A-Za-z0-9_-]+)""")
+LINK = re.compile(r"""(?is)<a\b[^<>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
 
+FIELDS = ["record_type", "record_id", "refers_to", "target_uri", "record_date", "content_type", "content_length", "block_digest", "payload_digest", "header", "content"]
 RECORD = "record_type string, record_id string, refers_to string, target_uri string, record_date string, content_type string, content_length long, block_digest string, payload_digest string, header string, content string"
 
 
@@ -47,10 +54,17 @@ def record_id(*parts: object) -> str:
 
 def plain_text(page: str) -> str:
     """The visible text of a page: one line a block, entities resolved, blanks squeezed."""
-    text = TAG.sub("", BREAK.sub("\n", DROP.sub(" ", page)))
+    text = TAG.sub(lambda m: "\n" if (m[1] or "").lower() in BLOCKS else "", DROP.sub(" ", page))
     return LINES.sub("\n", BLANKS.sub(" ", entities.unescape(text))).strip()
 
 
+def title_of(page: str) -> str | None:
+    """The first title, without tags and on one line."""
+    begin = TITLE.search(page)
+    end = begin and TITLE_END.search(page, begin.end())
+    return BLANKS.sub(" ", entities.unescape(TAG.sub("", page[begin.end() : end.start()]))).replace("\n", " ").strip() if end else None
+
+
 def links(page: str, base: str) -> list[str]:
     """Absolute http(s) targets of the anchors outside dropped parts, first occurrence first."""
     out: dict[str, None] = {}
@@ -85,18 +99,23 @@ def _record(kind: str, rid: str, refers: str, uri: str, date: str, ctype: str, b
     }
 
 
+def target_of(url: str | None) -> str:
+    """The target URI: the url without outer white space, inner white space escaped."""
+    return re.sub(r"\s+", "%20", (url or "").strip()) or "urn:unknown"
+
+
 def derive(page_id: object, url: str | None, payload: str | None, date: str) -> list[dict]:
     """The metadata and the conversion record of one response."""
-    uri = re.sub(r"[\r\n\s]+", "%20", (url or "").strip()) or "urn:unknown"
+    uri = target_of(url)
     source = payload or ""
     headers, body = split_http(source)
     refers = record_id("response", page_id, uri)
     held = digest_of(body.encode("utf-8", "replace"))
-    title = TITLE.search(body)
+    title = title_of(body)
     fields = [("source-record-id", refers), ("source-payload-digest", held), ("source-length", len(source.encode("utf-8", "replace")))]
     fields += [("source-header", h) for h in headers]
-    if title:
-        fields.append(("title", BLANKS.sub(" ", entities.unescape(TAG.sub("", title[1]))).replace("\n", " ").strip()))
+    if title is not None:
+        fields.append(("title", title))
     for name, pattern in (("language", LANG), ("charset", CHARSET)):
         if m := pattern.search(body):
             fields.append((name, m[1].lower()))
@@ -109,12 +128,15 @@ def derive(page_id: object, url: str | None, payload: str | None, date: str) ->
     ]
 
 
-def _derive(batches: Iterator[pd.DataFrame], date: str) -> Iterator[pd.DataFrame]:
+def _derive(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.RecordBatch]:
+    """Two rows a page; ids of pages pass through untouched."""
     for batch in batches:
         for at in range(0, len(batch), 500):
-            rows = [{"page_id": p, **r} for p, u, h in batch.iloc[at : at + 500].itertuples(index=False) for r in derive(p, u, h, date)]
-            if rows:
-                yield pd.DataFrame(rows)
+            some = batch.slice(at, 500)
+            rows = [r for p, u, h in zip(*(some[c].to_pylist() for c in ("page_id", "url", "html")), strict=True) for r in derive(p, u, h, date)]
+            ids = some["page_id"].take(pa.array([i for i in range(len(some)) for _ in range(2)]))
+            made = [pa.array([r[c] for r in rows], pa.int64() if c == "content_length" else pa.string()) for c in FIELDS]
+            yield pa.RecordBatch.from_arrays([ids, *made], ["page_id", *FIELDS])
 
 
 def derivatives(pages: DataFrame, date: str = DATE) -> DataFrame:
@@ -127,20 +149,21 @@ def derivatives(pages: DataFrame, date: str = DATE) -> DataFrame:
     no shuffle; an empty table gives no rows; further columns are not read.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInPandas(partial(_derive, date=date), f"page_id {kind}, {RECORD}")
+    small_batches(pages.sparkSession)
+    return pages.select("page_id", "url", "html").mapInArrow(partial(_derive, date=date), f"page_id {kind}, {RECORD}")
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     """The response records that the derivatives refer to: page_id, record_id, target_uri, payload."""
     kind = pages.schema["page_id"].dataType.simpleString()
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uris = [re.sub(r"[\r\n\s]+", "%20", (u or "").strip()) or "urn:unknown" for u in batch["url"]]
-            ids = [record_id("response", p, u) for p, u in zip(batch["page_id"], uris, strict=True)]
-            yield pd.DataFrame({"page_id": batch["page_id"], "record_id": ids, "target_uri": uris, "payload": batch["html"]})
+            uris = [target_of(u) for u in batch["url"].to_pylist()]
+            ids = [record_id("response", p, u) for p, u in zip(batch["page_id"].to_pylist(), uris, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["page_id"], pa.array(ids, pa.string()), pa.array(uris, pa.string()), batch["html"]], ["page_id", "record_id", "target_uri", "payload"])
 
-    return pages.select("page_id", "url", "html").mapInPandas(rows, f"page_id {kind}, record_id string, target_uri string, payload string")
+    return pages.select("page_id", "url", "html").mapInArrow(rows, f"page_id {kind}, record_id string, target_uri string, payload string")
 
 
 def write_records(records: DataFrame, path: str) -> None:
