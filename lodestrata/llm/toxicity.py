@@ -24,13 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import small_batches
+from lodestrata.llm.common import materialise, small_batches
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Labelled rows the model is fitted on, at most, in the order of a hash; rows the curve is fitted on, at most.
 LABELLED, CURVE = 100_000, 20_000
-#: Units of the model, at most, by z-score.
-UNITS = 50_000
 BEGINNINGS = (5, 4)
 PRIOR, DRIFT, LEAST_Z, LEAST_RATE = 2.0, 0.7, 3.0, 0.5
 SIGNIFICANT = 0.01
@@ -83,6 +81,11 @@ class Model:
         """lambda * S - ln(K * m), 0 at least."""
         return max(0.0, self.rate * score - float(np.log(self.scale * max(length, 1))))
 
+    def sql_features(self) -> tuple[Column, Column]:
+        """``features`` of the columns scores and length."""
+        each = F.transform("scores", lambda s: F.greatest(F.lit(0.0), s * self.rate - F.log(F.greatest("length", F.lit(1)) * self.scale)))
+        return F.coalesce(F.array_max(each), F.lit(0.0)), F.log1p(F.size(F.filter(each, lambda x: x > -float(np.log(SIGNIFICANT)))).cast("double"))
+
     def features(self, segments: list[tuple[float, int, int]], length: int) -> tuple[float, float]:
         """The best segment's normalised score, and the logarithm of the number of significant ones."""
         each = [self.normalised(s, length) for s, _, _ in segments]
@@ -94,25 +97,27 @@ class Model:
 
 
 def segments(values: list[float]) -> list[tuple[float, int, int]]:
-    """All maximal-scoring segments (score, start, end): one scan that merges a candidate with earlier ones whose left sum is lower and right sum not higher."""
-    found: list[list] = []  # [left sum, right sum, start, end]
+    """All maximal-scoring segments (score, start, end): one scan that merges a candidate with earlier ones whose left sum is lower and right sum not higher.
+
+    Each candidate knows the last earlier one of a lower left sum, so that those in between
+    are passed over once and the scan is linear.
+    """
+    found: list[list] = []  # [left sum, right sum, start, end, place of the last earlier candidate of a lower left sum]
     total = 0.0
     for i, v in enumerate(values):
         if v <= 0:
             total += v
             continue
         left, total = total, total + v
-        part = [left, total, i, i + 1]
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][0] >= part[0]:
-                j -= 1
-            if j < 0 or found[j][1] >= part[1]:
-                found.append(part)
-                break
-            part = [found[j][0], part[1], found[j][2], part[3]]
+        start, j = i, len(found) - 1
+        while j >= 0 and found[j][0] >= left:
+            j = found[j][4]
+        while j >= 0 and found[j][1] < total:
+            left, _, start, _, before = found[j]
             del found[j:]
-    return [(r - l, a, b) for l, r, a, b in found]
+            j = before
+        found.append([left, total, start, i + 1, j])
+    return [(r - l, a, b) for l, r, a, b, _ in found]
 
 
 def sparse_segments(places: list[int], values: list[float]) -> list[tuple[float, int, int]]:
@@ -226,18 +231,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30)
     return w
 
 
-def calibrate(model: Model, toxic: np.ndarray, length: np.ndarray, scores: list[list[float]]) -> Model:
-    """Fit lambda and K on texts labelled 0, then the curve on all."""
-    clean = [(s[0], m) for t, m, s in zip(toxic, length, scores, strict=True) if not t and s]
-    best = np.array([s for s, _ in clean])
+def calibrate(model: Model, clean: int, length: np.ndarray, best: np.ndarray) -> Model:
+    """Fit lambda and K on texts labelled 0: how many there are, and length and best score of those with a positive token."""
     if len(best) >= 20 and best.std() > 1e-3:
         model.rate = float(np.clip(np.pi / (best.std() * np.sqrt(6)), 0.3, 1.0))
     # Texts without a positive token have a best score of 0; K * m * exp(-lambda * S) has the mean 1 over all clean texts at most.
-    every = sum(1 for t in toxic if not t)
-    sizes = np.array([max(m, 1) for _, m in clean], dtype=float)
-    model.scale = float(np.clip(len(best) / max(every, 1) / np.mean(sizes * np.exp(-model.rate * best)), 1e-4, 1.0)) if len(best) >= 20 else 1e-3
-    x = np.array([[*model.features([(s, 0, 0) for s in each], m), 1.0] for each, m in zip(scores, length, strict=True)])
-    model.curve = tuple(map(float, logistic(x, toxic.astype(float))))
+    sizes = np.maximum(length, 1).astype(float)
+    model.scale = float(np.clip(len(best) / max(clean, 1) / np.mean(sizes * np.exp(-model.rate * best)), 1e-4, 1.0)) if len(best) >= 20 else 1e-3
     return model
 
 
@@ -252,7 +252,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, curve: i
     Rows are taken in the order of a hash of doc_id. Labels that are null, or contradict one
     another for a doc_id, are not used. Without labels of both kinds every score is near 0.
     """
-    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id")))
+    docs = docs.select("doc_id", "text")
+    known = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").cast("int").alias("high")).where("toxic = high").drop("high")
     order = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = F.broadcast(known.orderBy(order, "doc_id").limit(labelled).withColumnRenamed("doc_id", "l_id"))  # at most ``labelled`` short rows
@@ -265,12 +266,19 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, curve: i
     model.base = total["n1"] / total["n"]
     a, b = F.col("toxic") + PRIOR * model.base, F.col("other") + PRIOR * (1 - model.base)
     z = (F.log(a / b) - float(np.log(model.base / (1 - model.base)))) / F.sqrt(1 / a + 1 / b)
-    strong = counts.withColumn("z", z).where(F.col("z") >= LEAST_Z / 2).orderBy(F.desc("z"), "unit").limit(UNITS)
-    model.counts = {r["unit"]: (r["toxic"], r["other"]) for r in strong.collect()}  # at most UNITS rows
+    # Units that stand out, or may give a longer unit its prior; they are some of those of the labelled rows, whose number is a parameter.
+    model.counts = {r["unit"]: (r["toxic"], r["other"]) for r in counts.where(z >= LEAST_Z / 2).collect()}
     fewer = F.broadcast(known.orderBy(order, "doc_id").limit(curve).withColumnRenamed("doc_id", "l_id"))
     sample = docs.join(fewer, docs["doc_id"] == F.col("l_id")).select("text", "toxic")
-    seen = sample.mapInArrow(partial(_measure, model=model), "toxic int, length long, scores array<double>").limit(curve).toArrow()
-    return calibrate(model, np.asarray(seen["toxic"]), np.asarray(seen["length"]), seen["scores"].to_pylist())
+    seen = materialise(sample.mapInArrow(partial(_measure, model=model), "toxic int, length long, scores array<double>"), "toxic-scores")
+    # Three numbers a row of at most ``curve`` labelled documents come to the driver, never their lists of scores.
+    clean = seen.where("toxic = 0").select("length", F.array_max("scores").alias("best")).toArrow()
+    held = clean.filter(clean["best"].is_valid())
+    calibrate(model, len(clean), np.asarray(held["length"]), np.asarray(held["best"], dtype=float))
+    fit = seen.select("toxic", *(c.alias(n) for c, n in zip(model.sql_features(), ("best", "many"), strict=True))).toArrow()
+    x = np.column_stack([np.asarray(fit["best"]), np.asarray(fit["many"]), np.ones(len(fit))])
+    model.curve = tuple(map(float, logistic(x, np.asarray(fit["toxic"]).astype(float))))
+    return model
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
