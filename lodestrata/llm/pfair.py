@@ -51,25 +51,22 @@ def period(spark: SparkSession, weights: Mapping[str, int]) -> DataFrame:
     )
 
 
-def numbered(df: DataFrame, group: str, order: str, out: str) -> DataFrame:
-    """Add ``out``: the number, from 0, of each row in its group, in the order of the MD5 of ``order`` and then ``order`` (null first).
+def numbered(rows: DataFrame) -> DataFrame:
+    """Add ``no`` to rows of mix_group, key and held: the number, from 0, of each row in its group, in the order of the MD5 of ``key``, then ``key`` (null first), then ``tie``.
 
     Groups are split by the first SPLIT hex digits: rows are numbered within (group, part),
     after the counts of the parts before. So no group, however large, meets in one task, and
     the numbers depend on the rows alone.
     """
-    digest = F.coalesce(F.md5(F.col(order).cast("string").cast("binary")), F.lit(""))
-    split = df.withColumn("_md5", digest).withColumn("_part", F.substring("_md5", 1, SPLIT))
-    counts = split.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(group, "_part").orderBy("_md5", order)) - 1
-    return (
-        split.withColumn("_inside", inside)
-        .join(starts, (F.col(group) == F.col("_g")) & (F.col("_part") == F.col("_p")))
-        .withColumn(out, F.col("_inside") + F.col("_before"))
-        .drop("_part", "_md5", "_inside", "_g", "_p", "_before", "_n")
-    )
+    split = rows.withColumn("md5", F.coalesce(F.md5(F.col("key").cast("string").cast("binary")), F.lit(""))).withColumn("part", F.substring("md5", 1, SPLIT))
+    counts = split.groupBy("mix_group", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("mix_group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("mix_group", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("mix_group", "part").orderBy("md5", "key", "tie")) - 1
+    return split.withColumn("inside", inside).join(starts, ["mix_group", "part"]).select("mix_group", "held", (F.col("inside") + F.col("before")).alias("no"))
+
+
+OUT = ("mix_group", "block_no", "release", "deadline", "slot", "place")
 
 
 def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, block_rows: int = BLOCK_ROWS, source: str = "source", key: str = "doc_id") -> DataFrame:
@@ -79,21 +76,23 @@ def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, block_rows: int =
     block is ``block_rows`` rows of a group in the order of the MD5 of ``key`` and then
     ``key`` (null first). All rows stay: where a group has run out, its slots are empty and
     the others go on. Up to the first such slot each group is within less than one block of
-    its share of any prefix. Ties of ``key`` are numbered in an order of Spark's choice.
-    Columns of these names are replaced.
+    its share of any prefix. Ties of ``key`` are told apart by the SHA-256 of the whole row,
+    so that only equal rows change places in a rerun. Columns named like an added one are
+    replaced, all others pass through whatever their names. An empty table gives no rows.
     """
     known = {**weights} if OTHER in weights else {**weights, OTHER: 1}
     plan = F.broadcast(period(docs.sparkSession, known))  # sum(weights) rows, a parameter
     group = F.when(F.col(source).isin(*known), F.col(source)).otherwise(F.lit(OTHER))
-    rows = numbered(docs.drop("mix_group", "block_no", "release", "deadline", "slot", "place").withColumn("mix_group", group), "mix_group", key, "_row")
-    blocks = rows.withColumn("block_no", F.floor(F.col("_row") / block_rows)).withColumn("place", (F.col("_row") % block_rows).cast("int"))
-    plan = plan.select(F.col("source").alias("_s"), "weight", "total", F.col("k").alias("_k"), F.col("release").alias("_r"), F.col("deadline").alias("_d"), F.col("slot").alias("_slot"))
+    kept = [c for c in docs.columns if c not in OUT]
+    # The columns travel as one, so that no name of theirs meets one of the work.
+    rows = docs.select(group.alias("mix_group"), F.col(key).alias("key"), F.sha2(F.to_json(F.struct(*docs.columns)), 256).alias("tie"), F.struct(*kept).alias("held"))
     size = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    joined = blocks.withColumn("_w", size[F.col("mix_group")]).join(plan, (F.col("mix_group") == F.col("_s")) & (F.col("block_no") % F.col("_w") == F.col("_k")))
+    blocks = numbered(rows).withColumn("block_no", F.floor(F.col("no") / block_rows)).withColumn("turn", F.col("block_no") % size[F.col("mix_group")])
+    plan = plan.select(F.col("source").alias("mix_group"), F.col("k").cast("long").alias("turn"), "weight", "total", "release", "deadline", "slot")
     base = F.floor(F.col("block_no") / F.col("weight")) * F.col("total")
-    return (
-        joined.withColumn("release", base + F.col("_r")).withColumn("deadline", base + F.col("_d")).withColumn("slot", base + F.col("_slot"))
-        .drop("_row", "_w", "_s", "_k", "_r", "_d", "_slot", "weight", "total")
+    return blocks.join(plan, ["mix_group", "turn"]).select(
+        *[F.col("held")[c].alias(c) for c in kept], "mix_group", "block_no",
+        *[(base + F.col(c)).alias(c) for c in ("release", "deadline", "slot")], (F.col("no") % block_rows).cast("int").alias("place"),
     )
 
 
