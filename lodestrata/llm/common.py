@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable
 from uuid import uuid4
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
@@ -16,10 +17,12 @@ BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where that is unset (local runs, tests)."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset a temporary one in local runs, tests among them, and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="lodestrata-"))
     return _OWN[0]
@@ -29,7 +32,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     It cuts lineage the way checkpoint() does, in a compressed columnar form, and lets
-    several branches use one computation. Lost executors lose nothing of it.
+    several branches use one computation. Lost executors lose nothing of it. Like a
+    checkpoint it stays, for results that are read later, until the folder is emptied.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{label}-{uuid4().hex}"
@@ -45,6 +49,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
             spark.conf.set(name, str(most))
 
 
+def bound(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(x)`` with ``x`` evaluated once, however often the body, or a lambda in it, uses it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def spread(df: DataFrame) -> int:
     """Number of shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.common import bound
+
 # The patterns. Groups are possessive and runs start where they can, which
 # changes no match but keeps the matcher's time and stack linear in the text.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -37,20 +39,20 @@ CONTEXT = {
     "national_id": "ssn|social|security|national|tax",
 }
 WINDOW, LIFT, THRESHOLD = 40, 0.2, 0.5
+#: Matches whose offsets are summed in one go.
+PART = 128
 
 
 def located(text: Column, pattern: str, hint: str) -> Column:
     """Leftmost non-overlapping matches: array<struct<start,end,match>>, offsets in code points, end exclusive.
 
     The pieces between matches and the matches themselves alternate, so running sums of
-    their lengths are the offsets.
+    their lengths are the offsets. An appended array is copied, so sums run over PART
+    matches at a time, after the totals of the parts before.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"),
-    )
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
@@ -59,8 +61,15 @@ def located(text: Column, pattern: str, hint: str) -> Column:
         return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(hint), found).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+
+    def summed(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + F.length(x["gap"]) + F.length(x["hit"])))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        before = F.aggregate(totals, zero, lambda acc, t: F.struct((acc["at"] + t).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(parts, before, lambda p, at: F.aggregate(p, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
+
+    parts = bound(pairs, lambda all_: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(all_) - 1, F.lit(0)) / PART).cast("int")), lambda i: F.slice(all_, i * PART + 1, F.lit(PART))))
+    return F.when(text.rlike(hint) & (F.size(hits) > 0), bound(parts, summed)).otherwise(none)
 
 
 def luhn(digits: Column) -> Column:

@@ -11,22 +11,15 @@ which determines the copy.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialise, spread
+from lodestrata.llm.common import bound, materialise, spread
 
 SAMPLES, HEX = 64, 4
 EMPTY = "-" * HEX
 
 
-def bound(x: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(x)`` with ``x`` evaluated once, however often the body, or a lambda in it, uses it."""
-    return F.get(F.transform(F.array(x), body), F.lit(0))
-
-
 def terms(text: Column) -> Column:
     """Hashes of the words' neighbouring pairs (of the word, if it is the only one), with repeats."""
 
