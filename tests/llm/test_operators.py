@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
+import time
+import uuid
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import numpy as np
 import pytest
@@ -19,12 +24,18 @@ ODD = [
     (1, "A plain text with a few words in it"), (2, "a PLAIN text with a few words in it"), (3, None), (4, ""), (5, " \t\n "), (6, "one"), (7, "one"), (8, LONG),
     (9, "password = hunter22x and user: bob at https://example.org/login"), (10, "x\x1cy　z � \U0001f600 <|endoftext|> it's 100% İstanbul"), (None, "no id here"), (11, "same id"), (11, "same id"), (12, "same id too, other text"),
 ]
-COLUMNS = "doc_id long, text string, row long, part int, label int, spans string, n_chars long, component_id string, source string"
+#: Names that the operators use for columns of their own.
+CLASHING = (
+    "a b at bin block block_no blocks bytes cell center cluster copies count cut deadline each edited found group head held held_out high i id inside is_main j key kept kind l_id l_key label left length level link linked links low "
+    "main maps md5 merge_group mix_group n n_bytes n_main n_rest n_shingles n_tokens next_id no of offset other out part parts partner passages piece place plan predicted release right role root row same score scores sequence_id size sketch "
+    "slot slots source_no spans start strong tail term text_key tie total toxic turn units v w weak weight which x y _in_part _inside _k _md5 _n _part _row _s _slot _w s_id s_key s_spans"
+).split()
+COLUMNS = "doc_id long, text string, n_chars long, source string, " + ", ".join(f"{c} string" for c in CLASHING)
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame([(i, t, 0, 0, 0, "x", len(t or ""), "c", "src1" if i and i % 2 else None) for i, t in ODD], COLUMNS)
+    return spark.createDataFrame([(i, t, len(t or ""), "src1" if i and i % 2 else None, *CLASHING) for i, t in ODD], COLUMNS)
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +53,31 @@ def texts(docs):
     return {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
 
 
+BIG = [2**60 + 1, 2**60 + 3, None, None, 2**53 + 1]
+
+
+@pytest.fixture(scope="module")
+def big(spark):
+    """Ids that no double holds, next to null ones, in one partition."""
+    return spark.createDataFrame([(i, f"password = hunter{n}xyz, user: bob, and https://example.org/{n}", n) for n, i in enumerate(BIG)], "doc_id long, text string, page_id int").coalesce(1)
+
+
+def test_ids_untouched(big):
+    ids = Counter(BIG)
+    assert Counter(r["doc_id"] for r in secrets.digest(big).collect()) == ids
+    clean = secrets.redact(big).collect()
+    assert Counter(r["doc_id"] for r in clean) == ids and not any("hunter" in r["text"] for r in clean)
+    assert Counter(r["doc_id"] for r in packing.digest(big).collect() if r["start"] == 0) == ids
+    assert Counter(r["doc_id"] for r in token_counts.digest(big).collect()) == ids
+    assert Counter(r["doc_id"] for r in hyperminhash.near_duplicates(big).collect()) == ids
+    assert Counter(r["doc_id"] for r in weighted_sampling.fingerprint_edits(big).collect()) == ids
+    pages = big.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("https://e.org/"), F.col("page_id").cast("string")).alias("url"), F.col("text").alias("html"))
+    whole = {(r["page_id"], r["target_uri"], r["record_type"]): (r["record_id"], r["refers_to"]) for r in warc.derivatives(pages).collect()}
+    alone = {(r["page_id"], r["target_uri"], r["record_type"]): (r["record_id"], r["refers_to"]) for r in warc.derivatives(pages.where("page_id IS NOT NULL")).collect()}
+    assert len(whole) == 10 and len(alone) == 6 and all(whole[k] == v for k, v in alone.items())
+    assert Counter(r["page_id"] for r in warc.responses(pages).collect()) == ids
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(5, 5), (None, 3)] + [(1000 + i, 1001 + i) for i in range(60)]
@@ -140,7 +176,7 @@ def test_near_duplicates(spark, monkeypatch, words):
     monkeypatch.setattr(hyperminhash, "SKETCHES", 16)
     held = near_copies() | {5000: None, 5001: "", 5002: " \t", 5003: "solo", 5004: "SOLO", 5005: LONG, 5006: LONG + "x"}
     want, sizes = brute.near(held, words)
-    df = spark.createDataFrame([(i, t, "c", 1) for i, t in held.items()], "doc_id long, text string, component_id string, k1 int")
+    df = spark.createDataFrame([(i, t, "c", 1) for i, t in held.items()], "doc_id long, text string, component_id string, same int")
     got = {r["doc_id"]: r for r in hyperminhash.near_duplicates(df, words).collect()}
     assert {i: r["component_id"] for i, r in got.items()} == want
     assert {i: r["n_shingles"] for i, r in got.items()} == sizes
@@ -165,10 +201,54 @@ def test_estimate():
         cut = int(len(a) * (1 - share) / (1 + share))
         b[:cut] = rng.integers(0, 2**63, cut).astype(np.uint64)
         x, y = hyperminhash.registers([np.unique(a), np.unique(b)], 4096)
-        found, _ = hyperminhash.estimate(x, y)
+        found, _ = hyperminhash.estimate(x, y, np.array(4000), np.array(4000))
         assert abs(found - share) < 0.04
 
 
+def test_chance():
+    """Registers of unlike sets agree as often as the correction says."""
+    rng = np.random.default_rng(8)
+    for n, m in ((40_000, 40_000), (40_000, 400), (3000, 30_000)):
+        agree = filled = 0
+        for _ in range(20):
+            x, y = hyperminhash.registers([rng.integers(0, 2**63, k).astype(np.uint64) for k in (n, m)], 4096)
+            both = (x != hyperminhash.EMPTY) & (y != hyperminhash.EMPTY)
+            agree, filled = agree + ((x == y) & both).sum(), filled + both.sum()
+        want = float(hyperminhash.chance(np.array(float(n)), np.array(float(m)), 4096))
+        assert abs(agree - want * filled) < 5 * (want * filled) ** 0.5 + 2
+
+
+def test_densified():
+    """Every register agrees with the probability of the similarity, also of sets far smaller than the sketch."""
+    rng = np.random.default_rng(6)
+    order = hyperminhash.lenders(288)
+    for n, m in ((5, 4), (50, 40), (2000, 1600)):
+        same = []
+        for _ in range(150):
+            whole = rng.integers(0, 2**63, n).astype(np.uint64)
+            x, y = hyperminhash.densified(hyperminhash.registers([whole, whole[:m]], 288), order)
+            assert (x != hyperminhash.EMPTY).all()
+            same.append((x == y).mean())
+        assert abs(np.mean(same) - m / n) < 0.04
+    none = np.full((2, 288), hyperminhash.EMPTY, dtype="<u2")
+    assert (hyperminhash.densified(none, order) == none).all()
+
+
+def test_short_copies(spark):
+    """Short texts: every pair of similarity 0.8 is linked, those that share a passage alone are not."""
+    rng = random.Random(12)
+    line = " ".join(f"line{i}" for i in range(9))
+    held = {}
+    for g in range(120):
+        base = [f"g{g}w{i}" for i in range(rng.choice([8, 9, 13, 24, 40]))]
+        held[3 * g] = " ".join(base)
+        held[3 * g + 1] = " ".join(base[1:])
+        held[3 * g + 2] = f"own{g} {line} " + " ".join(f"g{g}x{i}" for i in range(rng.choice([2, 6, 20])))
+    want, sizes = brute.near(held, 5)
+    got = {r["doc_id"]: r for r in hyperminhash.near_duplicates(spark.createDataFrame(list(held.items()), "doc_id long, text string")).collect()}
+    assert {i: (r["component_id"], r["n_shingles"]) for i, r in got.items()} == {i: (want[i], sizes[i]) for i in held}
+
+
 def maximal(values):
     """Maximal-scoring segments by their definition, in cubic time."""
     def rec(lo, hi):
@@ -197,6 +277,18 @@ def test_segments():
         assert [(round(s, 9), a, b) for s, a, b in toxicity.sparse_segments(places, found)] == [(round(s, 9), a, b) for s, a, b in maximal(whole)]
 
 
+def test_segments_long():
+    """A scan of many candidates that no later one joins takes linear time."""
+    for tail in ((-1.0, 0.5), (-1.0, 0.9)):
+        found = toxicity.segments([5.0, *tail * 200_000])
+        assert found[0] == (5.0, 0, 1) and len(found) == 200_001
+
+
+def test_toxicity_odd_labels(spark, odd):
+    labels = spark.createDataFrame([(1, 1, 5, "x"), (2, 0, 5, "x"), (4, 0, 6, "y")], "doc_id long, toxic int, quality int, text string")
+    assert toxicity.digest(odd, labels).count() == len(ODD) and toxicity.reject_toxic(odd, labels).columns == odd.columns
+
+
 def test_toxicity_held_out(spark):
     base = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in queries.QUERIES["op3_toxicity"](spark, base).collect()}
@@ -346,6 +438,60 @@ def test_warc(spark, sf):
         assert r["record_type"] == "metadata" or "<script" not in r["content"].lower()
 
 
+class Page(HTMLParser):
+    """Title and links of a page by the standard library's parser."""
+
+    def __init__(self, base):
+        super().__init__()
+        self.base, self.links, self.title, self.inside = base, [], None, False
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = tag == "title" and self.title is None
+        if self.inside:
+            self.title = ""
+        href = dict(attrs).get("href")
+        if tag == "a" and href:
+            full = urljoin(self.base, href.strip())
+            if full.startswith(("http://", "https://")) and full not in self.links:
+                self.links.append(full)
+
+    def handle_endtag(self, tag):
+        self.inside = False
+
+    def handle_data(self, data):
+        if self.inside:
+            self.title += data
+
+
+def test_warc_plain(spark, sf):
+    """Each record against a version by the standard library: parser, digests, identifiers."""
+    rows = {(r["page_id"], r["record_type"]): r for r in warc.derivatives(spark.read.parquet(f"{sf}/pages.parquet")).collect()}
+    sha = lambda t: "sha1:" + base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    rid = lambda *x: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(31).join(x))}>"
+    for p in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        page, (meta, text) = Page(p["url"]), (rows[p["page_id"], k] for k in ("metadata", "conversion"))
+        page.feed(p["html"])
+        refers = rid("response", str(p["page_id"]), p["url"])
+        assert (meta["record_id"], text["record_id"]) == tuple(rid(k, str(p["page_id"]), p["url"]) for k in ("metadata", "conversion"))
+        assert meta["refers_to"] == text["refers_to"] == refers and text["payload_digest"] == sha(p["html"]) and meta["payload_digest"] is None
+        fields = [tuple(line.split(": ", 1)) for line in meta["content"].split("\r\n") if line]
+        assert fields[:3] == [("source-record-id", refers), ("source-payload-digest", sha(p["html"])), ("source-length", str(len(p["html"].encode())))]
+        assert [v for k, v in fields if k == "outlink"] == page.links
+        assert [" ".join(v.split()) for k, v in fields if k == "title"] == ([] if page.title is None else [" ".join(page.title.split())])
+        for r in (meta, text):
+            head = dict(line.split(": ", 1) for line in r["header"].split("\r\n") if ": " in line)
+            assert r["block_digest"] == head["WARC-Block-Digest"] == sha(r["content"]) and int(head["Content-Length"]) == r["content_length"] == len(r["content"].encode())
+            assert head["WARC-Record-ID"] == r["record_id"] and head["WARC-Refers-To"] == refers and head["WARC-Target-URI"] == p["url"] and head["WARC-Type"] == r["record_type"]
+
+
+@pytest.mark.parametrize("unit", ["<title>", "<a ", "<p ", "<!doctype", "<meta ", "<html ", "<a href='", "<!--x", "</title", "<script", "<a href ", "&amp", "\n "])
+def test_warc_long(unit):
+    """A megabyte of tags that are never closed."""
+    began = time.monotonic()
+    assert len(warc.derive(1, "https://e.org/", unit * (1_000_000 // len(unit)), warc.DATE)) == 2
+    assert time.monotonic() - began < 20
+
+
 def test_warc_odd(spark, tmp_path):
     page = "HTTP/1.1 200 OK\r\nServer: s\r\n\r\n<html lang=en><title>T &amp; U</title><body><p>Hello<br>there<script>x<p></script><a href='/a'>l</a></body>"
     df = spark.createDataFrame([(1, "https://e.org/x", page, 1), (2, None, None, 1), (3, "", "", 1), (3, "", "", 1)], "page_id long, url string, html string, record_id int")
@@ -380,7 +526,15 @@ def test_pfair(spark, docs):
             assert abs(seen[name] - w * (s + 1) / total) < 1
 
 
+def test_pfair_ties(spark):
+    """Rows that share a key have places of their own, whatever the partitions."""
+    rows = spark.createDataFrame([(n % 5, "a", f"text {n}") for n in range(60)], "doc_id long, source string, text string")
+    places = [sorted((r["text"], r["slot"], r["place"]) for r in pfair.mix(rows.repartition(k), {"a": 1}, 4).collect()) for k in (1, 7)]
+    assert places[0] == places[1] and len({p[1:] for p in places[0]}) == 60
+
+
 def test_pfair_odd(odd, none):
+    assert set(pfair.mix(odd).columns) == {*odd.columns, *pfair.OUT}
     got = pfair.mix(odd).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in ODD) and {r["mix_group"] for r in got} == {"src1", pfair.OTHER}
     assert pfair.mix(none).count() == 0
@@ -393,6 +547,13 @@ HARD = [
 ]
 
 
+def test_many_spans(spark):
+    """Offsets of tens of thousands of matches in one text."""
+    text = " ".join(f"u{i}@example.org" for i in range(40_000))
+    row = pii.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_email"] == 40_000 and row["base_sha256"] == brute.digest(brute.personal(text))
+
+
 def spans_of(text):
     return [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in text.split(",") if s)]
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import pfair, toxicity
 from tests.llm import brute
-from tests.llm.test_operators import check_packing, library
+from tests.llm.test_operators import check_packing, library, none, odd  # noqa: F401
 
 
 def test_stages(spark, tmp_path):
@@ -36,3 +36,14 @@ def test_stages(spark, tmp_path):
     want = [(i, [*lib.encode(r["text"] or "", add_special_tokens=False).ids, 2]) for i, r in rows[4].items()]
     assert check_packing(held[5].collect(), want) > 0.95
     assert np.isclose(held[5].agg(F.sum("length")).first()[0], sum(len(x) for _, x in want))
+
+
+def test_stages_odd(spark, odd, none):  # noqa: F811
+    """Nulls, empty and long texts, repeated rows, an empty table, and columns named like those of the work: every stage takes them and keeps the columns."""
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES:
+            found = stage(spark, docs, "/root/testdata/sf0.001")
+            rows = found.collect()
+            assert name == "packing" or found.columns == docs.columns
+            if name in ("secrets", "mixing"):
+                assert sorted(map(str, (r["doc_id"] for r in rows))) == sorted(map(str, (r["doc_id"] for r in docs.collect())))
