@@ -29,15 +29,14 @@ def duplicate_counts(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ordinal_ids(df: DataFrame, category: str, order: list[str], existing: DataFrame | None = None, digits: int = 4) -> DataFrame:
-    """Add ``ordinal_id``: the category and a zero-padded running number, going on from ``existing`` (category, last_no)."""
-    number = F.row_number().over(Window.partitionBy(category).orderBy(*order))
-    if existing is None:
-        return df.withColumn("ordinal_id", F.concat(F.col(category), F.lpad(number.cast("string"), digits, "0")))
-    last = existing.select(F.col(category).alias("_category"), F.col("last_no").alias("_last"))
-    joined = df.withColumn("_number", number).join(last, F.col(category) == F.col("_category"), "left")
+    """Add ``ordinal_id``: the category and a running number, zero-padded to ``digits`` or longer, going on from ``existing`` (category, last_no)."""
+    joined = df.withColumn("_number", F.row_number().over(Window.partitionBy(category).orderBy(*order))).withColumn("_last", F.lit(0))
+    if existing is not None:
+        last = existing.select(F.col(category).alias("_category"), F.col("last_no").alias("_last"))
+        joined = joined.drop("_last").join(last, F.col(category) == F.col("_category"), "left").drop("_category")
     total = (F.col("_number") + F.coalesce("_last", F.lit(0))).cast("string")
     padded = F.when(F.length(total) >= digits, total).otherwise(F.lpad(total, digits, "0"))
-    return joined.withColumn("ordinal_id", F.concat(F.col(category), padded)).drop("_number", "_category", "_last")
+    return joined.withColumn("ordinal_id", F.concat(F.col(category), padded)).drop("_number", "_last")
 
 
 def resume_points(log: DataFrame, kind: str = "kind", row: str = "row_index") -> DataFrame:

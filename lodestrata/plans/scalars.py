@@ -170,7 +170,18 @@ def address_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("address_cleaned")
+BARE = "trim(regexp_replace(regexp_replace({x}, '[0-9]+[-0-9]*', '', 'g'), '\\s+', ' ', 'g'))"
+LOT_SQL, ROAD_SQL = "regexp_matches({x}, '[가-힣]동\\s+[0-9]')", "regexp_matches({x}, '[가-힣](?:로|길|대로|가)[0-9]*[가-힣]*\\s+[0-9]')"
+
+
+@query(
+    "address_cleaned",
+    f"""WITH t AS ({made_sql(t=ADDRESS)}), h AS (SELECT *, trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(t, '\\([^)]*\\)', ' ', 'g'), '\\[[^\\]]*\\]\\s*$', '')), '\\s+([0-9]+\\s?층|전층|[가-힣]+(생활|빌)).*$', ''), '\\s+', ' ', 'g')) AS housing FROM t),
+c AS (SELECT *, [nullif(housing, ''), t, CASE WHEN housing <> '' AND NOT {LOT_SQL.format(x='housing')} AND {ROAD_SQL.format(x='housing')} THEN {BARE.format(x='housing')} END,
+  CASE WHEN t <> '' AND ({LOT_SQL.format(x='t')} OR NOT {ROAD_SQL.format(x='t')}) THEN {BARE.format(x='t')} END] AS c FROM h)
+SELECT id, housing, trim(regexp_replace(regexp_replace(t, '\\s[가-힣]+역\\([^)]*\\)', '', 'g'), '\\s*\\([^)]*\\)', '', 'g')) AS subway, trim(regexp_replace(regexp_replace(t, '\\([^)]*동[^)]*\\)', '', 'g'), '\\s[가-힣]*공원[가-힣]*', '', 'g')) AS park,
+  array_to_string(list_filter(c, lambda x, i: x IS NOT NULL AND list_position(c, x) = i), ' > ') AS candidates, coalesce(regexp_matches(t, '자격|대상|소득|무주택|신청|만\\s*[0-9]+세'), false) AS is_eligibility FROM c""",
+)
 def address_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """str_addr_preprocess (housing, subway, park), str_addr_candidates, page_sanity_address; held against fixed cases in the tests."""
     t = F.col("t")

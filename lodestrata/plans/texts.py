@@ -7,23 +7,24 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.operators import chunks, conversations, layout, pages, sqlguard
+from lodestrata.plans import text_sql
 from lodestrata.plans.registry import query
 from lodestrata.session import table
 
 
-@query("chunk_chars")
+@query("chunk_chars", text_sql.CHUNK_CHARS)
 def chunk_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_chars, win_chunk_index over whole documents."""
     return chunks.chunked(table(spark, sf_dir, "documents"), "windows")
 
 
-@query("chunk_sentences")
+@query("chunk_sentences", text_sql.CHUNK_SENTENCES)
 def chunk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_section for text: whole sentences with overlap."""
     return chunks.chunked(table(spark, sf_dir, "documents"), "sentences")
 
 
-@query("chunk_sections")
+@query("chunk_sections", text_sql.CHUNK_SECTIONS)
 def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_section: documents as two sections, a titled text and a table of its lines."""
     rows = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("| "), x, F.lit(" |")))
@@ -36,20 +37,20 @@ def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.sections(docs)
 
 
-@query("clean_ocr")
+@query("clean_ocr", text_sql.CLEAN_OCR)
 def clean_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """str_clean_ocr, str_remove_hidden_layers, str_remove_headers_footers, str_normalize_bullets over whole documents."""
     cleaned = T.with_bullets(T.without_headers(T.clean_ocr(F.col("text"))))
     return table(spark, sf_dir, "documents").select("doc_id", cleaned.alias("cleaned"))
 
 
-@query("sentence_split")
+@query("sentence_split", text_sql.SENTENCES)
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """str_split_sentences: a row for each sentence."""
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence_no", "sentence"))
 
 
-@query("paragraph_types")
+@query("paragraph_types", text_sql.PARAGRAPH_TYPES)
 def paragraph_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """str_paragraphs, str_paragraph_type, str_paragraph_resize, sec_title_level over the lines of documents."""
     each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where("trim(line) != ''")
@@ -100,7 +101,7 @@ def page_text_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", F.length("html").cast("bigint").alias("n_html"), F.size(links).cast("bigint").alias("n_links"))
 
 
-@query("page_lines")
+@query("page_lines", text_sql.PAGE_LINES)
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pdf_visible_chars, pdf_lines, pdf_paragraphs: each page's words as characters on a grid, ten a line."""
     words = F.posexplode(T.words(pages.plain(F.col("html")))).alias("seq", "text")
@@ -166,7 +167,7 @@ def encrypted_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("conv_id", "turn", F.md5("text").alias("text_md5"))
 
 
-@query("titles")
+@query("titles", text_sql.TITLES)
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """str_title_clean, str_title_cut, str_title_fallback over all messages."""
     t = F.col("text")
