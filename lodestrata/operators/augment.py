@@ -141,7 +141,11 @@ def policy_facts(content: Column) -> Column:
     limits = [r"\d+억\s*원?", r"\d+천만\s*원?", r"\d+백만\s*원?", r"\d+만\s*원?", r"\d+%\s*이내"]
     said = F.split(content, r"\.")
     every = lambda ps: F.concat(*[F.regexp_extract_all(content, F.lit(p), F.lit(0)) for p in ps])
-    about = lambda ws: F.concat(*[F.transform(F.filter(said, lambda s, w=w: s.contains(w)), lambda s: squeezed(s)) for w in ws])
+
+    def about(ws: list[str]) -> Column:
+        naming = lambda w: F.filter(said, lambda s: s.contains(w))
+        return F.concat(*[F.transform(naming(w), lambda s: squeezed(s)) for w in ws])
+
     return F.struct(
         every(rates).alias("rates"), every(limits).alias("limits"), about(["자격", "조건", "대상", "요건", "기준"]).alias("conditions"), about(["신청", "방법", "절차", "접수"]).alias("applications")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.text import keyword_tokens, words
 from lodestrata.operators import augment, evaluate, rerank, search
 from lodestrata.operators.lookup import small
+from lodestrata.plans import text_sql
 from lodestrata.plans.registry import query
 from lodestrata.session import table
 
@@ -177,9 +178,9 @@ def _context(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return docs.select("query_id", "rank", "content", "similarity", "source"), queries
 
 
-@query("contexts")
+@query("contexts", text_sql.contexts(SIM))
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """aug_context and the seven formatters, a row for each layout and query; held against a plain Python version in the tests."""
+    """aug_context and the seven formatters, a row for each layout and query."""
     docs, queries = _context(spark, sf_dir)
     out = None
     for name, layout in augment.LAYOUTS.items():

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lodestrata.functions import text as T
-from lodestrata.operators import layout
+from lodestrata.operators import augment, layout, pages
 from lodestrata.operators.chunks import FIXED_SIZE, LEAST, MOST, OVERLAP, SIZE
 
 WHITE, CUT = T.WHITE, "chr(1)"
@@ -146,3 +146,79 @@ tp AS (SELECT doc_id, CASE WHEN length(array_to_string(l, chr(10))) <= {MOST} TH
 pairs AS (SELECT * FROM sp UNION ALL SELECT * FROM tp), {numbered("pairs")}
 SELECT doc_id || '_' || chunk_index AS chunk_id, string_split(doc_id, '_')[1] AS file_name, string_split(doc_id, '_')[2] AS section_id, CAST(CASE WHEN ends_with(doc_id, 's1') THEN 0 ELSE 1 END AS INTEGER) AS section_no,
   CASE WHEN ends_with(doc_id, 's1') THEN 'text' ELSE 'table' END AS chunk_type, CAST(chunk_index AS INTEGER) AS chunk_index, content FROM k"""
+
+_TITLE = f"trim(regexp_replace(nullif({plain('regexp_extract(html, $$(?is)<title[^>]*>(.*?)</title>$$, 1)')}, ''), '\\s*[|\\-–:]\\s*[^|\\-–:]*$', ''))"
+
+
+def _first(options: list[str]) -> str:
+    return "coalesce(" + ", ".join(f"nullif({x}, '')" for x in options) + ")"
+
+
+def _distinct(x: str) -> str:
+    return f"list_filter({x}, lambda x, i: list_position({x}, x) = i)"
+
+
+def _cell(label: str) -> str:
+    return plain(f"regexp_extract(html, '(?is)<th[^>]*>[^<]*{label}[^<]*</th>\\s*<td[^>]*>(.*?)</td>', 1)")
+
+
+_PLACE = "[가-힣]+(?:특별시|광역시|시|도)\\s+[가-힣]+구\\s+"
+_FORM = " ".join(f"WHEN contains(plain, '{x}') THEN '{x}'" for x in pages.FORMS)
+_AMENITIES = ", ".join(f"CASE WHEN regexp_matches(plain, '{p}') THEN '{k}' END" for k, p in pages.AMENITIES.items())
+_DATE = "regexp_extract(plain, '최종수정일\\s*:\\s*([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}\\.[0-9]{2}\\.[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2})', 1)"
+
+
+def squeezed(x: str, join_letters: bool = False) -> str:
+    x = f"regexp_replace(regexp_replace({x}, '[{WHITE}]+', ' ', 'g'), '\\s+([.,!?])', '\\1', 'g')"
+    letter = "([\\p{L}\\p{M}\\p{Nl}\\p{Nd}\\p{Pc}])"
+    return f"trim(regexp_replace({x}, '{letter}\\s+{letter}', '\\1\\2', 'g'))" if join_letters else f"trim({x})"
+
+
+_SHAPES = ("(?s)(?:입주자격|신청자격|자격요건|입주대상)\\s*[:：]\\s*(.+)$", "(?:입주자격|신청자격|자격|대상)\\s*\\(([^)]+)\\)", "(?:자격|대상)\\s*[:：]?\\s*([^\\n]+)")
+_ELIGIBILITY = _first([squeezed(f"regexp_extract(plain, '{s}', 1)") for s in _SHAPES])
+_STATIONS = [f"regexp_extract_all(plain, '{pages.SUBWAY}', {g})" for g in range(1, 7)]
+_ACCESS = "coalesce('도보 ' || nullif(r[3], '') || '분', '도보 ' || nullif(r[4], '') || '초', '버스 ' || nullif(r[5], '') || '분', nullif(r[6], '') || 'm')"
+PAGE_FIELDS = f"""WITH p AS (SELECT *, {plain('html')} AS plain, regexp_extract(url, '^(https?://[^/]+)', 1) AS origin FROM pages),
+m AS (SELECT *, regexp_extract_all(plain, '[0-9][0-9,]*\\s*(?:만원|원)') AS money, regexp_extract_all(html, '(?i)href\\s*=\\s*["'']([^"'']+\\.(?:{pages.EXTENSIONS}))["'']', 1) AS files,
+  list_transform(list_zip({', '.join(_STATIONS)}), lambda r: concat_ws(' ', nullif(r[1], '') || '호선', r[2], {_ACCESS})) AS stations FROM p)
+SELECT page_id, coalesce(nullif({_TITLE}, ''), url) AS name, CASE {_FORM} ELSE {_first([f"regexp_extract(plain, '{pages.ROOMS}')", "substr(trim(plain), 1, 50)"])} END AS form, nullif(translate({_DATE}, './', '--'), '') AS modified,
+  {_first([f"trim({_first([_cell('주소'), _cell('소재지')])})", f"regexp_extract(plain, '{_PLACE}[가-힣0-9]+(?:로|길)\\s*[0-9]+(?:-[0-9]+)?')", f"regexp_extract(plain, '{_PLACE}[가-힣0-9]+동\\s+[0-9]+(?:-[0-9]+)?')"])} AS address,
+  array_to_string(list_filter([{_AMENITIES}], lambda x: x IS NOT NULL), ',') AS amenities, array_to_string({_distinct('money')}, ',') AS money, CAST(len(list_distinct(files)) AS INTEGER) AS n_files, {_ELIGIBILITY} AS eligibility,
+  array_to_string({_distinct('stations')}, ', ') AS stations FROM m"""
+
+
+def _lay(name: str, part: str, head: str, tail: str = "''", nothing: str | None = None, rows: str = "kept") -> str:
+    return f"""SELECT '{name}' AS layout, query_id, CASE WHEN body IS NULL THEN {nothing or head} ELSE {head} || body || {tail} END AS context FROM q LEFT JOIN (SELECT query_id, string_agg({part}, '' ORDER BY rank) AS body FROM {rows} GROUP BY query_id) USING (query_id)"""
+
+
+def _s(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def contexts(similarity: str) -> str:
+    """Every layout of each item's context: the five best documents by ``similarity`` within the budget of words."""
+    no, three, percent, nothing = "rank::VARCHAR", "printf('%.3f', similarity)", "printf('%.1f', similarity * 100) || '%'", _s(augment.NOTHING)
+    sentences_of = f"array_to_string(list_transform(list_filter(list_transform(string_split({squeezed('content', True)}, '.'), lambda s: {squeezed('s', True)}), lambda s: s <> ''), lambda s: s || '.'), ' ')"
+    rates, limits = (["연\\s*[0-9]+\\.?[0-9]*\\s*%", "[0-9]+\\.?[0-9]*\\s*%", "금리.*?[0-9]+\\.?[0-9]*"], ["[0-9]+억\\s*원?", "[0-9]+천만\\s*원?", "[0-9]+백만\\s*원?", "[0-9]+만\\s*원?", "[0-9]+%\\s*이내"])
+    every = lambda ps: "flatten([" + ", ".join(f"regexp_extract_all(content, '{p}')" for p in ps) + "])"
+    line = lambda title, c: f"CASE WHEN len({c}) > 0 THEN '**{title}:** ' || array_to_string(({_distinct(c)})[1:5], ', ') || chr(10) || chr(10) ELSE '' END"
+    ask, head = "'질문: ' || query || chr(10) || chr(10)", "'# 질문' || chr(10) || query || chr(10) || chr(10)"
+    return f"""WITH q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
+r AS (SELECT query_id, doc_id, {similarity.replace('item_id', 'query_id')} AS similarity FROM q, documents), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM r QUALIFY rank <= {augment.MOST}),
+w AS (SELECT query_id, rank, similarity, 'doc ' || doc_id AS source, text AS content, list_filter(string_split_regex(text, '[{WHITE}]+'), lambda x: x <> '') AS ws FROM top JOIN documents USING (doc_id)),
+t AS (SELECT *, sum(len(ws)) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM w), o AS (SELECT *, sum(CASE WHEN total > {augment.BUDGET} THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS over, {augment.BUDGET} - (total - len(ws)) AS room FROM t),
+kept AS (SELECT query_id, rank, similarity, source, CASE WHEN over = 0 THEN content ELSE array_to_string(ws[1:room], ' ') || '...' END AS content FROM o WHERE over = 0 OR (over = 1 AND room > {augment.WORTH})),
+clean AS (SELECT * REPLACE ({squeezed('content')} AS content) FROM kept),
+facts AS (SELECT query_id, flatten(list({every(rates)} ORDER BY rank)) AS rates, flatten(list({every(limits)} ORDER BY rank)) AS limits, bool_or(len({every(rates + limits)}) > 0 OR regexp_matches(content, '자격|조건|대상|요건|기준|신청|방법|절차|접수')) AS any_fact FROM clean GROUP BY query_id),
+l AS ({_lay('general', f"chr(10) || '[문서 ' || {no} || '] (유사도: ' || {three} || ')' || chr(10) || content || chr(10) || chr(10) || '출처: ' || source || chr(10)", f"{ask} || '관련 문서들:' || chr(10)", nothing=nothing)}
+UNION ALL {_lay('qa', f"{no} || '. (유사도: ' || {three} || ') ' || content || chr(10) || chr(10)", "'다음 질문에 답하기 위해 관련 문서들을 검색했습니다:' || chr(10) || chr(10) || " + ask + " || '참고 문서들:' || chr(10)", "'위 문서들을 참고하여 질문에 정확하고 상세하게 답변해주세요.'", rows="kept WHERE rank <= 3")}
+UNION ALL {_lay('summarization', f"'[문서 ' || {no} || ']' || chr(10) || content || chr(10) || chr(10)", "'다음 주제에 대한 문서들을 요약해주세요:' || chr(10) || chr(10) || '주제: ' || query || chr(10) || chr(10) || '문서들:' || chr(10)", "'위 문서들을 종합하여 핵심 내용을 요약해주세요.'")}
+UNION ALL {_lay('prompt', f"'[문서 ' || {no} || '] (관련도: ' || {three} || ')' || chr(10) || content || chr(10) || chr(10)", f"{_s(augment.SYSTEM)} || chr(10) || chr(10) || '사용자 ' || {ask} || '참고 문서들:' || chr(10)", "'위 문서들을 참고하여 질문에 답변해주세요.'")}
+UNION ALL {_lay('markdown', f"'### 문서 ' || {no} || ' (관련도: ' || {three} || ')' || chr(10) || '**출처:** ' || source || chr(10) || chr(10) || {sentences_of} || chr(10) || chr(10)", f"{head} || '## 관련 문서' || chr(10)")}
+UNION ALL SELECT 'json', query_id, '{{"query":' || to_json(query) || ',"documents":[' || coalesce(body, '') || ']}}' FROM q LEFT JOIN (SELECT query_id, string_agg('{{"id":' || rank || ',"content":' || to_json(content) || ',"similarity":' || similarity || ',"metadata":{{"source":' || to_json(source) || '}}}}', ',' ORDER BY rank) AS body FROM kept GROUP BY query_id) USING (query_id)
+UNION ALL {_lay('conversational', f"'정보 ' || {no} || ' (신뢰도: ' || {percent} || '):' || chr(10) || content || chr(10) || chr(10)", f"{ask} || '관련 정보를 찾았습니다:' || chr(10) || chr(10)", "'이 정보들을 바탕으로 답변드리겠습니다.'")}
+UNION ALL {_lay('structured', f"'DOCUMENT ' || {no} || ':' || chr(10) || 'Content: ' || content || chr(10) || 'Relevance Score: ' || printf('%.4f', similarity) || chr(10) || 'Metadata: {{''source'': ''' || source || '''}}' || chr(10) || repeat('-', 30) || chr(10)", "'QUERY: ' || query || chr(10) || chr(10) || 'DOCUMENTS:' || chr(10) || repeat('=', 50) || chr(10)")}
+UNION ALL SELECT layout, query_id, context || CASE WHEN any_fact THEN '# 핵심 정보 요약' || chr(10) || chr(10) || {line('금리', 'rates')} || {line('대출한도', 'limits')} ELSE '' END FROM (
+  {_lay('policy', f"'## 참고 문서 ' || {no} || ' (관련도: ' || {percent} || ')' || chr(10) || '**출처:** ' || source || chr(10) || chr(10) || '**내용:**' || chr(10) || content || chr(10) || chr(10) || '---' || chr(10) || chr(10)", f"{head} || '# 관련 정책 정보' || chr(10) || chr(10)", rows="clean")}) LEFT JOIN facts USING (query_id)
+UNION ALL {_lay('enhanced', f"CASE WHEN similarity > 0.85 THEN '[🔥 매우 관련성 높음] ' WHEN similarity > 0.75 THEN '[✓ 관련성 높음] ' ELSE '' END || '문서 ' || {no} || ' (출처: ' || source || ')' || chr(10) || {squeezed('content')} || chr(10) || chr(10)", f"{ask} || '다음 문서들을 참고하여 질문에 답변해주세요:' || chr(10) || chr(10)", _s(augment.CAUTIONS))})
+SELECT layout, query_id, CAST(length(context) AS INTEGER) AS n_chars, md5(context) AS context_md5, context FROM l"""

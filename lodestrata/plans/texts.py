@@ -77,7 +77,7 @@ def strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.without_tags(F.col("html"))).alias("text_md5"))
 
 
-@query("page_fields")
+@query("page_fields", text_sql.PAGE_FIELDS)
 def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_core_content, page_title_clean, page_building_form, page_last_modified, page_address_strict, page_text_info, page_attachments, str_label_value, str_eligibility, str_subway_tokens."""
     html = F.col("html")

@@ -1,4 +1,4 @@
-"""Every query of the library against its SQL, or, without SQL, that it runs and has a stable schema."""
+"""Every query of the library against its SQL."""
 
 from __future__ import annotations
 
@@ -10,8 +10,4 @@ from tests.helpers import same
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, sf, duck, name):
-    df = catalog.QUERIES[name](spark, sf)
-    if name in catalog.ORACLE:
-        same(df, duck.execute(catalog.ORACLE[name]))
-    else:
-        assert df.columns and df.count() > 0
+    same(catalog.QUERIES[name](spark, sf), duck.execute(catalog.ORACLE[name]))
