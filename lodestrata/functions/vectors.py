@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,19 +27,25 @@ def cosine_or_zero(a: Column, b: Column) -> Column:
     return F.coalesce(cosine(a, b), F.lit(0.0))
 
 
+def bound(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(x)`` with ``x`` evaluated once, however often the body, or a lambda in it, uses it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def unit(a: Column) -> Column:
     """The vector divided by its length; a zero vector stays."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0)))
+    return bound(a, lambda v: bound(norm(v), lambda n: F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0)))))
 
 
 def pooled(tokens: Column, mask: Column, how: str = "mean") -> Column:
     """One vector of ``array<array<double>>``: mean over unmasked tokens, the first token (cls), or the maximum; then to length 1."""
-    shown = F.filter(F.zip_with(tokens, mask, lambda t, m: F.when(m == 1, t)), lambda t: t.isNotNull())
     if how == "cls":
         return unit(F.get(tokens, F.lit(0)))
-    first = F.get(shown, F.lit(0))
-    if how == "max":
-        return unit(F.aggregate(shown, first, lambda s, t: F.zip_with(s, t, lambda x, y: F.greatest(x, y))))
-    total = F.aggregate(F.slice(shown, 2, 1_000_000), first, lambda s, t: F.zip_with(s, t, lambda x, y: x + y))
-    return unit(F.transform(total, lambda x: x / F.size(shown)))
+    join = (lambda x, y: F.greatest(x, y)) if how == "max" else (lambda x, y: x + y)
+
+    def merged(shown: Column) -> Column:
+        rest = F.slice(shown, F.lit(2), F.greatest(F.size(shown) - 1, F.lit(0)))
+        total = F.aggregate(rest, F.get(shown, F.lit(0)), lambda s, t: F.zip_with(s, t, join))
+        return total if how == "max" else F.transform(total, lambda x: x / F.size(shown))
+
+    return unit(bound(F.filter(F.zip_with(tokens, mask, lambda t, m: F.when(m == 1, t)), lambda t: t.isNotNull()), merged))

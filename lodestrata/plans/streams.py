@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.plans.registry import query
-from lodestrata.session import table
+from lodestrata.session import shared_folder, table
 from lodestrata.streaming import incremental
 
 
-def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestrata-")
-    return f"{shared.rstrip('/')}/streams-{uuid4().hex}"
-
-
 @query("stream_events", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """inc_resume, inc_realtime_append: events are taken by a file stream to its end, then summed by hour; a second run would take nothing."""
-    home = _folder(spark)
+    home = shared_folder(spark, "streams")
     source = f"{home}/in"
     events = table(spark, sf_dir, "events")
     events.write.parquet(f"{source}/day=1")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -36,6 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; where that is unset a temporary one in local runs, and an error on a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='lodestrata-')).rstrip('/')}/{label}-{uuid4().hex}"
+
+
 def register_views(spark: SparkSession, sf_dir: str) -> None:
     """Register every table as a temporary view, for SQL text."""
     for name in TABLES:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Encodings tried in order on the first bytes of a file.
+#: Encodings tried in order on the first lines of a file.
 ENCODINGS = ("UTF-8", "MS949", "EUC-KR")
 _PYTHON = {"UTF-8": "utf-8", "MS949": "cp949", "EUC-KR": "euc-kr"}
 # Fields of rental files and their names here, per building type.
@@ -33,23 +33,24 @@ def csv(spark: SparkSession, path: str, names: Mapping[str, str] | None = None,
     return df.withColumnsRenamed({k: v for k, v in (names or {}).items() if k in df.columns})
 
 
-def probe_encoding(spark: SparkSession, path: str, size: int = 65_536) -> str:
-    """The first of ENCODINGS in which a file's first bytes can be read; UTF-8 if none fits."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, size).alias("head")).first()
-    if head is None:
-        return "UTF-8"
+def probe_encoding(spark: SparkSession, path: str, count: int = 200, most: int = 16_384) -> str:
+    """The first of ENCODINGS in which the first ``count`` lines of a file can be read, those longer than ``most`` bytes aside; UTF-8 if none fits.
+
+    Only these lines reach the driver, and the scan stops after them.
+    """
+    raw = F.col("value").cast("binary")
+    head = b"\n".join(bytes(r["raw"]) for r in spark.read.text(path).limit(count).select(raw.alias("raw")).where(F.octet_length("raw") <= most).collect())
     for name in ENCODINGS:
         try:
-            bytes(head["head"])[:-4 or None].decode(_PYTHON[name], "strict")
+            head.decode(_PYTHON[name], "strict")
             return name
-        except UnicodeDecodeError as e:
-            if e.start >= len(head["head"]) - 8:
-                return name
+        except UnicodeDecodeError:
+            continue
     return "UTF-8"
 
 
 def csv_any(spark: SparkSession, path: str, names: Mapping[str, str] | None = None) -> DataFrame:
-    """A CSV in whichever encoding its first bytes tell."""
+    """A CSV in whichever encoding its first lines tell."""
     return csv(spark, path, names, probe_encoding(spark, path))
 
 
