@@ -8,8 +8,10 @@ threshold would have been met with the target recall. Pairs that share a visited
 verified by cosine in double precision.
 
 Codebooks and the stop are fitted on a bounded sample; every vector is indexed and queried.
-Equal vectors form one class first. Cells are compared in blocks, and of a block pair only
-each vector's number of links and the root of its component go on, never its pairs.
+Equal vectors form one class first. Visits are rows of ids; vectors, as bytes, are joined to
+those alone that meet in a cell. Cells are compared in blocks, each pair of blocks a group of
+its own, and of a block pair only each vector's number of links and the root of its component
+go on, never its pairs.
 """
 
 from __future__ import annotations
@@ -47,9 +49,9 @@ class Index:
     slack: float
 
 
-def codewords(n: int) -> int:
-    """Codewords of each half for ``n`` vectors: cells grow with the table, up to 2**20 of them."""
-    return int(min(1024, max(4, 2 ** round(math.log2(max(n, 1) ** 0.5 / 4 + 1)))))
+def codewords(n: int, sample: int = SAMPLE) -> int:
+    """Codewords of each half for ``n`` vectors: cells grow with the table, as far as each codeword has four vectors of the sample."""
+    return int(max(4, min(sample // 4, 2 ** round(math.log2(max(n, 1) ** 0.5 / 4 + 1)))))
 
 
 def squared(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -102,18 +104,29 @@ def traverse(d1: np.ndarray, d2: np.ndarray, slack: float) -> list[tuple[int, in
     return out
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of a list column of equal lengths, in double precision."""
-    return np.asarray(column.flatten()).astype(np.float64).reshape(len(column), -1)
+def matrix(column: pa.Array, size: int, kind: str) -> np.ndarray:
+    """Unit vectors, in double precision, of a column of vectors as bytes; scaled first, so that no square overflows."""
+    x = np.frombuffer(b"".join(column.to_pylist()), dtype=kind).astype(np.float64).reshape(-1, size)
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _visit(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """Vectors as bytes: equal ones, of whichever sign their zeros are, have equal bytes."""
+    for batch in batches:
+        lists = batch["embedding"]
+        data = (np.asarray(lists.flatten()).astype(kind) + np.array(0, dtype=kind)).tobytes()
+        width, ends = np.dtype(kind).itemsize, np.asarray(lists.value_lengths()).cumsum().tolist()
+        held = pa.array([data[width * i : width * j] for i, j in zip([0, *ends], ends, strict=False)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"], lists.value_lengths().cast(pa.int32()), held], ["vec_id", "label", "size", "v"])
+
+
+def _visit(batches: Iterator[pa.RecordBatch], index: Index, size: int, kind: str) -> Iterator[pa.RecordBatch]:
     half, width = index.first.shape[1], len(index.second)
     for batch in batches:
         if not len(batch):
             continue
-        x = matrix(batch["embedding"])
-        x /= np.linalg.norm(x, axis=1)[:, None]
+        x = matrix(batch["v"], size, kind)
         d1, d2 = squared(x[:, :half], index.first), squared(x[:, half:], index.second)
         rows, cells, home = [], [], []
         for r in range(len(x)):
@@ -122,20 +135,18 @@ def _visit(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Recor
             cells += [i * width + j for i, j in found]
             home += [True] + [False] * (len(found) - 1)
         take = pa.array(rows, pa.int64())
-        columns = {c: batch[c].take(take) for c in ("label", "id", "weight", "embedding")}
-        yield pa.RecordBatch.from_pydict({**columns, "cell": pa.array(cells, pa.int64()), "home": pa.array(home)})
+        yield pa.RecordBatch.from_pydict({"label": batch["label"].take(take), "id": batch["id"].take(take), "print": batch["print"].take(take), "cell": pa.array(cells, pa.int64()), "home": pa.array(home)})
 
 
-def _compare(batches: Iterator[pa.RecordBatch], cosine: float, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], cosine: float, kind: pa.DataType, number: str) -> Iterator[pa.RecordBatch]:
     """Per block pair: for each vector with a link the weight of its partners, and the smallest id of its component."""
     schema = pa.schema([("id", kind), ("links", pa.int64()), ("root", kind)])
     for batch in batches:
-        for row in range(len(batch)):
+        for row, size in enumerate(batch["size"].to_pylist()):
             sides = []
             for name in ("asking", "held"):
                 s = batch[name].slice(row, 1).flatten()
-                x = matrix(s.field("embedding"))
-                sides.append((np.array(s.field("id").to_pylist()), np.asarray(s.field("weight")), x / np.linalg.norm(x, axis=1)[:, None]))
+                sides.append((np.array(s.field("id").to_pylist()), np.asarray(s.field("weight")), matrix(s.field("v"), size, number)))
             (q, qw, x), (h, hw, y) = sides
             hit = (x @ y.T >= cosine) & (q[:, None] < h[None, :])
             if not hit.any():
@@ -159,14 +170,13 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "label", "embedding").where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & whole & some)
 
 
-def build(classes: DataFrame, cosine: float = COSINE, recall: float = RECALL, sample: int = SAMPLE) -> dict[int, Index]:
+def build(classes: DataFrame, kind: str, cosine: float = COSINE, recall: float = RECALL, sample: int = SAMPLE) -> dict[int, Index]:
     """An index for each length of vector in the table, fitted on at most ``sample`` vectors in the order of a hash."""
     out = {}
-    lengths = classes.groupBy(F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()  # a handful of lengths
+    lengths = classes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()  # a handful of lengths
     for size, n in lengths:
-        some = classes.where(F.size("embedding") == size).orderBy(F.xxhash64("id")).limit(sample).select("embedding").toArrow()
-        x = matrix(some["embedding"].combine_chunks())
-        out[size] = fit(x / np.linalg.norm(x, axis=1)[:, None], codewords(n), cosine, recall)
+        some = classes.where(F.col("size") == size).orderBy(F.xxhash64("id")).limit(sample).select("v").toArrow()
+        out[size] = fit(matrix(some["v"].combine_chunks(), size, kind), codewords(n, sample), cosine, recall)
     return out
 
 
@@ -182,16 +192,14 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     small_batches(spark)
     name = vectors.schema["vec_id"].dataType.simpleString()
     label = vectors.schema["label"].dataType.simpleString()
-    element = vectors.schema["embedding"].dataType.simpleString()
+    number = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
     kind = to_arrow_type(vectors.schema["vec_id"].dataType)
-    real = usable(vectors)
-    classes = real.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"))
-    classes = materialise(classes, "vector-classes")
+    real = materialise(usable(vectors).mapInArrow(partial(_encode, kind=number), f"vec_id {name}, label {label}, size int, v binary"), "vectors")
+    classes = materialise(real.groupBy("label", "size", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight")).withColumn("print", F.xxhash64("v")), "vector-classes")
     visits = None
-    for size, index in build(classes, cosine, recall, sample).items():
-        part = classes.where(F.size("embedding") == size).select("label", "id", "weight", "embedding")
-        seen = part.mapInArrow(partial(_visit, index=index), f"label {label}, id {name}, weight long, embedding {element}, cell long, home boolean")
-        seen = seen.withColumn("size", F.lit(size))
+    for size, index in build(classes, number, cosine, recall, sample).items():
+        part = classes.where(F.col("size") == size).select("label", "id", "print", "v")
+        seen = part.mapInArrow(partial(_visit, index=index, size=size, kind=number), f"label {label}, id {name}, print long, cell long, home boolean").withColumn("size", F.lit(size))
         visits = seen if visits is None else visits.unionByName(seen)
     everything = vectors.select("vec_id")
     if visits is None:
@@ -199,18 +207,25 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     visits = materialise(visits, "visits")
     keys = ["size", "label", "cell"]
     cells = visits.groupBy(*keys).agg(F.count(F.lit(1)).alias("asked"), F.count_if("home").alias("lying")).where("asked > 1 AND lying > 0")
-    placed = visits.join(cells, keys)
-    asking = placed.withColumn("i", F.pmod(F.xxhash64("id"), F.ceil(F.col("asked") / BLOCK)))
-    held = placed.where("home").withColumn("j", F.pmod(F.xxhash64("id"), F.ceil(F.col("lying") / BLOCK)))
-    members = F.collect_list(F.struct("id", "weight", "embedding"))
-    pairs = asking.groupBy(*keys, "i").agg(members.alias("asking")).join(held.groupBy(*keys, "j").agg(members.alias("held")), keys)
-    found = pairs.select("asking", "held").mapInArrow(partial(_compare, cosine=cosine, kind=kind), f"id {name}, links long, root {name}")
-    found = materialise(found, "vector-links")
+    cells = cells.select(*keys, F.ceil(F.col("asked") / BLOCK).alias("n_asking"), F.ceil(F.col("lying") / BLOCK).alias("n_held"))
+    met = visits.join(cells, keys)
+    # Each vector goes to the pairs of its block where it lies, so that no task holds a cell.
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asking = met.select("id", "print", *keys, F.pmod(F.xxhash64("id"), "n_asking").alias("i"), every("n_held").alias("j"), F.lit(True).alias("asks"))
+    held = met.where("home").select("id", "print", *keys, every("n_asking").alias("i"), F.pmod(F.xxhash64("id"), "n_held").alias("j"), F.lit(False).alias("asks"))
+    # Rows that share an id may lie in several classes, which their prints tell apart.
+    dealt = asking.unionByName(held).join(classes.select("id", "print", "label", "size", "weight", "v"), ["id", "print", "label", "size"])
+    member = F.struct("id", "weight", "v")
+    pairs = dealt.groupBy(*keys, "i", "j").agg(F.collect_list(F.when(F.col("asks"), member)).alias("asking"), F.collect_list(F.when(~F.col("asks"), member)).alias("held"))
+    pairs = pairs.where("size(asking) > 0 AND size(held) > 0").select("size", "asking", "held")
+    found = materialise(pairs.mapInArrow(partial(_compare, cosine=cosine, kind=kind, number=number), f"id {name}, links long, root {name}"), "vector-links")
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
-    labels = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a != b"))
-    known = classes.join(linked, "id", "left").join(labels, "id", "left")
-    known = known.select(F.col("label").alias("c_label"), F.col("embedding").alias("c_embedding"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component_id", "id").alias("component_id"))
-    return _per_row(everything, real.join(known, (F.col("label") == F.col("c_label")) & (F.col("embedding") == F.col("c_embedding"))))
+    repeated = real.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id")
+    own = real.join(repeated, "vec_id").join(classes.select("label", "size", "v", "id"), ["label", "size", "v"])  # an id's classes belong together
+    labels = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(own.select(F.col("id").alias("a"), F.col("vec_id").alias("b"))).where("a != b"))
+    each = classes.join(linked, "id", "left").join(labels, "id", "left")
+    each = each.select("label", "size", "v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component_id", "id").alias("component_id"))
+    return _per_row(everything, real.join(each, ["label", "size", "v"]))
 
 
 def _per_row(everything: DataFrame, placed: DataFrame) -> DataFrame:

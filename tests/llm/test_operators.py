@@ -129,6 +129,15 @@ def test_multi_index(spark, monkeypatch):
     assert multi_index.near_vectors(vectors(spark, [])).count() == 0
 
 
+def test_multi_index_odd(spark):
+    """Doubles beyond the square root of the largest, negative zeros, ids that share rows or labels."""
+    big, two = [1e200, 2e200, -3e200, 4e200], [1.0, 2.0, -3.0, 4.0]
+    rows = [(1, big, 0), (2, two, 0), (3, [-0.0, 0.0, 5.0, 1.0], 1), (4, [0.0, -0.0, 5.0, 1.0], 1), (5, two, 1), (6, two, 0), (6, [9.0, 0.0, 0.0, 1.0], 0), (7, [9.0, 0.0, 0.01, 1.0], 0), (6, two, 1)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, print string")
+    got = {(r["vec_id"], r["n_links"], r["component_id"]) for r in multi_index.near_vectors(df).collect()}
+    assert got == {(1, 2, 1), (2, 2, 1), (3, 1, 3), (4, 1, 3), (5, 1, 1), (6, 4, 1), (7, 1, 1)}
+
+
 def test_multi_index_recall():
     """Pairs at the threshold in random directions: the share whose cells the traversal visits."""
     rng = np.random.default_rng(5)
