@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm import transducer
+from lodestrata.llm import token_ids
 from lodestrata.llm.common import materialise, small_batches
 
 VOCABULARY, END, SIZE = "word_bpe_49k.json", 2, 4096
@@ -76,7 +76,7 @@ NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offse
 
 
 def _pack(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, size: int, limit: int, least: int) -> Iterator[pa.RecordBatch]:
-    machine, part = transducer.load(vocabulary), TaskContext.get().partitionId()
+    encoder, part = token_ids.load(vocabulary), TaskContext.get().partitionId()
     windows = Windows(size, limit, least, part << 32)
     tail, kind = end.to_bytes(4, "little"), pa.int64()
 
@@ -89,7 +89,7 @@ def _pack(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, size: in
 
     for batch in batches:
         kind = batch["doc_id"].type
-        for doc_id, ids in zip(batch["doc_id"].to_pylist(), machine.emit(pc.fill_null(batch["text"], "")), strict=True):
+        for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.emit(pc.fill_null(batch["text"], "")), strict=True):
             windows.add(doc_id, ids + tail)
         yield out(None)
     for _, pieces in windows.open:

@@ -1,13 +1,14 @@
-"""A tokenizer compiled into a deterministic transducer over white-space-delimited units.
+"""A tokenizer compiled into a deterministic transducer that counts tokens.
 
-The vocabulary's normaliser drops white space and its pre-tokenizer never joins across it,
-so white space resets the machine: between two white-space characters it walks from the
-state "outside" along one arc, labelled with a whole unit, back to "outside". Each arc is
-annotated with what it emits (its token ids, hence their number). Arcs are compiled on
-demand by the tokenizer library; those of units that recur are kept.
+Inside a run of letters, digits or other signs the machine of ``machine`` goes from state to state
+by one byte at a time; its transitions are annotated with the change in the number of tokens. The
+end of a run closes the last token and leads back to the first state, and so does white space,
+which the vocabulary's normaliser drops and its pre-tokenizer never joins across. The path of a unit between two
+white-space characters is kept as one arc, annotated with what it emits; those of units that recur are kept. The library
+only normalises and cuts units with signs beyond plain ones; it encodes none.
 
 A piece of text maps each entry state to (exit state, tokens emitted). As every white-space
-character leads to "outside", that map is (head, count, tail): the text before the first
+character leads to the first state, that map is (head, count, tail): the text before the first
 white space, which joins what came before, the tokens between, and the text after the last.
 Maps of adjacent pieces compose associatively, so pieces of a long text are mapped in
 parallel and combined by a scan.
@@ -15,123 +16,96 @@ parallel and combined by a scan.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from lodestrata.llm.machine import Machine
+
 # The pre-tokenizer's pattern, and white space as the library sees it.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Arrow's split also cuts at these; the library does not.
 CONTROLS = "[\x1c-\x1f]"
-#: Units of these characters may be compiled many at a time: nothing composes, or is lower-cased, across them.
+#: Units of these characters need no normaliser but lower-casing: nothing composes in them.
 PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017e]+")
 #: Arcs kept in one worker process.
 ARCS = 200_000
-WORD_END = "</w>"
+#: Fixed value, the letters of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on.
+SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in SHOWN)}
+
+
+def split(texts: pa.Array) -> pa.ListArray:
+    """The units of texts: what lies between white space."""
+    if pc.any(pc.match_substring_regex(texts, CONTROLS)).as_py():
+        return pa.array([SPACE.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    return pc.utf8_split_whitespace(texts)
 
 
 class Transducer:
-    """Arcs: unit -> ids as little-endian unsigned 32-bit bytes."""
+    """Arcs: unit -> its number of tokens."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
-        vocabulary = self.library.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
-        self.arcs: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4") for e in found]
-
-    def compile(self, units: list[str]) -> dict[str, bytes]:
-        """The arcs of ``units``. A plain one is the sum of its runs; new runs are compiled together and parted at the tokens that end them."""
-        out: dict[str, bytes] = {}
-        split: dict[str, list[str] | str] = {}
-        odd = []
-        for u in units:
-            if not PLAIN.fullmatch(u) or "<|" in u:
-                odd.append(u)
-            else:
-                split[u] = low = u.lower()
-                if not u.isalpha():
-                    split[u] = PIECES.findall(low)
-        if odd:
-            out.update(zip(odd, [x.tobytes() for x in self._encode(odd)], strict=True))
-        known, fresh = self.runs, {}
-        for runs in split.values():
-            for r in (runs,) if isinstance(runs, str) else runs:
-                if r not in known:
-                    fresh[r] = fresh.get(r, 0) + 1
-        if fresh:
-            ids = self._encode([" ".join(fresh)])[0]
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            data = ids.tobytes()
-            made = dict(zip(fresh, [data[i:j] for i, j in zip([0, *stops], stops, strict=False)], strict=True))
-            if len(known) < ARCS:
-                known.update((r, made[r]) for r, n in fresh.items() if n > 1)
-        else:
-            made = {}
-        for u, runs in split.items():
-            if isinstance(runs, str):
-                out[u] = known[runs] if runs in known else made[runs]
-            else:
-                out[u] = b"".join([known[r] if r in known else made[r] for r in runs])
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.machine = Machine(spec["model"]["vocab"], [tuple(m) for m in spec["model"]["merges"]])
+        self.arcs: dict[str, int] = {}
+        self.known: dict[str, int] = {}
+
+    def runs(self, unit: str) -> list[str | int]:
+        """The runs of a unit in letters of bytes; a special token stands as its id."""
+        if PLAIN.fullmatch(unit) and "<|" not in unit:
+            low = unit.lower()
+            runs = [low] if unit.isalpha() else PIECES.findall(low)
+            return runs if unit.isascii() else [r.encode().decode("latin-1").translate(LETTERS) for r in runs]
+        out: list[str | int] = []
+        for part in self.specials.split(unit) if self.specials else [unit]:
+            if part in self.special:
+                out.append(self.special[part])
+            elif part:
+                out += [r for r, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
         return out
 
-    def _split(self, texts: pa.Array) -> pa.ListArray:
-        if pc.any(pc.match_substring_regex(texts, CONTROLS)).as_py():
-            return pa.array([SPACE.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
-        return pc.utf8_split_whitespace(texts)
+    def compile(self, unit: str) -> int:
+        """The arc of a unit: the tokens of its runs, added up."""
+        known, total = self.known, 0
+        for run in self.runs(unit):
+            n = 1 if isinstance(run, int) else known.get(run)
+            if n is None:
+                if len(known) >= ARCS:
+                    known.clear()
+                n = known[run] = self.machine.count(run)
+            total += n
+        return total
 
-    def walk(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Run over texts without nulls: (ids of the distinct units, the unit at each step, first step of each text and the end)."""
-        lists = self._split(texts)
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Number of tokens of each text; no text is null."""
+        lists = split(texts)
         steps = lists.flatten().dictionary_encode()
         units, at = steps.dictionary.to_pylist(), np.asarray(steps.indices)
         bounds = np.asarray(lists.offsets) - lists.offsets[0].as_py()
         arcs = self.arcs
-        ids = [arcs.get(u) for u in units]
-        gaps = [i for i, x in enumerate(ids) if x is None]
-        made = self.compile([units[i] for i in gaps])
+        found = [arcs.get(u) for u in units]
         often = np.bincount(at, minlength=len(units)) > 1
-        for i in gaps:
-            ids[i] = made[units[i]]
+        for i in [i for i, x in enumerate(found) if x is None]:
+            found[i] = self.compile(units[i])
             if often[i] and len(arcs) < ARCS:
-                arcs[units[i]] = ids[i]
-        return ids, at, bounds
-
-    def counts(self, texts: pa.Array) -> np.ndarray:
-        """Number of ids of each text."""
-        ids, at, bounds = self.walk(texts)
-        each = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        total = np.concatenate([[0], np.cumsum(each[at])])
+                arcs[units[i]] = found[i]
+        total = np.concatenate([[0], np.cumsum(np.array(found, dtype=np.int64)[at])])
         return total[bounds[1:]] - total[bounds[:-1]]
 
-    def emit(self, texts: pa.Array) -> list[bytes]:
-        """Ids of each text, as bytes."""
-        ids, at, bounds = self.walk(texts)
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        first = np.cumsum(size) - size
-        each = size[at]
-        total = np.concatenate([[0], np.cumsum(each)])
-        where = np.repeat(first[at] - total[:-1], each) + np.arange(total[-1])
-        data = np.frombuffer(b"".join(ids), dtype="<u4")[where].tobytes()
-        ends = (4 * total[bounds]).tolist()
-        return [data[i:j] for i, j in pairwise(ends)]
-
     def chunk_map(self, piece: str) -> tuple[str, int | None, str]:
         """(head, count, tail) of a piece; count is null if it holds no white space (then all is head)."""
         return self.chunk_maps([piece])[0]
@@ -166,10 +140,17 @@ class Transducer:
 _LOADED: dict[str, Transducer] = {}
 
 
+def path_of(name: str) -> str:
+    """The file of a vocabulary: a path, or a name that ``public_tokenizers`` resolves."""
+    if os.path.isabs(name):
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def load(name: str) -> Transducer:
-    """The transducer of a vocabulary (a path, or a name that ``public_tokenizers`` resolves), once a process."""
+    """The transducer of a vocabulary, once a process."""
     if name not in _LOADED:
-        import public_tokenizers
-
-        _LOADED[name] = Transducer(name if os.path.isabs(name) else public_tokenizers.path(name))
+        _LOADED[name] = Transducer(path_of(name))
     return _LOADED[name]

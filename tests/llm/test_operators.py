@@ -13,10 +13,11 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm import common, hyperminhash, multi_index, packing, pfair, pii, queries, secrets, token_counts, toxicity, warc, weighted_sampling
+from lodestrata.llm import common, hyperminhash, machine, multi_index, packing, pfair, pii, queries, secrets, token_counts, toxicity, transducer, warc, weighted_sampling
 from tests.llm import brute
 
 LONG = "lorem ipsum dolor sit amet " * 30_000
@@ -434,6 +435,32 @@ def test_token_counts(spark, texts, odd, none):
     assert token_counts.digest(none).count() == 0
 
 
+@pytest.mark.parametrize("limit", [50, 200_000])
+def test_machine(monkeypatch, limit):
+    monkeypatch.setattr(machine, "STATES", limit)
+    lib, own = library(), transducer.Transducer(transducer.path_of(token_counts.VOCABULARY))
+    rng = random.Random(7)
+    tokens = sorted(t.removesuffix("</w>") for t in lib.get_vocab() if t.isascii())
+    runs = ["".join(rng.choices(tokens, k=rng.randint(1, 6))) for _ in range(3000)]
+    runs += ["".join(rng.choices(letters, k=rng.randint(1, 60))) for letters in ("ab", "ehatsinr", "-=.", "0'std") for _ in range(500)]
+    runs += [c * n for c in "a-=" for n in range(1, 130)]
+    runs += ["".join(rng.choices("ae\u0301\u00e9\u0130I\u00df\u03a3\u03c3\u03c2\ud55c\u6f22\u5b57\u043a\u212a'std12\u0669 \x1c\u200d\U0001f600_-\n", k=rng.randint(0, 60))) for _ in range(3000)]
+    runs += ["a<|endoftext|>b <|startoftext|><|ENDOFTEXT|> <|", "".join(rng.choices("abcdehinrst", k=100_000))]
+    want = [len(e.ids) for e in lib.encode_batch(runs, add_special_tokens=False)]
+    assert own.counts(pa.array(runs)).tolist() == want
+
+
+def test_chunk_maps():
+    own = transducer.load(token_counts.VOCABULARY)
+    text = " some   words, und Wörter:\t" + "x" * 90 + "-y \u6f22\u5b57 end"
+    whole = int(own.counts(pa.array([text]))[0])
+    for size in (1, 2, 7, 31):
+        left, *rest = own.chunk_maps([text[i : i + size] for i in range(0, len(text), size)])
+        for m in rest:
+            left = own.compose(left, m)
+        assert own.total(left) == whole
+
+
 def test_warc(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     rows = warc.derivatives(pages).collect()
