@@ -670,3 +670,13 @@ def test_redact(spark, odd):
     assert "hunter22x" not in nine["text"] and nine["n_chars"] == len(nine["text"]) and not secrets.digest(secrets.redact(odd)).where("n_assign + n_access + n_hex > 0").count()
     assert secrets.redact(odd).count() == len(ODD) and secrets.redact(odd).columns == odd.columns
     assert secrets.redact(odd).where(F.col("text").isNull()).count() == 1
+
+
+def test_redact_many(spark):
+    """A text of 20,000 secrets, and spans that overlap."""
+    text = "".join(f"Zeile {n} \U0001f600 token={n:06d}xyz. " for n in range(20_000))
+    start = time.time()
+    (got,) = secrets.redact(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
+    assert got["text"] == "".join(f"Zeile {n} \U0001f600 [secret] " for n in range(20_000)) and time.time() - start < 30
+    spans = [{"start": a, "end": b} for a, b in ((1, 6), (2, 4), (5, 8), (8, 9))]
+    assert secrets._cut("0123456789", spans, "#") == "0##9"
