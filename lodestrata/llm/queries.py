@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import hyperminhash, multi_index, packing, pfair, pii, secrets, token_counts, toxicity, warc, weighted_sampling
+from lodestrata.llm import hard_negatives, hyperminhash, line_runs, multi_index, packing, pfair, pii, prefix_trie, secrets, token_counts, toxicity, warc, weighted_sampling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -86,6 +86,30 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op3_toxicity"] = op3_toxicity
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.digest(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES["op11_prefix_trie"] = op11_prefix_trie
+
+
+def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents, each kept in its smallest document."""
+    return line_runs.digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_line_runs"] = op12_line_runs
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each anchor and positive among all embeddings."""
+    return hard_negatives.digest(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op13_hard_negatives"] = op13_hard_negatives
+
+
 #: Links of vectors and, by rounds of smallest neighbours, their components.
 ORACLE["op1_multi_index"] = """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
@@ -129,3 +153,38 @@ FROM r JOIN plan ON r.mix_group = plan.source AND (no // {rows}) % w = k"""
 
 
 ORACLE["op8_pfair_mix"] = _pfair_sql({**pfair.WEIGHTS, pfair.OTHER: 1}, pfair.BLOCK_ROWS)
+
+#: Paths as prefixes of arrays, members by prefix, sums over subtrees by a join on depth and prefix; CRC-32 bit by bit.
+ORACLE["op11_prefix_trie"] = r"""
+WITH t AS (SELECT conv_id, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(x ORDER BY p) AS own FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, own, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(CAST(a AS BIGINT), CAST(b AS BIGINT)), [0, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)) AS crc FROM own),
+h AS (SELECT conv_id, own, CAST(xor(CAST(crc AS BIGINT), 4294967295) % 4 AS BIGINT) AS h FROM c),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.own[:h.h], []), h.own[h.h + 1:]) AS path FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 20),
+n AS (SELECT conv_id, d, md5(CAST(path[:d] AS VARCHAR) || '#' || d) AS k, CASE WHEN d > 0 THEN md5(CAST(path[:d - 1] AS VARCHAR) || '#' || (d - 1)) END AS up, len(path) = d AS ends,
+  CASE WHEN d > 0 THEN len(list_filter(string_split_regex(path[d].t, '[ \t-\r]+'), lambda w: w <> '')) ELSE 0 END AS tokens FROM (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS d FROM r)),
+v AS (SELECT k, any_value(up) AS up, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(tokens) AS tokens, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM n GROUP BY k),
+kids AS (SELECT up AS k, count(*) AS n FROM v WHERE up IS NOT NULL GROUP BY up),
+w AS (SELECT v.*, coalesce(kids.n, 0) AS n_children FROM v LEFT JOIN kids ON kids.k = v.k),
+below AS (SELECT a.k, CAST(sum((w.n_convs - 1) * w.tokens) AS BIGINT) AS saved_tokens, CAST(count(*) FILTER (WHERE w.n_children = 0) AS BIGINT) AS n_leaves
+  FROM (SELECT DISTINCT a.k, b.k AS k2 FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.d >= a.d) a JOIN w ON w.k = a.k2 GROUP BY a.k)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, below.n_leaves, below.saved_tokens, w.ends_sha256
+FROM w JOIN below ON below.k = w.k LEFT JOIN v p ON p.k = w.up"""
+
+#: The smallest document of each key.
+ORACLE["op12_line_runs"] = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+o AS (SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS gone FROM k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM o GROUP BY doc_id"""
+
+#: Scores of all pairs.
+ORACLE["op13_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS alike, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) QUALIFY row_number() OVER w <= 10"""
