@@ -139,28 +139,33 @@ def _visit(batches: Iterator[pa.RecordBatch], index: Index, size: int, kind: str
 
 
 def _compare(batches: Iterator[pa.RecordBatch], cosine: float, kind: pa.DataType, number: str) -> Iterator[pa.RecordBatch]:
-    """Per block pair: for each vector with a link the weight of its partners, and the smallest id of its component."""
-    schema = pa.schema([("id", kind), ("links", pa.int64()), ("root", kind)])
+    """Per block pair: for each class with a link the weight of its partners, and the smallest id of its component."""
+    schema = pa.schema([("id", kind), ("print", pa.int64()), ("links", pa.int64()), ("root", kind)])
     for batch in batches:
         for row, size in enumerate(batch["size"].to_pylist()):
             sides = []
             for name in ("asking", "held"):
                 s = batch[name].slice(row, 1).flatten()
-                sides.append((np.array(s.field("id").to_pylist()), np.asarray(s.field("weight")), matrix(s.field("v"), size, number)))
-            (q, qw, x), (h, hw, y) = sides
-            hit = (x @ y.T >= cosine) & (q[:, None] < h[None, :])
+                sides.append((s.field("id").to_pylist(), s.field("print").to_pylist(), np.asarray(s.field("weight")), matrix(s.field("v"), size, number)))
+            (q, qp, qw, x), (h, hp, hw, y) = sides
+            hit = (x @ y.T >= cosine) & (np.array(q)[:, None] < np.array(h)[None, :])
             if not hit.any():
                 continue
-            ids, place = np.unique(np.concatenate([q, h]), return_inverse=True)
-            links = np.zeros(len(ids), dtype=np.int64)
+            # An id may stand for several classes, each with links of its own.
+            keys = [*zip(q, qp, strict=True), *zip(h, hp, strict=True)]
+            classes = sorted(set(keys))
+            no = {c: n for n, c in enumerate(classes)}
+            place = np.array([no[k] for k in keys])
+            links = np.zeros(len(classes), dtype=np.int64)
             np.add.at(links, place[: len(q)], hit @ hw)
             np.add.at(links, place[len(q) :], hit.T @ qw)
-            joined = np.zeros((len(ids), len(ids)), dtype=bool)
+            joined = np.zeros((len(classes), len(classes)), dtype=bool)
             i, j = np.nonzero(hit)
             joined[place[: len(q)][i], place[len(q) :][j]] = True
-            some = np.flatnonzero(links)
-            root = ids[roots(joined | joined.T)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some], kind), pa.array(links[some]), pa.array(root[some], kind)], schema=schema)
+            root = roots(joined | joined.T)
+            some = np.flatnonzero(links).tolist()
+            columns = [[classes[n][0] for n in some], [classes[n][1] for n in some], links[some], [classes[root[n]][0] for n in some]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -215,15 +220,15 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     held = met.where("home").select("id", "print", *keys, every("n_asking").alias("i"), F.pmod(F.xxhash64("id"), "n_held").alias("j"), F.lit(False).alias("asks"))
     # Rows that share an id may lie in several classes, which their prints tell apart.
     dealt = asking.unionByName(held).join(classes.select("id", "print", "label", "size", "weight", "v"), ["id", "print", "label", "size"])
-    member = F.struct("id", "weight", "v")
+    member = F.struct("id", "print", "weight", "v")
     pairs = dealt.groupBy(*keys, "i", "j").agg(F.collect_list(F.when(F.col("asks"), member)).alias("asking"), F.collect_list(F.when(~F.col("asks"), member)).alias("held"))
     pairs = pairs.where("size(asking) > 0 AND size(held) > 0").select("size", "asking", "held")
-    found = materialise(pairs.mapInArrow(partial(_compare, cosine=cosine, kind=kind, number=number), f"id {name}, links long, root {name}"), "vector-links")
-    linked = found.groupBy("id").agg(F.sum("links").alias("links"))
+    found = materialise(pairs.mapInArrow(partial(_compare, cosine=cosine, kind=kind, number=number), f"id {name}, print long, links long, root {name}"), "vector-links")
+    linked = found.groupBy("id", "print").agg(F.sum("links").alias("links"))
     repeated = real.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id")
     own = real.join(repeated, "vec_id").join(classes.select("label", "size", "v", "id"), ["label", "size", "v"])  # an id's classes belong together
     labels = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(own.select(F.col("id").alias("a"), F.col("vec_id").alias("b"))).where("a != b"))
-    each = classes.join(linked, "id", "left").join(labels, "id", "left")
+    each = classes.join(linked, ["id", "print"], "left").join(labels, "id", "left")
     each = each.select("label", "size", "v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component_id", "id").alias("component_id"))
     return _per_row(everything, real.join(each, ["label", "size", "v"]))
 

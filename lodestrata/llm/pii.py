@@ -5,6 +5,8 @@ Only Spark SQL expressions run; nothing goes through Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,29 +46,45 @@ PART = 128
 
 
 def located(text: Column, pattern: str, hint: str) -> Column:
-    """Leftmost non-overlapping matches: array<struct<start,end,match>>, offsets in code points, end exclusive.
+    """Leftmost non-overlapping matches: array<struct<start,end,match,near>>, offsets in code points, end exclusive.
 
-    The pieces between matches and the matches themselves alternate, so running sums of
-    their lengths are the offsets. An appended array is copied, so sums run over PART
-    matches at a time, after the totals of the parts before.
+    ``near`` is the match with WINDOW code points on both sides (2 * WINDOW more behind where
+    the text has just begun). The pieces between matches and the matches themselves alternate,
+    so running sums of their lengths are the offsets. Both an appended array and a substring cost
+    what lies before them, so sums and surroundings are taken within PART matches, after the totals of the parts before.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,match:string,near:string>>")
+
+    def step(part: Column) -> Callable[[Column, Column], Column]:
+        def add(acc: Column, x: Column) -> Column:
+            begin = acc["at"] + F.length(x["gap"])
+            end = begin + F.length(x["hit"])
+            first = F.greatest(begin - part["before"] + part["lead"] + 1 - WINDOW, F.lit(1))
+            span = F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("match"), F.substr(part["around"], first, F.lit(2 * WINDOW) + F.length(x["hit"])).alias("near"))
+            return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        span = F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("match"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
+        return add
 
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
 
     def summed(parts: Column) -> Column:
-        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + F.length(x["gap"]) + F.length(x["hit"])))
+        texts = F.transform(parts, lambda p: F.array_join(F.flatten(F.transform(p, lambda x: F.array(x["gap"], x["hit"]))), ""))
+        at = lambda all_, i: F.coalesce(F.get(all_, i), F.lit(""))
+        lead = lambda all_, i: F.when(i > 0, F.right(at(all_, i - 1), F.lit(WINDOW))).otherwise("")
+        behind = lambda all_, i: F.left(F.concat(at(all_, i + 1), at(all_, i + 2)), F.lit(2 * WINDOW))
+
+        def framed(all_: Column) -> Column:
+            each = lambda p, i: F.struct(p.alias("pairs"), F.length(lead(all_, i)).alias("lead"), F.concat(lead(all_, i), at(all_, i), behind(all_, i)).alias("around"))
+            return F.transform(parts, each)
+
+        totals = F.transform(texts, lambda t: F.length(t))
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
         before = F.aggregate(totals, zero, lambda acc, t: F.struct((acc["at"] + t).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
-        return F.flatten(F.zip_with(parts, before, lambda p, at: F.aggregate(p, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
+        frames = bound(F.concat(texts, F.array(F.element_at(gaps, -1))), framed)
+        placed = F.zip_with(frames, before, lambda f, b: F.struct(f["pairs"].alias("pairs"), f["lead"].alias("lead"), f["around"].alias("around"), b.alias("before")))
+        return F.flatten(F.transform(placed, lambda part: F.aggregate(part["pairs"], F.struct(part["before"].alias("at"), none.alias("out")), step(part), lambda acc: acc["out"])))
 
     parts = bound(pairs, lambda all_: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(all_) - 1, F.lit(0)) / PART).cast("int")), lambda i: F.slice(all_, i * PART + 1, F.lit(PART))))
     return F.when(text.rlike(hint) & (F.size(hits) > 0), bound(parts, summed)).otherwise(none)
@@ -128,8 +146,7 @@ def _kind_spans(whole: Column, kind: str) -> Column:
     pattern, hint, base = (BASE | MORE)[kind]
 
     def scored(s: Column) -> Column:
-        near = F.substr(whole, F.greatest(s["start"] + 1 - WINDOW, F.lit(1)), F.lit(2 * WINDOW) + s["end"] - s["start"])
-        lift = F.when(near.rlike(f"(?i)(?:{CONTEXT[kind]})"), LIFT).otherwise(0.0)
+        lift = F.when(s["near"].rlike(f"(?i)(?:{CONTEXT[kind]})"), LIFT).otherwise(0.0)
         return F.struct(
             F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"),
             F.least(F.lit(1.0), F.lit(base) + lift).alias("score"),

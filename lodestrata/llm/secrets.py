@@ -13,7 +13,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -54,12 +56,15 @@ def parts_of(text: str) -> list[tuple[str, str, int, int, bool]]:
     found += [("hex", m.start(), m.end()) for m in HEX_LONG.finditer(text)]
     found.sort(key=lambda x: (x[1], BASE.index(x[0])))
     out = [(k, ROLE[k], a, b, False) for k, a, b in found]
+    starts, ends = [a for _, a, _ in found], list(accumulate((b for _, _, b in found), max))
     weak = []
     for kind, pattern in WEAK.items():
         for m in pattern.finditer(text) if kind != "endpoint" or "://" in text else ():
             if kind == "random" and (entropy(m[0]) < 4 or not re.search("[0-9]", m[0]) or not re.search("[A-Z]", m[0])):
                 continue
-            if not any(a < m.end() and m.start() < b for _, a, b in found):
+            # Of the strong parts that start before the end, does the one that reaches farthest overlap?
+            before = bisect_left(starts, m.end())
+            if not before or ends[before - 1] <= m.start():
                 weak.append((kind, ROLE[kind], m.start(), m.end(), True))
     return out + sorted(weak, key=lambda x: (x[2], x[0]))
 

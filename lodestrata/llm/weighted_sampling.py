@@ -1,12 +1,12 @@
 """Document fingerprints by consistent weighted sampling. Spark SQL expressions only.
 
 A text is a set of weighted terms: its pairs of neighbouring words, lower-cased, weighted
-by how often they occur. Weights are whole numbers, so a term of weight w stands for w
-numbered copies, and each sample is the copy of the least hash under the sample's own
-hash function: all copies compete in every sample. The n-th copy of a term is the same in
-every text, whatever the term's weight there, so that two texts agree in a sample with the
-probability of their generalised Jaccard similarity. A slot is a hash of the least value,
-which determines the copy.
+by how often they occur. Each of the 64 samples has for each term three random values of its
+own, which depend on the term and the sample alone: r and c of Gamma(2, 1) and b uniform in
+[0, 1). A weight w falls on the step t = floor(ln w / r + b) of the term's own ladder of
+weights, y = exp(r (t - b)), and the sample is the pair (term, t) of the least
+a = c / (y exp(r)). Two texts draw the same pair with the probability of their generalised
+Jaccard similarity, for any positive weights. A slot of the fingerprint is a hash of the pair.
 """
 
 from __future__ import annotations
@@ -51,9 +51,28 @@ def weighted(found: Column) -> Column:
     return bound(F.sort_array(found), lambda o: F.when(F.size(o) > 0, runs(o)).otherwise(none))
 
 
-def copies(found: Column) -> Column:
-    """A hash of each copy of each term: of the term and the copy's number, from 1."""
-    return F.flatten(F.transform(weighted(found), lambda t: F.transform(F.sequence(F.lit(1), t["weight"]), lambda i: F.xxhash64(t["term"], i))))
+def drawn(sample: int) -> Column:
+    """One long for the columns term and ln_w (the logarithm of the weight) in a sample: ln a, rounded and shifted above zero, over a 32-bit hash of (term, t).
+
+    The least one of a set holds the set's draw in its low bits. Two 64-bit hashes of term and
+    sample give the uniform values; a Gamma(2, 1) value is minus the logarithm of a product of two.
+    """
+    one, two = F.xxhash64("term", F.lit(sample)), F.xxhash64("term", F.lit(sample + SAMPLES))
+    uniform = lambda h, at, bits: (F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) * F.lit(2.0**-bits)
+    minus_r, b = F.ln(uniform(one, 40, 24) * uniform(one, 16, 24)), uniform(one, 0, 16)
+    ln_c = F.ln(-F.ln(uniform(two, 32, 32) * uniform(two, 0, 32)))
+    t = F.floor(b - F.col("ln_w") / minus_r)
+    # Most weights are 1, whose step is 0: r is taken once for them.
+    packed = lambda ln_a, pair: F.shiftleft(F.floor((F.greatest(ln_a, F.lit(-250.0)) + 256) * F.lit(2.0**21)), 32).bitwiseOR(pair.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.when(F.col("ln_w") == 0, packed(ln_c + minus_r * (F.lit(1.0) - b), one)).otherwise(packed(ln_c + minus_r * (t - b + 1), one.bitwiseXOR(t * 40503)))
+
+
+def sampled(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and ``slots`` of sets given as rows (keys, term long, weight double); null terms stand for empty sets, weights are positive."""
+    rows = rows.select(*keys, "term", F.ln("weight").alias("ln_w"))
+    least = rows.groupBy(*keys).agg(F.count("term").alias("n"), *[F.min(F.when(F.col("term").isNotNull(), drawn(s))).alias(f"v{s}") for s in range(SAMPLES)])
+    slots = F.concat(*[F.lower(F.lpad(F.hex(F.col(f"v{s}").bitwiseAND(F.lit(16**HEX - 1))), HEX, "0")) for s in range(SAMPLES)])
+    return least.select(*keys, F.when(F.col("n") > 0, slots).otherwise(EMPTY * SAMPLES).alias("slots"))
 
 
 def signatures(texts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -62,11 +81,9 @@ def signatures(texts: DataFrame, keys: list[str], columns: list[str]) -> DataFra
     All grouping is by the keys; rows partitioned by a key already are not shuffled again,
     others meet as one row of minima per text and task.
     """
-    tagged = F.array(*[F.struct(F.lit(i).alias("which"), copies(terms(F.col(c))).alias("copies")) for i, c in enumerate(columns)])
-    each = texts.select(*keys, F.explode(tagged).alias("t")).select(*keys, "t.which", F.explode_outer("t.copies").alias("x"))
-    least = each.groupBy(*keys, "which").agg(F.count("x").alias("n"), *[F.min(F.xxhash64("x", F.lit(s))).alias(f"v{s}") for s in range(SAMPLES)])
-    slots = F.concat(*[F.substring(F.lower(F.lpad(F.hex(F.xxhash64(f"v{s}")), 16, "0")), 1, HEX) for s in range(SAMPLES)])
-    whole = least.select(*keys, "which", F.when(F.col("n") > 0, slots).otherwise(EMPTY * SAMPLES).alias("slots"))
+    tagged = F.array(*[F.struct(F.lit(i).alias("which"), weighted(terms(F.col(c))).alias("terms")) for i, c in enumerate(columns)])
+    each = texts.select(*keys, F.explode(tagged).alias("t")).select(*keys, "t.which", F.explode_outer("t.terms").alias("x"))
+    whole = sampled(each.select(*keys, "which", "x.term", F.col("x.weight").cast("double").alias("weight")), [*keys, "which"])
     return whole.groupBy(*keys).agg(*[F.max(F.when(F.col("which") == i, F.col("slots"))).alias(f"{c}_fingerprint") for i, c in enumerate(columns)])
 
 
