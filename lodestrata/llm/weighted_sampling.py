@@ -70,9 +70,9 @@ def drawn(sample: int) -> Column:
 def sampled(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and ``slots`` of sets given as rows (keys, term long, weight double); null terms stand for empty sets, weights are positive."""
     rows = rows.select(*keys, "term", F.ln("weight").alias("ln_w"))
-    least = rows.groupBy(*keys).agg(F.count("term").alias("n"), *[F.min(F.when(F.col("term").isNotNull(), drawn(s))).alias(f"v{s}") for s in range(SAMPLES)])
-    slots = F.concat(*[F.lower(F.lpad(F.hex(F.col(f"v{s}").bitwiseAND(F.lit(16**HEX - 1))), HEX, "0")) for s in range(SAMPLES)])
-    return least.select(*keys, F.when(F.col("n") > 0, slots).otherwise(EMPTY * SAMPLES).alias("slots"))
+    least = rows.groupBy(*keys).agg(F.count("term").alias("_n"), *[F.min(F.when(F.col("term").isNotNull(), drawn(s))).alias(f"_v{s}") for s in range(SAMPLES)])
+    slots = F.concat(*[F.lower(F.lpad(F.hex(F.col(f"_v{s}").bitwiseAND(F.lit(16**HEX - 1))), HEX, "0")) for s in range(SAMPLES)])
+    return least.select(*keys, F.when(F.col("_n") > 0, slots).otherwise(EMPTY * SAMPLES).alias("slots"))
 
 
 def signatures(texts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
