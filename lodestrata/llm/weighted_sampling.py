@@ -67,24 +67,51 @@ def drawn(sample: int) -> Column:
     return F.when(F.col("ln_w") == 0, packed(ln_c + minus_r * (F.lit(1.0) - b), one)).otherwise(packed(ln_c + minus_r * (t - b + 1), one.bitwiseXOR(t * 40503)))
 
 
+def _draws(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and ``draws``: the least of drawn() in each sample, null for an empty set."""
+    rows = rows.select(*keys, "term", F.ln("weight").alias("ln_w"))
+    least = rows.groupBy(*keys).agg(*[F.min(drawn(s)).alias(f"_v{s}") for s in range(SAMPLES)])
+    return least.select(*keys, F.when(F.col("_v0").isNotNull(), F.array(*[f"_v{s}" for s in range(SAMPLES)])).alias("draws"))
+
+
+def _slots(draws: Column) -> Column:
+    """The fingerprint of a set's draws: HEX digits a sample."""
+    each = F.transform(draws, lambda v: F.lower(F.lpad(F.hex(v.bitwiseAND(F.lit(16**HEX - 1))), HEX, "0")))
+    return F.coalesce(F.array_join(each, ""), F.lit(EMPTY * SAMPLES))
+
+
 def sampled(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and ``slots`` of sets given as rows (keys, term long, weight double); null terms stand for empty sets, weights are positive."""
-    rows = rows.select(*keys, "term", F.ln("weight").alias("ln_w"))
-    least = rows.groupBy(*keys).agg(F.count("term").alias("_n"), *[F.min(F.when(F.col("term").isNotNull(), drawn(s))).alias(f"_v{s}") for s in range(SAMPLES)])
-    slots = F.concat(*[F.lower(F.lpad(F.hex(F.col(f"_v{s}").bitwiseAND(F.lit(16**HEX - 1))), HEX, "0")) for s in range(SAMPLES)])
-    return least.select(*keys, F.when(F.col("_n") > 0, slots).otherwise(EMPTY * SAMPLES).alias("slots"))
+    return _draws(rows, keys).select(*keys, _slots(F.col("draws")).alias("slots"))
+
+
+def in_either(a: Column, b: Column) -> Column:
+    """array<struct<term,weight,sides>> of two weighted sets: sides is 1 for a term of the first, 2 of the second, 3 where both have it with one weight."""
+    tagged = lambda found, side: F.transform(found, lambda x: F.struct(x["term"].alias("term"), x["weight"].alias("weight"), F.lit(side).alias("side")))
+
+    def merged(every: Column) -> Column:
+        def at(x: Column, i: Column) -> Column:
+            alike = lambda y: y.isNotNull() & (y["term"] == x["term"]) & (y["weight"] == x["weight"])
+            sides = F.when(alike(F.get(every, i + 1)), 3).when(alike(F.get(every, i - 1)), 0).otherwise(x["side"])
+            return F.struct(x["term"].alias("term"), x["weight"].alias("weight"), sides.alias("sides"))
+
+        return F.filter(F.transform(every, at), lambda x: x["sides"] > 0)
+
+    return bound(F.sort_array(F.concat(tagged(a, 1), tagged(b, 2))), merged)
 
 
-def signatures(texts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """``keys``, which identify a row, and a fingerprint of each text column, named ``<column>_fingerprint``.
+def signatures(texts: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
+    """``keys``, which identify a row, and a fingerprint of two text columns, named ``<column>_fingerprint``.
 
-    All grouping is by the keys; rows partitioned by a key already are not shuffled again,
-    others meet as one row of minima per text and task.
+    What both texts hold with one weight is drawn once for both. All grouping is by the keys; rows partitioned
+    by a key already are not shuffled again, others meet as three rows of least draws per text and task.
     """
-    tagged = F.array(*[F.struct(F.lit(i).alias("which"), weighted(terms(F.col(c))).alias("terms")) for i, c in enumerate(columns)])
-    each = texts.select(*keys, F.explode(tagged).alias("t")).select(*keys, "t.which", F.explode_outer("t.terms").alias("x"))
-    whole = sampled(each.select(*keys, "which", "x.term", F.col("x.weight").cast("double").alias("weight")), [*keys, "which"])
-    return whole.groupBy(*keys).agg(*[F.max(F.when(F.col("which") == i, F.col("slots"))).alias(f"{c}_fingerprint") for i, c in enumerate(columns)])
+    both = in_either(weighted(terms(F.col(first))), weighted(terms(F.col(second))))
+    each = texts.select(*keys, F.explode_outer(both).alias("x")).select(*keys, "x.sides", "x.term", F.col("x.weight").cast("double").alias("weight"))
+    part = lambda side: F.max(F.when(F.col("sides") == side, F.col("draws"))).alias(f"_d{side}")
+    sides = _draws(each, [*keys, "sides"]).groupBy(*keys).agg(part(1), part(2), part(3))
+    least = lambda own: F.coalesce(F.zip_with(own, "_d3", lambda x, y: F.least(x, y)), own, F.col("_d3"))
+    return sides.select(*keys, _slots(least(F.col("_d1"))).alias(f"{first}_fingerprint"), _slots(least(F.col("_d2"))).alias(f"{second}_fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -135,10 +162,12 @@ def fingerprint_edits(docs: DataFrame, share: int = 4) -> DataFrame:
 
     def printed(rows: DataFrame) -> DataFrame:
         edited = rows.select("doc_id", "row", n.cast("long").alias("n_chars"), "text", edit.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
-        return signatures(edited, ["doc_id", "row", "n_chars", "edited_sha256"], ["text", "edited"])
+        return signatures(edited, ["doc_id", "row", "n_chars", "edited_sha256"], "text", "edited")
 
-    # Joined rows lie by doc_id already, so their texts are not shuffled again; the others never were.
-    prints = printed(paired).unionByName(printed(nameless))
+    # Joined rows lie by doc_id already, so their texts are not shuffled again; rows without an id, if there are any, never were.
+    prints = printed(paired)
+    if not nameless.isEmpty():
+        prints = prints.unionByName(printed(nameless))
     prints = materialise(
         prints.select("doc_id", "n_chars", "edited_sha256", F.col("text_fingerprint").alias("fingerprint"), F.col("edited_fingerprint")), "fingerprints"
     )

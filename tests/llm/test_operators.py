@@ -364,13 +364,13 @@ def test_fingerprints_uneven(spark):
         ("x " * 400 + singles[0], "x " * 100 + singles[0]), ("a b c", "a b d"), ("one", "one"), ("one", "two"), ("", ""), ("", "one"),
     ]
     rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(held)], "row int, a string, b string")
-    signed = weighted_sampling.signatures(rows, ["row"], ["a", "b"])
+    signed = weighted_sampling.signatures(rows, ["row"], "a", "b")
     got = {r["row"]: r["like"] for r in signed.select("row", weighted_sampling.likeness(F.col("a_fingerprint"), F.col("b_fingerprint")).alias("like")).collect()}
     for i, (a, b) in enumerate(held):
         want = jaccard(a, b)
         assert abs(got[i] - want) <= 4 * (want * (1 - want) / 64) ** 0.5 + 1e-9, (i, got[i], want)
     many = [(i, " ".join(f"x{i}" for _ in range(301)) + f" {singles[0]}", " ".join(f"x{i}" for _ in range(201)) + f" {singles[1]}") for i in range(200)]
-    signed = weighted_sampling.signatures(spark.createDataFrame(many, "row int, a string, b string"), ["row"], ["a", "b"])
+    signed = weighted_sampling.signatures(spark.createDataFrame(many, "row int, a string, b string"), ["row"], "a", "b")
     mean = signed.agg(F.avg(weighted_sampling.likeness(F.col("a_fingerprint"), F.col("b_fingerprint")))).first()[0]
     assert abs(mean - np.mean([jaccard(a, b) for _, a, b in many])) < 0.02
 
