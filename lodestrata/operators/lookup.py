@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.containment import containing
+
 #: Rows up to which a master may be broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 100_000
 
@@ -21,22 +23,36 @@ def first_by(df: DataFrame, key: str | list[str], order: str | list[str]) -> Dat
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def contained_code(names: DataFrame, master: DataFrame) -> DataFrame:
+    """name and code of the first master line whose name lies in ``name``, or in whose name it lies; names without one are absent.
+
+    Pairs come from an index of grams, so neither table needs to be small. An empty name
+    lies in all of the master's, and an empty one of the master in all names.
+    """
+    first = master.where("name IS NOT NULL").groupBy(F.col("name").alias("m_name")).agg(F.min_by(F.struct("line_no", "code"), "line_no").alias("line"))
+    names = names.where("name IS NOT NULL").select("name").distinct()
+    inside = containing(names.select(F.col("name").alias("whole")), first.select(F.col("m_name").alias("part"))).select(F.col("whole").alias("name"), F.col("part").alias("m_name"))
+    around = containing(first.select(F.col("m_name").alias("whole")), names.select(F.col("name").alias("part"))).select(F.col("part").alias("name"), F.col("whole").alias("m_name"))
+    met = inside.unionByName(around).join(first, "m_name").select("name", "line")
+    least = lambda rows: F.broadcast(rows.agg(F.min_by("line", "line.line_no").alias("line")).where("line IS NOT NULL"))  # noqa: E731  one row
+    empty = names.crossJoin(least(first.where("m_name = ''")))
+    blank = names.where("name = ''").crossJoin(least(first))
+    every = met.unionByName(empty).unionByName(blank)
+    return every.groupBy("name").agg(F.min_by("line", "line.line_no").alias("line")).select("name", "line.code")
+
+
 def staged_lookup(rows: DataFrame, name: str, master: DataFrame) -> DataFrame:
     """Add ``code`` and ``stage``: the master's code for a name, by exact match, then without blanks, then by containment.
 
     ``master`` has line_no, name and code. Of equal names the last line wins, in the third
-    stage the first line. The containment join compares only distinct names that the first
-    two stages leave open, and only with a master of at most BROADCAST_ROWS rows.
+    stage the first line. The third stage takes only distinct names that the first two leave open.
     """
     exact = master.groupBy("name").agg(F.max_by("code", "line_no").alias("exact_code"))
     bare = master.groupBy(F.regexp_replace("name", r"\s", "").alias("bare_name")).agg(F.max_by("code", "line_no").alias("bare_code"))
     names = rows.select(F.col(name).alias("name")).where("name IS NOT NULL").distinct()
     two = names.join(exact, "name", "left").withColumn("bare_name", F.regexp_replace("name", r"\s", "")).join(bare, "bare_name", "left")
     found = two.where("exact_code IS NOT NULL OR bare_code IS NOT NULL")
-    open_names = two.where("exact_code IS NULL AND bare_code IS NULL").select("name")
-    others = small(master.select("line_no", F.col("name").alias("m_name"), "code"))
-    near = open_names.join(others, F.col("name").contains(F.col("m_name")) | F.col("m_name").contains(F.col("name")))
-    third = near.groupBy("name").agg(F.min_by("code", "line_no").alias("code")).withColumn("stage", F.lit("contains"))
+    third = contained_code(two.where("exact_code IS NULL AND bare_code IS NULL"), master).withColumn("stage", F.lit("contains"))
     stage = F.when(F.col("exact_code").isNotNull(), "exact").otherwise("no_blanks")
     codes = found.select("name", F.coalesce("exact_code", "bare_code").alias("code"), stage.alias("stage")).unionByName(third)
     return rows.join(codes.withColumnRenamed("name", "_name"), F.col(name) == F.col("_name"), "left").drop("_name")

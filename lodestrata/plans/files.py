@@ -31,13 +31,14 @@ def rent_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.rent_rows(spark, path).select("sigungu", "area_m2", "contract_type", "deposit_amount", "floor")
 
 
-@query("charset_rows", "SELECT CAST(c_custkey AS VARCHAR) AS key, '서울 ' || c_name AS name FROM customer")
+@query("charset_rows", "SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_custkey % 10 = 0 THEN '서울 ' ELSE '' END || c_name AS name FROM customer")
 def charset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src_csv_auto_encoding: a file in a charset that its first lines tell."""
+    """src_csv_auto_encoding: a file in a charset that only its last tenth tells."""
     path = shared_folder(spark, "charset")
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("번호"), F.concat(F.lit("서울 "), "c_name").alias("이름"))
-    rows.write.option("header", True).option("encoding", files.allow(spark, "MS949")).csv(path)
-    return files.csv_any(spark, path, {"번호": "key", "이름": "name"})
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("no"), F.concat(F.when(F.col("c_custkey") % 10 == 0, "서울 ").otherwise(""), "c_name").alias("title"))
+    ordered = rows.coalesce(1).sortWithinPartitions(F.col("no") % 10 == 0, "no")  # a file, in order
+    ordered.write.option("header", True).option("encoding", files.allow(spark, "MS949")).csv(path)
+    return files.csv_any(spark, path, {"no": "key", "title": "name"})
 
 
 @query("preamble_rows", "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) + 16 AS INTEGER) AS line_no, n_nationkey, n_name FROM nation")

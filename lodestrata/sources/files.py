@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Encodings tried in order on the first lines of a file.
+#: Encodings tried in order on the lines of a file.
 ENCODINGS = ("UTF-8", "MS949", "EUC-KR")
 _PYTHON = {"UTF-8": "utf-8", "MS949": "cp949", "EUC-KR": "euc-kr"}
 # Fields of rental files and their names here, per building type.
@@ -33,32 +34,52 @@ def csv(spark: SparkSession, path: str, names: Mapping[str, str] | None = None,
     return df.withColumnsRenamed({k: v for k, v in (names or {}).items() if k in df.columns})
 
 
-def probe_encoding(spark: SparkSession, path: str, count: int = 200, most: int = 16_384) -> str:
-    """The first of ENCODINGS in which the first ``count`` lines of a file can be read, those longer than ``most`` bytes aside; UTF-8 if none fits.
+def _readable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a task: for each of ENCODINGS whether all its lines can be read in it.
 
-    Only these lines reach the driver, and the scan stops after them.
+    No byte of a multi-byte sign is a line end in any of them, so a line can be judged
+    alone, and a file by the lines of all its splits.
     """
-    raw = F.col("value").cast("binary")
-    head = b"\n".join(bytes(r["raw"]) for r in spark.read.text(path).limit(count).select(raw.alias("raw")).where(F.octet_length("raw") <= most).collect())
-    for name in ENCODINGS:
-        try:
-            head.decode(_PYTHON[name], "strict")
-            return name
-        except UnicodeDecodeError:
-            continue
-    return "UTF-8"
+    fine = dict.fromkeys(ENCODINGS, True)
+    for batch in batches:
+        lines = b"\n".join(batch["raw"].to_pylist())
+        for name in ENCODINGS:
+            try:
+                if fine[name]:
+                    lines.decode(_PYTHON[name], "strict")
+            except UnicodeDecodeError:
+                fine[name] = False
+    yield pa.RecordBatch.from_pydict({name: [ok] for name, ok in fine.items()})
+
+
+def probe_encoding(spark: SparkSession, path: str) -> str:
+    """The first of ENCODINGS in which the files of a path can be read from end to end; UTF-8 if none fits.
+
+    Each split is judged where it lies, and only verdicts reach the driver.
+    """
+    verdicts = spark.read.text(path).select(F.col("value").cast("binary").alias("raw")).mapInArrow(_readable, ", ".join(f"`{name}` boolean" for name in ENCODINGS))
+    fits = verdicts.agg(*[F.bool_and(f"`{name}`").alias(name) for name in ENCODINGS]).first()
+    return next((name for name in ENCODINGS if fits[name] is not False), "UTF-8")
 
 
 def csv_any(spark: SparkSession, path: str, names: Mapping[str, str] | None = None) -> DataFrame:
-    """A CSV in whichever encoding its first lines tell."""
+    """A CSV in whichever encoding all of its lines can be read in."""
     return csv(spark, path, names, probe_encoding(spark, path))
 
 
 def numbered_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Lines of text files: file, line_no (from 1 in each file) and value. A file's lines stay in order as they are read as one split."""
-    whole = spark.read.option("encoding", allow(spark, encoding)).text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    lines = F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n")
-    return whole.select("file", F.posexplode(lines).alias("pos", "value")).select("file", (F.col("pos") + 1).alias("line_no"), "value")
+    """Lines of text files: file, line_no (from 1 in each file) and value.
+
+    Files are read in splits of bytes, as Spark cuts them. A split's lines are numbered as they
+    are read, and what earlier splits of the file hold is added: one row a split is counted and summed, and no task has more than its splits.
+    """
+    read = spark.read.option("encoding", allow(spark, encoding)).text(path)
+    lines = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("no"))
+    splits = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("no").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = splits.select(F.col("file").alias("s_file"), F.col("start").alias("s_start"), "first", before.alias("before"))
+    joined = lines.join(placed, (F.col("file") == F.col("s_file")) & (F.col("start") == F.col("s_start")))
+    return joined.select("file", (F.col("before") + F.col("no") - F.col("first") + 1).cast("int").alias("line_no"), "value")
 
 
 def csv_after_preamble(spark: SparkSession, path: str, schema: str, skip: int = 15, encoding: str = "UTF-8") -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import address, casts, dates, geo, money
 from lodestrata.functions import text as T
 from lodestrata.functions.vectors import cosine, cosine_or_zero, pooled, unit
-from lodestrata.operators import augment, chunks, conversations, dedupe, evaluate, layout, lookup, pages, rerank, search, spatial, sqlguard, upsert
+from lodestrata.operators import augment, chunks, containment, conversations, dedupe, evaluate, layout, lookup, pages, rerank, search, spatial, sqlguard, upsert
 from lodestrata.sources import files, paged, sinks
 from lodestrata.streaming import incremental
 
@@ -318,3 +321,50 @@ def test_schemas(spark):
     stamp = spark.sql("SELECT 1 AS id, timestamp'2024-01-01' AS updated_at")
     child = spark.sql("SELECT 1 AS conversation_id, timestamp'2024-02-01' AS created_at")
     assert str(schemas.touched(stamp, "id", child, "conversation_id", "created_at").first()["updated_at"]).startswith("2024-02-01")
+
+
+def test_containment(spark):
+    """All pairs, with parts shorter than a gram, empty and null ones, repeats and signs beyond the plane."""
+    rng = random.Random(9)
+    letters = "ab가나\U0001f600 "
+    make = lambda most: "".join(rng.choice(letters) for _ in range(rng.randrange(most)))
+    wholes, parts = [make(12) for _ in range(150)] + [None, ""], [make(7) for _ in range(150)] + [None, "", "가", "가가"]
+    got = containment.containing(spark.createDataFrame([(w,) for w in wholes], "whole string"), spark.createDataFrame([(p,) for p in parts], "part string"))
+    assert sorted(map(tuple, got.collect())) == sorted({(w, p) for w in wholes for p in parts if w is not None and p and p in w})
+    assert containment.containing(got.select("whole").limit(0), got.select("part")).count() == 0
+
+
+@pytest.mark.parametrize("blank", [False, True])
+def test_contained_code(spark, blank):
+    rng = random.Random(3)
+    make = lambda: "".join(rng.choice("동가구 ") for _ in range(rng.randrange(1, 6)))
+    master = [(n, make(), f"c{n}") for n in range(60)] + ([(70, "", "c70")] if blank else [])
+    names = sorted({make() for _ in range(80)} | ({""} if blank else set()))
+    found = lookup.contained_code(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(master, "line_no int, name string, code string"))
+    want = {n: next((c for _, m, c in master if m in n or n in m), None) for n in names}
+    assert {r["name"]: r["code"] for r in found.collect()} == {n: c for n, c in want.items() if c}
+    plan = lookup.contained_code(spark.range(0).selectExpr("string(id) AS name"), spark.createDataFrame(master, "line_no int, name string, code string"))._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and not re.search(r"NestedLoopJoin[^\n]*contains", plan)
+
+
+def test_charset_of_last_lines(spark, tmp_path):
+    (tmp_path / "late.csv").write_bytes(b"id,name\n" + b"".join(b"%d,plain\n" % n for n in range(300)) + "301,서울\n".encode("cp949"))
+    (tmp_path / "utf.csv").write_bytes(b"id,name\n" + b"x" * 40_000 + ",서울\n".encode())
+    assert files.probe_encoding(spark, str(tmp_path / "late.csv")) == "MS949" and files.probe_encoding(spark, str(tmp_path / "utf.csv")) == "UTF-8"
+    assert {r["name"] for r in files.csv_any(spark, str(tmp_path / "late.csv")).where("id = 301").collect()} == {"서울"}
+
+
+def test_lines_of_several_splits(spark, tmp_path):
+    """Numbers go on over splits, in each file; lines end in any of three ways."""
+    held = {"a.txt": [f"line {n} " + "x" * (n % 97) for n in range(5000)], "b.txt": ["", "", "last"], "c.txt": []}
+    for name, lines in held.items():
+        (tmp_path / name).write_bytes("".join(x + ("\n", "\r\n")[n % 2] for n, x in enumerate(lines)).encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = files.numbered_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 5
+        got = sorted((r["file"].rsplit("/", 1)[1], r["line_no"], r["value"]) for r in lines.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(f, n, x) for f, lines in sorted(held.items()) for n, x in enumerate(lines, 1)]
