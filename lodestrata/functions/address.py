@@ -25,16 +25,14 @@ def road_or_lot(road: Column, lot: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(road), F.lit("")), F.trim(lot))
 
 
-# Endings and beginnings of the words of an address.
-LOT_WORD, NUMBER, PAIR = r"[가-힣]+동", r"[0-9]+", r"[0-9]+-[0-9]+"
-ROAD_WORD = r"[가-힣]+(?:로|길|대로|가)[0-9]*[가-힣]*"
-STOREY = rf"(?:{NUMBER} ?~)?{NUMBER} ?층|전층"
-HOUSE_NAME = "[가-힣]+(?:생활|빌)"
+# How the words of an address end or begin.
+ROAD_NAME, LOT_NAME, OWN_NUMBER = r"(?:로|길|로[0-9]+가)$", r"(?:동|리|동[0-9]+가)$", r"^(.*[로길])([0-9]+(?:-[0-9]+)?)$"
+NUMBER = r"^((?:지하)?[0-9]+(?:-[0-9]+)?)"
+STOREY, ROOM = r"[0-9]층$|^전층$|^지[상하][0-9]*층?$|^B[0-9]+층?$", r"[0-9]호$|^[0-9]{2,}동$"
+#: What a building, or a part of one, is called; of a housing notice's address only names with the first ones are cut.
+HOUSES = "생활|빌"
+INSIDE = f"{HOUSES}|빌딩|빌라|아파트|오피스텔|타워|센터|상가|단지|주택|관리동|관리실|본관|어린이집|유치원|학교|병원|약국|공원|체육관"
 COMPANIES = "주식회사|유한회사|사단법인"
-#: How an address may end for a geocoder, the best way first: (how a word ends, how the next begins, how the one after it begins). The part is cut behind the last number named here.
-PLACES_KNOWN = (
-    (r"로[0-9]+$", f"{LOT_WORD}$", PAIR), ("길$", NUMBER, None), (f"길{PAIR}", None, None), ("동$", PAIR, None), (PAIR, None, None), (NUMBER, None, None),
-)
 
 
 def _words(address: Column) -> Column:
@@ -46,47 +44,47 @@ def _unbracketed(address: Column, inside: str = "") -> Column:
     return F.regexp_replace(address, rf"\([^)]*{inside}[^)]*\)" if inside else r"\([^)]*\)", " ")
 
 
-def _places(words: Column, ends: str, begins: str | None = None, after: str | None = None) -> Column:
-    """Offsets of the words that end like ``ends``, the next beginning like ``begins`` and the one after it like ``after``."""
+def _joined(words: Column, n: Column) -> Column:
+    return F.array_join(F.slice(words, F.lit(1), n), " ")
 
-    def fits(w: Column, i: Column) -> Column:
-        found = w.rlike(ends)
-        for step, pattern in ((1, begins), (2, after)):
-            if pattern:
-                found = found & F.coalesce(F.get(words, i + step).rlike(f"^{pattern}"), F.lit(False))
-        return F.when(found, i)
 
-    return F.filter(F.transform(words, fits), lambda i: i.isNotNull())
+def parsed(words: Column) -> Column:
+    """The places of an address, in order: array<struct<at,way,number,own>>.
 
+    A place is a word that names a road or a lot's neighbourhood and has a number: the next
+    word's, or with ``own`` the one it ends in itself. ``at`` is the name's offset.
+    """
+
+    def place(w: Column, i: Column) -> Column:
+        following = F.nullif(F.regexp_extract(F.get(words, i + 1), NUMBER, 1), F.lit(""))
+        way = F.when(w.rlike(ROAD_NAME), ROAD).when(w.rlike(LOT_NAME), LOT)
+        found = lambda way, number, own: F.struct(i.alias("at"), way.alias("way"), number.alias("number"), F.lit(own).alias("own"))
+        return F.when(w.rlike(OWN_NUMBER), found(F.lit(ROAD), F.regexp_extract(w, OWN_NUMBER, 2), True)).when(way.isNotNull() & following.isNotNull(), found(way, following, False))
+
+    return F.filter(F.transform(words, place), lambda p: p.isNotNull())
 
-def _joined(words: Column, n: Column) -> Column:
-    return F.array_join(F.slice(words, F.lit(1), n), " ")
+
+def _rest(words: Column, first: Column, pattern: str) -> Column:
+    """Number of words before the first one, from the offset ``first`` on, that fits a pattern; all if none does."""
+    at = F.transform(words, lambda w, i: F.when((i >= first) & w.rlike(pattern), i))
+    return F.coalesce(F.get(F.filter(at, lambda i: i.isNotNull()), F.lit(0)), F.size(words))
 
 
 def housing(address: Column) -> Column:
-    """An address of a housing notice as its words without brackets, up to a floor or the name of a building."""
-    words = _words(F.regexp_replace(F.trim(_unbracketed(address)), r"\[[^\]]*\]$", ""))
-    rest = lambda i: F.array_join(F.slice(words, i + 1, F.size(words)), " ")
-    stops = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: rest(i).rlike(f"^(?:{STOREY}|{HOUSE_NAME})"))
-    return F.when(address.isNotNull(), _joined(words, F.coalesce(F.get(stops, F.lit(0)), F.size(words))))
+    """An address of a housing notice as its words without brackets, up to a floor or the name of a house."""
+    text = F.regexp_replace(F.regexp_replace(F.trim(_unbracketed(address)), r"\[[^\]]*\]$", ""), r"\s*~\s*|(?<=[0-9])\s+(?=층)", "")
+    words = _words(text)
+    return F.when(address.isNotNull(), _joined(words, _rest(words, F.lit(1), f"{STOREY}|^[가-힣]+(?:{HOUSES})")))
 
 
 def geocodable(address: Column) -> Column:
-    """The words of an address that a geocoder knows: through the number of the best place it names, else all of them."""
-    text = F.regexp_replace(F.regexp_replace(_unbracketed(address), COMPANIES, ""), rf"\s{NUMBER}\s*~.*$|\.\s*$", "")
-    words = _words(text)
-    tries = []
-    for ends, begins, after in PLACES_KNOWN:
-        at = F.get(_places(words, ends, begins, after), F.lit(0))
-        if after:  # a road's own number ends the word
-            found = _joined(words, at + 1)
-        elif begins:
-            found = F.concat_ws(" ", _joined(words, at + 1), F.regexp_extract(F.get(words, at + 1), f"^{begins}", 0))
-        else:
-            piece = F.regexp_extract(F.get(words, at), f"^.*?{ends}", 0)
-            found = F.when(at > 0, F.concat_ws(" ", _joined(words, at), piece)).otherwise(piece)
-        tries.append(F.when(at.isNotNull(), found))
-    return F.when(address.isNotNull(), F.coalesce(*tries, F.array_join(words, " ")))
+    """The words of an address that a geocoder knows: through the number of its first place; without one through its first number, else all."""
+    words = _words(F.regexp_replace(F.regexp_replace(_unbracketed(address), COMPANIES, ""), r"\s[0-9]+\s*~.*$", ""))
+    first = F.get(parsed(words), F.lit(0))
+    known = F.concat_ws(" ", _joined(words, first["at"] + 1), F.when(~first["own"], first["number"]))
+    whole = F.array_join(words, " ")
+    numbered = F.nullif(F.regexp_extract(whole, r"^([^0-9]*[0-9]+(?:-[0-9]+)?)", 1), F.lit(""))
+    return F.when(address.isNotNull(), F.coalesce(F.when(first.isNotNull(), known), numbered, whole))
 
 
 def subway(address: Column) -> Column:
@@ -103,13 +101,13 @@ def park(address: Column) -> Column:
 
 
 def kind(address: Column, general: bool = False) -> Column:
-    """jibun (lot) or road, by the word before a number; ``general`` also tells addresses that end in a neighbourhood, and unknown ones, apart."""
+    """jibun (lot) if the address names a lot's place, road if it names a road's; ``general`` also tells addresses that end in a neighbourhood, and unknown ones, apart."""
     words = _words(address)
-    some = lambda *shape: F.size(_places(words, *shape)) > 0
-    out = F.when(F.coalesce(address == "", F.lit(True)), "unknown").when(some(f"{LOT_WORD}$", NUMBER), LOT).when(some(f"{ROAD_WORD}$", NUMBER), ROAD)
+    ways = F.transform(parsed(words), lambda p: p["way"])
+    out = F.when(F.coalesce(address == "", F.lit(True)), "unknown").when(F.array_contains(ways, LOT), LOT).when(F.array_contains(ways, ROAD), ROAD)
     if general:
-        return out.when(some("[가-힣]$", "[가-힣]+$", f"{LOT_WORD}$"), GENERAL).otherwise("unknown")
-    return out.when(some("[가-힣][로길]$", f"지하{NUMBER}"), ROAD).otherwise(LOT)
+        return out.when((F.size(words) >= 3) & F.element_at(words, -1).rlike(LOT_NAME), GENERAL).otherwise("unknown")
+    return out.otherwise(LOT)
 
 
 def candidates(raw: Column, clean: Column) -> Column:
@@ -120,9 +118,11 @@ def candidates(raw: Column, clean: Column) -> Column:
 
 
 def lot_numbers(address: Column) -> Column:
-    """struct<main,sub> of a lot address; blank where missing."""
-    pattern = r"[가-힣0-9]+\s+(\d+)(?:-(\d+))?"
-    return F.struct(F.regexp_extract(address, pattern, 1).alias("main"), F.regexp_extract(address, pattern, 2).alias("sub"))
+    """struct<main,sub> of the first number that stands behind a place's name; blank where missing."""
+    places = F.filter(parsed(_words(address)), lambda p: ~p["own"])
+    parts = F.split(F.get(places, F.lit(0))["number"], "-")
+    part = lambda i: F.when(address.isNotNull(), F.coalesce(F.get(parts, F.lit(i)), F.lit("")))
+    return F.struct(part(0).alias("main"), part(1).alias("sub"))
 
 
 def building_name(address: Column) -> Column:
@@ -142,21 +142,15 @@ def bus_point(x: Column, y: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.concat_ws(",", a.cast("string"), b.cast("string"))).otherwise("")
 
 
-# Endings of building names, and words after which an address says nothing of its place.
-BUILDINGS = (
-    "아파트|빌딩|빌라|빌|타워|타운|센터|마트|몰|오피스|오피스텔|자이|파크|힐스|위브|시티|푸르지오|프레스티지|브이원|에코|리버|더프레티움|스위첸|리첸시아|플레이스|센트럴|그라시움|아이파크|아카데미|"
-    "엔지니어링|메디컬|홈캐스트|스위트|생활|주택"
-)
-INSIDE = "단지\\s*내|관리동|관리실|키즈클럽|상가동|상가|본관|주민공동시설|종합상가|교육관|주민센터|전층"
-PLACES = "어린이집|유치원|학교|병원|약국|편의점|공원|체육관"
-
-
 def facility(address: Column) -> Column:
-    """An address of a facility up to its number: repeats, parentheses, floors, rooms and names of buildings behind it go."""
-    storey = r"(?:지[상하]\s*)?\d+(?:\s*[~,]\s*\d+)*\s*층|지[상하]\d*\s*층?|B\d+층?|\d+[Ff]"
-    room = r"(?:[A-Z]?\d+(?:[-,]\s*\d+)*|[가-힣])호|\d{2,}동"
-    steps = [
-        (r"^(.{5,}?)\s+\1(?:\s.*)?$", "$1"), (r"\([^)]*\)", " "), (r"\s+", " "), (rf"\s+(?:{storey}|{room}|{INSIDE})(?:\s.*|$)", ""), (rf"\s+[가-힣A-Z]+(?:{BUILDINGS})(?:[\sA-Z0-9].*|$)", ""),
-        (rf"((?:로|길)\d*[가-힣]*\s+\d+(?:-\d+)?)\s+[가-힣]*(?:{PLACES}).*$", "$1"), (r"((?:로|길)\s+\d+(?:-\d+)?)\s+[가-힣]+동\s+\d+(?:-\d+)?.*$", "$1"), (r"(길)(\d)", "$1 $2"), (r",\s*[^,]*$", ""), (r"[.,\-\s]+$", ""), (r"\s+", " "),
-    ]
-    return F.trim(_sub(F.trim(address), steps))
+    """An address of a facility up to what lies inside: a floor, a room or the name of a building behind the number of its first place.
+
+    An address given twice counts once, and a number written onto a street's name is set apart.
+    """
+    text = F.regexp_replace(_unbracketed(address), r"(길)([0-9]+(?:-[0-9]+)?)(?=\s|$)", "$1 $2")
+    words = _words(F.regexp_replace(text, r"(?<=[0-9])\s+(?=층|호)", ""))
+    half = F.slice(words, F.lit(1), (F.size(words) / 2).cast("int"))
+    once = F.when((F.size(half) > 1) & (F.concat(half, half) == words), half).otherwise(words)
+    first = F.get(parsed(once), F.lit(0))
+    kept = _joined(once, _rest(once, F.coalesce(first["at"] + F.when(first["own"], 1).otherwise(2), F.lit(1)), f"{STOREY}|{ROOM}|(?:{INSIDE})"))
+    return F.regexp_replace(kept, r"[.,\-\s]+$", "")

@@ -157,8 +157,7 @@ SELECT id, nullif(string_split_regex(trim(t), '\\s+')[1], '') AS province, strin
     WHEN regexp_matches(t, '[가-힣]+\\s+[가-힣]+\\s+[가-힣]+동(?:\\s|$)') THEN 'general' ELSE 'unknown' END AS kind,
   regexp_extract(t, '[가-힣0-9]+\\s+(\\d+)(?:-(\\d+))?', 1) AS lot_main, regexp_extract(t, '[가-힣0-9]+\\s+(\\d+)(?:-(\\d+))?', 2) AS lot_sub,
   regexp_replace(trim(regexp_extract(t, '\\([^,]+,\\s*([^)]+)\\)', 1)), '\\s+(주택|빌라|아파트|오피스텔|건물)$', '') AS building,
-  trim(regexp_replace(CASE WHEN t IS NULL THEN NULL ELSE coalesce(nullif(regexp_extract(c, '^(.+?로\\d+)\\s+[가-힣]+동\\s+\\d+-\\d+', 1), ''), nullif(regexp_extract(c, '^(.+?길\\s+\\d+)', 1), ''), nullif(regexp_extract(c, '^(.+?길\\d+-\\d+)', 1), ''),
-    nullif(regexp_extract(c, '^(.+?동\\s+\\d+-\\d+)', 1), ''), nullif(regexp_extract(c, '^(.+?[0-9]+-[0-9]+)', 1), ''), nullif(regexp_extract(c, '^(.+?[0-9]+)', 1), ''), c) END, '\\s+', ' ', 'g')) AS geocodable FROM c""",
+  trim(regexp_replace(CASE WHEN t IS NULL THEN NULL ELSE coalesce(nullif(regexp_extract(c, '^(.*?(?:[로길][0-9]+(?:-[0-9]+)?(?:\\s|$)|(?:로|길|동|리|[0-9]가)\\s+[0-9]+(?:-[0-9]+)?))', 1), ''), nullif(regexp_extract(c, '^([^0-9]*[0-9]+(?:-[0-9]+)?)', 1), ''), c) END, '\\s+', ' ', 'g')) AS geocodable FROM c""",
 )
 def address_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """prj_addr_split3, str_addr_type, str_jibun_numbers, str_building_name, str_addr_preprocess (geocoder)."""

@@ -66,6 +66,13 @@ def test_markdown_table(spark):
 def test_address(apply):
     assert apply(address.housing, "서울 종로구 나길 3 2층 (하늘)", "서울 강동구 길동 1-7 [별관]") == ["서울 종로구 나길 3", "서울 강동구 길동 1-7"]
     assert apply(address.geocodable, "서울특별시 은평구 통일로915 갈현동 391-46", "남부순환로105나길 24 가동", "경인로33마길4-7 101호") == ["서울특별시 은평구 통일로915", "남부순환로105나길 24", "경인로33마길4-7"]
+    assert apply(address.geocodable, "서울 영등포구 경인로 12 구로동 3-4", "주식회사 하늘 서울 중구 을지로 지하 5", "서울 성동구 성수동2가 300-1 2층", "부산 해운대 12-3번지 근처", "이름뿐", "", None) == [
+        "서울 영등포구 경인로 12", "하늘 서울 중구 을지로 지하 5", "서울 성동구 성수동2가 300-1", "부산 해운대 12-3", "이름뿐", "", None,
+    ]
+    assert apply(address.kind, "서울 은평구 통일로915 갈현동 391-46", "서울 중구 충무로4가 5", "서울 중구 을지로 지하12", "서울 노원구", "") == ["jibun", "road", "road", "jibun", "unknown"]
+    assert apply(lambda c: address.kind(c, True), "서울 노원구 상계동", "서울 노원구", None) == ["general", "unknown", "unknown"]
+    assert [tuple(r) for r in apply(address.lot_numbers, "서울 은평구 통일로915 갈현동 391-46", "서울 강동구 길동 7", "서울")] == [("391", "46"), ("7", ""), ("", "")]
+    assert apply(address.housing, "서울 종로구 나길 3 1 ~ 2 층 전체", "서울 종로구 나길 3 하늘생활주택 3호", "전층 나길 3", None) == ["서울 종로구 나길 3", "서울 종로구 나길 3", "전층 나길 3", None]
     assert apply(address.building_name, "서울 회기로12나길 18 (회기동, 소리소문 주택)") == ["소리소문"]
     assert apply(lambda c: address.candidates(c, address.housing(c)), "서울 강동구 길동 12-7 (별관)") == [["서울 강동구 길동 12-7", "서울 강동구 길동 12-7 (별관)", "서울 강동구 길동 (별관)"]]
     assert apply(lambda c: address.bus_point(c, F.lit("37.5")), "126.9", "x") == ["126.9,37.5", ""]
@@ -283,6 +290,8 @@ def test_search_logs_and_stats(spark):
 def test_facility_address(apply):
     raw = ["서울 종로구 세종대로 175 세종이야기 지하1층", "서울 강남구 테헤란로 152 강남빌딩 3층", "서울 중구 을지로 12 (을지로1가) 101호", "서울 마포구 독막로 3 나라어린이집", "서울 강서구 화곡로13길5"]
     assert apply(address.facility, *raw) == ["서울 종로구 세종대로 175 세종이야기", "서울 강남구 테헤란로 152", "서울 중구 을지로 12", "서울 마포구 독막로 3", "서울 강서구 화곡로13길 5"]
+    more = ["서울 중구 을지로 12 서울 중구 을지로 12", "서울 중구 을지로 12 - ,", "하늘병원", None, "서울 마포구 합정동 3-1 한강 B2"]
+    assert apply(address.facility, *more) == ["서울 중구 을지로 12", "서울 중구 을지로 12", "하늘병원", None, "서울 마포구 합정동 3-1 한강"]
 
 
 def test_faq(apply):
