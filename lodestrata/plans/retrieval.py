@@ -1,7 +1,8 @@
 """Search, reranking, context and retrieval metrics.
 
-Queries are benchmark items, results documents; similarities are arithmetic on keys, so
-that both engines start from the same numbers. Models are the embeddings' labels.
+Queries are the benchmark items whose id is divisible by 20; their candidates are the CANDIDATES best of all
+documents by an inverted index, whose scores are whole numbers, so that both engines start
+from the same ones. Models are the embeddings' labels.
 """
 
 from __future__ import annotations
@@ -9,14 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import keyword_tokens, words
-from lodestrata.operators import augment, evaluate, rerank, search
-from lodestrata.operators.lookup import small
+from lodestrata.operators import augment, evaluate, postings, rerank, search
 from lodestrata.plans import text_sql
 from lodestrata.plans.registry import query
 from lodestrata.session import table
 
-SIM = "CAST((doc_id * 7919 + item_id * 104729) % 1000 AS DOUBLE) / 1000"
 TOKENS = "[가-힣a-zA-Z0-9]+"
 
 
@@ -86,37 +84,43 @@ def embedding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.component_stats(vectors(spark, sf_dir), ["label"])
 
 
-CANDIDATES_SQL = f"""items AS (SELECT item_id, text AS query FROM benchmark), cand AS (SELECT item_id AS query_id, query, d.doc_id, d.text AS content, {SIM} AS similarity, d.doc_id % 7 AS chunk_index FROM items, documents d)"""
+TOKEN_SQL = f"list_filter(regexp_extract_all(lower({{c}}), '{TOKENS}'), lambda x: length(x) >= 2)"
+#: Candidates of a query.
+CANDIDATES = 50
+#: The score of each document and item that share a term, over the same whole numbers.
+CANDIDATES_SQL = f"""items AS (SELECT item_id, text AS query FROM benchmark WHERE item_id % 20 = 0), tf AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest({TOKEN_SQL.format(c="coalesce(text, '')")}) AS t FROM documents) GROUP BY ALL),
+ln AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id), stat AS (SELECT count(DISTINCT doc_id)::DOUBLE AS total, (SELECT sum(n) FROM ln)::DOUBLE / count(DISTINCT doc_id) AS mean FROM documents), df AS (SELECT t, count(*)::DOUBLE AS df FROM tf GROUP BY t),
+qt AS (SELECT DISTINCT item_id, t, floor(ln(1 + total / df) * {postings.SCALE} * {postings.K1 + 1})::BIGINT AS ceiling, df FROM (SELECT item_id, unnest({TOKEN_SQL.format(c='query')}) AS t FROM items) JOIN df USING (t), stat),
+raw AS (SELECT item_id, doc_id, sum(floor(ln(1 + total / df) * {postings.SCALE} * tf * {postings.K1 + 1} / (tf + {postings.K1} * ({1 - postings.B} + {postings.B} * n / mean)))::BIGINT)::BIGINT AS score FROM qt JOIN tf USING (t) JOIN ln USING (doc_id), stat GROUP BY ALL),
+best AS (SELECT item_id, doc_id, ((score * 1000) // most)::DOUBLE / 1000 AS similarity FROM raw JOIN (SELECT item_id, sum(ceiling)::BIGINT AS most FROM qt GROUP BY item_id) USING (item_id) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= {CANDIDATES}),
+cand AS (SELECT item_id AS query_id, query, doc_id, d.text AS content, similarity, doc_id % 7 AS chunk_index FROM best JOIN items USING (item_id) JOIN documents d USING (doc_id))"""
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def found(spark: SparkSession, sf_dir: str, k: int = CANDIDATES) -> DataFrame:
+    """query_id, doc_id, similarity and prior_rank of the ``k`` best documents of each item."""
+    index = postings.build(documents(spark, sf_dir).withColumnRenamed("doc_id", "id"))
+    return postings.top_k(index, items(spark, sf_dir), k).select("query_id", F.col("id").alias("doc_id"), F.col("share").alias("similarity"), F.col("id").alias("prior_rank"))
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document for every item. Tokens are taken before the join, once a text; columns that a query does not read cost nothing."""
-
-    def tokenised(rows: DataFrame, name: str) -> DataFrame:
-        text = F.col(name)
-        return rows.withColumns({f"{name}_tokens": F.array_distinct(keyword_tokens(text)), f"{name}_words": F.array_distinct(words(F.lower(text)))})
-
-    items = small(tokenised(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query")), "query"))
-    docs = documents(spark, sf_dir)
-    # A file may be one task; a pair costs more than the shuffle of a text.
-    dealt = docs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "doc_id")
-    joined = tokenised(dealt, "content").crossJoin(items)
-    return joined.selectExpr(
-        "item_id AS query_id", "query", "doc_id", "doc_id AS prior_rank", "content", f"{SIM} AS similarity", "CAST(doc_id % 7 AS INT) AS chunk_index", "query_tokens", "query_words", "content_tokens", "content_words",
-    )
+    """The candidates with both texts; texts are joined to what the index has found alone."""
+    thin = found(spark, sf_dir).withColumn("chunk_index", (F.col("doc_id") % 7).cast("int"))
+    return thin.join(items(spark, sf_dir), "query_id").join(documents(spark, sf_dir), "doc_id")
 
 
 def nearest(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """The ``k`` candidates of the greatest similarity of each item; texts are joined to these alone."""
-    thin = candidates(spark, sf_dir).select("query_id", "doc_id", "prior_rank", "similarity")
-    return rerank.ranked(thin, "similarity", k).join(documents(spark, sf_dir), "doc_id")
+    return rerank.ranked(found(spark, sf_dir), "similarity", k).join(documents(spark, sf_dir), "doc_id")
 
 
-TOKEN_SQL = f"list_filter(regexp_extract_all(lower({{c}}), '{TOKENS}'), lambda x: length(x) >= 2)"
 SCORES_SQL = f"""{CANDIDATES_SQL}, tok AS (SELECT *, list_distinct({TOKEN_SQL.format(c='query')}) AS qt, list_distinct({TOKEN_SQL.format(c='content')}) AS dt FROM cand),
 sc AS (SELECT *, CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, dt))::DOUBLE / len(qt) ELSE 0 END AS k, 1.0::DOUBLE / (1.0 + abs(length(content) - 200) / 200) AS l, 1.0::DOUBLE / (1.0 + chunk_index * 0.1::DOUBLE) AS p FROM tok)"""
 
@@ -173,12 +177,12 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _context(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    queries = items(spark, sf_dir)
     docs = augment.selected(nearest(spark, sf_dir)).withColumn("source", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
     return docs.select("query_id", "rank", "content", "similarity", "source"), queries
 
 
-@query("contexts", text_sql.contexts(SIM))
+@query("contexts", text_sql.contexts(CANDIDATES_SQL))
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """aug_context and the seven formatters, a row for each layout and query."""
     docs, queries = _context(spark, sf_dir)
@@ -197,7 +201,7 @@ FROM items LEFT JOIN p ON item_id = query_id""",
 )
 def context_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """aug_context for questions: the three best documents, whole."""
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    queries = items(spark, sf_dir)
     top = augment.selected(nearest(spark, sf_dir, 3), budget=1 << 40, most=3)
     return augment.question_answering(top, queries).select("query_id", F.md5("context").alias("context_md5"))
 
@@ -209,8 +213,8 @@ hit AS (SELECT top.query_id, rank, similarity, list_filter(expected, lambda k: c
 
 def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     results = nearest(spark, sf_dir).select("query_id", "doc_id", "rank", "content", "similarity")
-    first = F.slice(F.split(F.trim("text"), r"\s+"), 1, 3)
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.array_distinct(first).alias("expected"))
+    first = F.slice(F.split(F.trim("query"), r"\s+"), 1, 3)
+    queries = items(spark, sf_dir).select("query_id", "query", F.array_distinct(first).alias("expected"))
     return results, queries
 
 

@@ -195,16 +195,16 @@ def _s(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def contexts(similarity: str) -> str:
-    """Every layout of each item's context: the five best documents by ``similarity`` within the budget of words."""
+def contexts(candidates: str) -> str:
+    """Every layout of each item's context: the five best of ``candidates`` within the budget of words."""
     no, three, percent, nothing = "rank::VARCHAR", "printf('%.3f', similarity)", "printf('%.1f', similarity * 100) || '%'", _s(augment.NOTHING)
     sentences_of = f"array_to_string(list_transform(list_filter(list_transform(string_split({squeezed('content', True)}, '.'), lambda s: {squeezed('s', True)}), lambda s: s <> ''), lambda s: s || '.'), ' ')"
     rates, limits = (["연\\s*[0-9]+\\.?[0-9]*\\s*%", "[0-9]+\\.?[0-9]*\\s*%", "금리.*?[0-9]+\\.?[0-9]*"], ["[0-9]+억\\s*원?", "[0-9]+천만\\s*원?", "[0-9]+백만\\s*원?", "[0-9]+만\\s*원?", "[0-9]+%\\s*이내"])
     every = lambda ps: "flatten([" + ", ".join(f"regexp_extract_all(content, '{p}')" for p in ps) + "])"
     line = lambda title, c: f"CASE WHEN len({c}) > 0 THEN '**{title}:** ' || array_to_string(({_distinct(c)})[1:5], ', ') || chr(10) || chr(10) ELSE '' END"
     ask, head = "'질문: ' || query || chr(10) || chr(10)", "'# 질문' || chr(10) || query || chr(10) || chr(10)"
-    return f"""WITH q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
-r AS (SELECT query_id, doc_id, {similarity.replace('item_id', 'query_id')} AS similarity FROM q, documents), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM r QUALIFY rank <= {augment.MOST}),
+    return f"""WITH {candidates}, q AS (SELECT item_id AS query_id, query FROM items),
+top AS (SELECT query_id, doc_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM cand QUALIFY rank <= {augment.MOST}),
 w AS (SELECT query_id, rank, similarity, 'doc ' || doc_id AS source, text AS content, list_filter(string_split_regex(text, '[{WHITE}]+'), lambda x: x <> '') AS ws FROM top JOIN documents USING (doc_id)),
 t AS (SELECT *, sum(len(ws)) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM w), o AS (SELECT *, sum(CASE WHEN total > {augment.BUDGET} THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS over, {augment.BUDGET} - (total - len(ws)) AS room FROM t),
 kept AS (SELECT query_id, rank, similarity, source, CASE WHEN over = 0 THEN content ELSE array_to_string(ws[1:room], ' ') || '...' END AS content FROM o WHERE over = 0 OR (over = 1 AND room > {augment.WORTH})),
