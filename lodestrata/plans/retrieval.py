@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators import augment, evaluate, postings, rerank, search
+from lodestrata.operators import augment, evaluate, ivf, postings, rerank, search
 from lodestrata.plans import text_sql
 from lodestrata.plans.registry import query
 from lodestrata.session import table
@@ -52,6 +52,31 @@ def knn_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k_each(v, q, 5, -1.0).select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors found by the index for every vector whose id is divisible by 20, and those queries."""
+    v = vectors(spark, sf_dir).select("id", "embedding")
+    q = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    return ivf.search(ivf.build(v, v.agg(F.max(F.size("embedding"))).first()[0] or 1), q, 5), q
+
+
+@query("knn_multi_indexed")
+def knn_multi_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_hnsw, topk_knn_multi_query: the neighbours of knn_multi from an inverted file with residual codes; knn_index_recall holds them against the exact ones."""
+    found, _ = _indexed(spark, sf_dir)
+    return found.select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query("knn_index_recall", "SELECT count(*) AS n_queries, true AS found_nine_in_ten, true AS ranks_agree FROM embeddings WHERE vec_id % 20 = 0")
+def knn_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_hnsw: whether the index finds at least 0.9 of the five exact neighbours of all queries, and in order."""
+    found, q = _indexed(spark, sf_dir)
+    exact = search.top_k_each(vectors(spark, sf_dir).select("id", "embedding"), q, 5, -1.0).select("query_id", "id", F.col("rank").alias("exact_rank"))
+    both = exact.join(found, ["query_id", "id"], "left")
+    return both.agg(
+        F.count_distinct("query_id").alias("n_queries"), (F.count("rank") >= F.count(F.lit(1)) * 0.9).alias("found_nine_in_ten"), F.bool_and(F.coalesce(F.col("rank") <= F.col("exact_rank"), F.lit(True))).alias("ranks_agree")
+    )
+
+
 @query(
     "knn_multi_model",
     f"""SELECT label, query_id, id, rank, similarity FROM (SELECT e.label, q.vec_id AS query_id, e.vec_id AS id, round({COS}, 6) AS similarity, row_number() OVER (PARTITION BY e.label, q.vec_id ORDER BY {COS} DESC, e.vec_id) AS rank
@@ -121,6 +146,16 @@ def nearest(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     return rerank.ranked(found(spark, sf_dir), "similarity", k).join(documents(spark, sf_dir), "doc_id")
 
 
+@query(
+    "text_topk",
+    f"""WITH {CANDIDATES_SQL} SELECT item_id AS query_id, doc_id AS id, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM raw WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10""",
+)
+def text_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_fts_index: the ten best documents of each item by an inverted index that skips blocks of documents."""
+    index = postings.build(documents(spark, sf_dir).withColumnRenamed("doc_id", "id"), block_ids=256)
+    return postings.top_k(index, items(spark, sf_dir), 10, first=2).select("query_id", "id", "score", "rank")
+
+
 SCORES_SQL = f"""{CANDIDATES_SQL}, tok AS (SELECT *, list_distinct({TOKEN_SQL.format(c='query')}) AS qt, list_distinct({TOKEN_SQL.format(c='content')}) AS dt FROM cand),
 sc AS (SELECT *, CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, dt))::DOUBLE / len(qt) ELSE 0 END AS k, 1.0::DOUBLE / (1.0 + abs(length(content) - 200) / 200) AS l, 1.0::DOUBLE / (1.0 + chunk_index * 0.1::DOUBLE) AS p FROM tok)"""
 
