@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,17 +79,18 @@ def table_rows(text: str, size: int = SIZE, most: int = MOST) -> list[str]:
 WAYS = {"windows": windows, "sentences": by_sentences, "table": table_rows}
 
 
-def _split(batches: Iterator[pd.DataFrame], way: str, options: dict) -> Iterator[pd.DataFrame]:
+def _split(batches: Iterator[pa.RecordBatch], way: str, options: dict) -> Iterator[pa.RecordBatch]:
+    """Ids pass through untouched."""
     cut = WAYS[way]
     for batch in batches:
-        found = [[c for c in cut(t, **options) if c.strip()] if isinstance(t, str) and t.strip() else [] for t in batch["text"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "pieces": found})
+        found = [[c for c in cut(t, **options) if c.strip()] if t and t.strip() else [] for t in batch["text"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.list_(pa.string()))], ["doc_id", "pieces"])
 
 
 def chunked(docs: DataFrame, way: str = "windows", **options: int) -> DataFrame:
     """Columns doc_id, chunk_index (from 0), total_chunks and content; blank texts give no row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    pieces = docs.select("doc_id", "text").mapInPandas(partial(_split, way=way, options=options), f"doc_id {kind}, pieces array<string>")
+    pieces = docs.select("doc_id", "text").mapInArrow(partial(_split, way=way, options=options), f"doc_id {kind}, pieces array<string>")
     return pieces.select("doc_id", F.size("pieces").alias("total_chunks"), F.posexplode("pieces").alias("chunk_index", "content")).select("doc_id", "chunk_index", "total_chunks", F.trim("content").alias("content"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.session import shared_folder
+
 
 def ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Add ``copy_no``: 1 for the first row of a key. Null parts of a key count as equal."""
@@ -28,9 +30,28 @@ def duplicate_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, category: str, order: list[str], out: str) -> DataFrame:
+    """Add ``out``: the place of a row, from 1, in its category and order.
+
+    Rows are sorted by ranges, which cut a large category, and written once. A range's part of a
+    category starts after what earlier ranges have of it: one row a range and category is summed.
+    """
+    spark = df.sparkSession
+    path, by = shared_folder(spark, "numbered"), [category, *order]
+    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
+    held = ranged.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(category).alias("category"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("no"))
+    held.write.parquet(path)
+    held = spark.read.schema(held.schema).parquet(path)
+    parts = held.groupBy("category", "part").agg(F.count(F.lit(1)).alias("n"), F.min("no").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("category").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select(F.col("category").alias("s_category"), F.col("part").alias("s_part"), "first", before.alias("before"))
+    placed = held.join(starts, F.col("category").eqNullSafe(F.col("s_category")) & (F.col("part") == F.col("s_part")))
+    return placed.select("row.*", (F.col("no") - F.col("first") + F.col("before") + 1).alias(out))
+
+
 def ordinal_ids(df: DataFrame, category: str, order: list[str], existing: DataFrame | None = None, digits: int = 4) -> DataFrame:
     """Add ``ordinal_id``: the category and a running number, zero-padded to ``digits`` or longer, going on from ``existing`` (category, last_no)."""
-    joined = df.withColumn("_number", F.row_number().over(Window.partitionBy(category).orderBy(*order))).withColumn("_last", F.lit(0))
+    joined = numbered(df, category, order, "_number").withColumn("_last", F.lit(0))
     if existing is not None:
         last = existing.select(F.col(category).alias("_category"), F.col("last_no").alias("_last"))
         joined = joined.drop("_last").join(last, F.col(category) == F.col("_category"), "left").drop("_category")

@@ -377,3 +377,39 @@ def test_lines_of_several_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == [(f, n, x) for f, lines in sorted(held.items()) for n, x in enumerate(lines, 1)]
+
+
+def test_chunk_ids(spark):
+    rows = spark.createDataFrame([(2**60 + 1, "first text."), (None, "second."), (2**60 + 3, "third."), (4, None), (5, " ")], "doc_id long, text string").coalesce(1)
+    for way in chunks.WAYS:
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["content"]) for r in chunks.chunked(rows, way).collect()) == [(False, 2**60 + 1, "first text."), (False, 2**60 + 3, "third."), (True, 0, "second.")]
+
+
+def test_numbered(spark):
+    """A category over several ranges, equal orders, null categories, and names of the work."""
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(500), n) for n in range(2000)]
+    got = dedupe.numbered(spark.createDataFrame(rows, "category string, no int, part int"), "category", ["no", "part"], "place").collect()
+    want, seen = {}, {}
+    for c, no, part in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2])):
+        seen[c] = seen.get(c, 0) + 1
+        want[part] = seen[c]
+    assert {r["part"]: r["place"] for r in got} == want and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("most", [5, 10**6])
+def test_dense_cells(spark, most):
+    """Nine tenths of the points in one square: all pairs, and no part with more than its share."""
+    rng = random.Random(most)
+    spot = lambda: (rng.uniform(0, 99), rng.uniform(0, 99)) if rng.random() < 0.9 else (rng.uniform(-500, 500), rng.uniform(-500, 500))
+    homes, places = [(i, *spot()) for i in range(200)], [(i, *spot()) for i in range(300)] + [(300, 100.0, 0.0), (301, -100.0, 100.0)]
+    h, p = spark.createDataFrame(homes, "h int, x double, y double"), spark.createDataFrame(places, "p int, x double, y double")
+    got = sorted((r["h"], r["p"]) for r in spatial.within(h, p, 100.0, most=most).collect())
+    assert got == sorted((i, j) for i, a, b in homes for j, c, d in places if ((a - c) ** 2 + (b - d) ** 2) ** 0.5 <= 100)
+    fine = p.withColumns({c: F.floor(F.col(v) / (100 / 2**5)) for c, v in (("fx", "x"), ("fy", "y"))})
+    found = {(r["bx"], r["by"]): r["level"] for r in spatial.levels(fine, most).collect()}
+    parts = {}
+    for _, x, y in places:
+        level = found[x // 100, y // 100]
+        parts[level, x // (100 / 2**level), y // (100 / 2**level)] = parts.get((level, x // (100 / 2**level), y // (100 / 2**level)), 0) + 1
+    assert (max(n for (level, _, _), n in parts.items() if level < 5) <= most) and (most > 5 or found[0, 0] > 0)
