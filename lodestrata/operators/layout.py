@@ -5,8 +5,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 PAGE = ["file", "page"]
 #: Points that a character may lie below the first of its line, least size, shade from which it counts as white.
 TOLERANCE, LEAST_SIZE, WHITE = 5.0, 6.0, 0.95
+#: Sections of a block; points of an empty stretch between columns; share of rows that start a word at a column.
+SECTIONS, GAP, ALIGNED = 10_000, 15.0, 0.6
 # Shapes of headings.
 HEADINGS = r"^\d+\.\s|^[가-힣]\.\s|^\(\d+\)|^제\s*\d+\s*[조장절]|^[■□◆◇○●▶]|^\[[^\]]+\]$"
 
@@ -92,20 +95,70 @@ def cell_text(cell_lines: Column) -> Column:
     return F.when(n <= 3, F.array_join(cell_lines, " ")).otherwise(F.concat(F.get(cell_lines, F.lit(0)), F.lit("...")))
 
 
-def grouped_sections(sections: DataFrame, small: int = 100) -> DataFrame:
-    """Neighbouring sections (file, no, title, content) that are small or share their title with the one before become one."""
-
-    def fold(batch: pd.DataFrame) -> pd.DataFrame:
-        batch, out = batch.sort_values("no"), []
-        for row in batch.itertuples(index=False):
-            if out and (len(row.content) < small or row.title == out[-1]["title"]):
-                out[-1]["content"] += "\n" + row.content
-            else:
-                out.append({"file": row.file, "no": row.no, "title": row.title, "content": row.content})
-        return pd.DataFrame(out, columns=["file", "no", "title", "content"])
-
-    shape = ", ".join(f"{c} {sections.schema[c].dataType.simpleString()}" for c in ("file", "no", "title", "content"))
-    return sections.select("file", "no", "title", "content").groupBy("file").applyInPandas(fold, shape)
+def grouped_sections(sections: DataFrame, small: int = 100, block: int = SECTIONS) -> DataFrame:
+    """Neighbouring sections (file, no, title, content) that are small or share their title with the one before become one.
+
+    A group is titled by the large section before, or the file's first one, since a large section that goes on
+    with a group has its title. So a section starts a group if it is large and differs from the last large
+    one's title: a running value, which blocks of ``block`` numbers hand on as one row each. ``no`` is distinct in a file.
+    """
+    held = sections.select("file", "no", "title", "content").withColumn("_block", F.floor(F.col("no") / block)).withColumn("_large", F.length("content") >= small)
+    blocks = held.groupBy("file", "_block").agg(F.min("no").alias("_least"), F.min_by(F.struct("title"), "no").alias("_head"), F.max_by(F.struct("title"), F.when(F.col("_large"), F.col("no"))).alias("_last"))
+    order = Window.partitionBy("file").orderBy("_block")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_first", F.row_number().over(order) == 1).withColumn("_last", F.coalesce("_last", F.when(F.col("_first"), F.col("_head"))))
+    carried = blocks.select(F.col("file").alias("_f"), F.col("_block").alias("_b"), "_first", "_least", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    rows = held.join(carried, F.col("file").eqNullSafe(F.col("_f")) & F.col("_block").eqNullSafe(F.col("_b"))).drop("_f", "_b")
+    within = Window.partitionBy("file", "_block").orderBy("no")
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    heads = F.col("_first") & (F.col("no") == F.col("_least"))
+    anchor = F.when(F.col("_large") | heads, F.struct("title"))
+    last = F.coalesce(F.last(anchor, ignorenulls=True).over(before), F.col("_carried"))
+    marked = rows.withColumn("_prior", last).withColumn("_starts", heads | (F.col("_large") & ~F.col("_prior.title").eqNullSafe(F.col("title"))))
+    starts = marked.groupBy("file", "_block").agg(F.max(F.when(F.col("_starts"), F.col("no"))).alias("_start"))
+    behind = starts.select(F.col("file").alias("_f"), F.col("_block").alias("_b"), F.max("_start").over(earlier).alias("_open"))
+    placed = marked.join(behind, F.col("file").eqNullSafe(F.col("_f")) & F.col("_block").eqNullSafe(F.col("_b")))
+    group = F.coalesce(F.max(F.when(F.col("_starts"), F.col("no"))).over(within.rowsBetween(Window.unboundedPreceding, 0)), F.col("_open"))
+    each = placed.select("file", "no", "title", "content", group.alias("_group"))
+    joined = each.groupBy("file", "_group").agg(F.min_by("title", "no").alias("title"), F.array_sort(F.collect_list(F.struct("no", "content"))).alias("_parts"))
+    return joined.select("file", F.col("_group").alias("no"), "title", F.array_join(F.transform("_parts", lambda x: F.coalesce(x["content"], F.lit(""))), "\n").alias("content"))
+
+
+def _tables(page: pd.DataFrame, gap: float, share: float) -> pd.DataFrame:
+    """Candidates of one page by both strategies.
+
+    Rows are the page's lines. "gaps" puts a column's end where a histogram of the page's width has an empty stretch of ``gap``
+    or more; "aligned" starts one where at least ``share`` of the rows have a word.
+    """
+    page = page.sort_values(["line_no", "x", "seq"], kind="stable")
+    rows = [r for _, r in page.groupby("line_no", sort=True)]
+    left, right = page["x"].round(3), (page["x"] + page["width"]).round(3)
+    spans, ends = sorted(zip(left, right, strict=True)), []
+    reach = None
+    for a, b in spans:
+        if reach is not None and a - reach >= gap:
+            ends.append((reach + a) / 2)
+        reach = b if reach is None else max(reach, b)
+    found = {"gaps": ends}
+    starts = page.groupby(left)["line_no"].nunique()
+    found["aligned"] = [x - 1e-6 for x in starts.index[starts >= share * len(rows)]][1:]
+    out = []
+    for strategy, cuts in found.items():
+        cells = []
+        for r in rows:
+            row = [[] for _ in range(len(cuts) + 1)]
+            for x, text in zip(r["x"], r["text"], strict=True):
+                row[int(np.searchsorted(cuts, x, "right"))].append(text)
+            cells.append([" ".join(c) for c in row])
+        out.append({"file": page["file"].iloc[0], "page": page["page"].iloc[0], "strategy": strategy, "table_no": 0, "cells": cells})
+    return pd.DataFrame(out)
+
+
+def table_candidates(glyphs: DataFrame, gap: float = GAP, share: float = ALIGNED) -> DataFrame:
+    """Candidates for best_tables() from placed words (file, page, line_no, seq, x, width, text): file, page, strategy, table_no and cells. A page is a task's group."""
+    kinds = f"file {glyphs.schema['file'].dataType.simpleString()}, page {glyphs.schema['page'].dataType.simpleString()}"
+    picked = glyphs.select(*PAGE, "line_no", "seq", "x", "width", "text")
+    return picked.groupBy(*PAGE).applyInPandas(partial(_tables, gap=gap, share=share), f"{kinds}, strategy string, table_no int, cells array<array<string>>")
 
 
 def outcome(files: DataFrame) -> DataFrame:

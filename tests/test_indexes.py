@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lodestrata.operators import ivf, postings
+from lodestrata.operators import encoder, ivf, layout, postings, refresh
 
 
 @pytest.mark.parametrize("first", [1, 3])
@@ -64,3 +64,70 @@ def test_ivf_recall(spark, kind):
     if kind == "clusters":
         assert index.model.probes < len(index.model.centroids)
     assert ivf.search(ivf.build(v.limit(0), 16), q).count() == 0
+
+
+def test_encoder(spark):
+    """Neighbours by the encoder against exact tf-idf cosines: texts of one topic are nearest, and the two orders agree."""
+    rng = random.Random(8)
+    topics = [[f"{t}{i}" for i in range(25)] for t in ("alpha", "beta", "gamma", "delta", "보증")]
+    texts = [(n, " ".join(rng.choice(topics[n % 5]) if rng.random() < 0.8 else f"common{rng.randrange(30)}" for _ in range(40))) for n in range(150)] + [(200, None), (201, "a !"), (None, "alpha1 alpha2")]
+    docs = spark.createDataFrame(texts, "id long, content string")
+    model = encoder.fit(docs, 32)
+    got = {r["id"]: np.array(r["embedding"]) for r in encoder.encode(docs, model).collect()}
+    again = {r["id"]: np.array(r["embedding"]) for r in encoder.encode(docs, encoder.fit(docs, 32)).collect()}
+    assert sorted(got) == sorted(i for i, _ in texts if i is not None) and not got[200].any() and not got[201].any()
+    assert all(np.allclose(got[i], again[i]) for i in got)
+    words = {i: Counter(re.findall("[가-힣a-zA-Z0-9]{2,}", t.lower())) for i, t in texts if i is not None and i < 150}
+    often = Counter(t for c in words.values() for t in c)
+    place = {t: n for n, t in enumerate(sorted(often))}
+    exact = np.zeros((150, len(place)))
+    for i, c in words.items():
+        for t, tf in c.items():
+            exact[i, place[t]] = (1 + math.log(tf)) * (math.log((1 + 152) / (1 + often[t])) + 1)
+    unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
+    a, b = unit(exact), unit(np.array([got[i] for i in range(150)]))
+    a, b = a @ a.T - 2 * np.eye(150), b @ b.T - 2 * np.eye(150)
+    same = np.mean([(np.argsort(-b[i])[:10] % 5 == i % 5).mean() for i in range(150)])
+    assert same > 0.95 and np.corrcoef(a[np.triu_indices(150, 1)], b[np.triu_indices(150, 1)])[0, 1] > 0.8
+
+
+def test_grouped_sections(spark):
+    """Against the fold over a file's sections, with files of many blocks, null titles and equal titles apart."""
+    rng = random.Random(4)
+    rows = [(f, n * 3, rng.choice(["a", "b", None]), "x" * rng.choice([3, 3, 120])) for f, most in (("f", 400), ("g", 3), (None, 2)) for n in range(most)]
+    want = []
+    for f in ("f", "g", None):
+        out = []
+        for _, no, title, content in sorted(r for r in rows if r[0] == f):
+            if out and (len(content) < 100 or title == out[-1][2]):
+                out[-1][3] += "\n" + content
+            else:
+                out.append([f, no, title, content])
+        want += [tuple(x) for x in out]
+    for block in (20, 10**6):
+        got = layout.grouped_sections(spark.createDataFrame(rows, "file string, no int, title string, content string"), block=block)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_table_candidates(spark):
+    """Columns by gaps and by aligned words."""
+    held = [("k", 0), ("name", 30), ("12", 90), ("a", 0), ("b c", 33), ("7", 90), ("x", 0), ("y", 41), ("9", 90)]
+    rows = [("f", 1, n // 3, n, t, float(x), 5.0) for n, (t, x) in enumerate(held)]
+    words = spark.createDataFrame(rows, "file string, page int, line_no int, seq int, text string, x double, width double")
+    got = {r["strategy"]: r["cells"] for r in layout.table_candidates(words).collect()}
+    assert got == {"gaps": [["k", "name", "12"], ["a", "b c", "7"], ["x", "y", "9"]], "aligned": [["k name", "12"], ["a b c", "7"], ["x y", "9"]]}
+    (best,) = layout.best_tables(layout.table_candidates(words)).collect()
+    assert best["strategy"] == "aligned"  # a greater share of its cells has numbers
+
+
+def test_refresh(spark, tmp_path):
+    """A batch loaded again, and again with other rows, counts once, as it was last."""
+    kind = "building_type string, emd_code int, sigungudong string, area_range string, converted_price double, contract_year_month int"
+    rows = [("A", i % 2, f"d{i % 2}", "r", i + 0.25, 202001 + i % 5) for i in range(40)] + [("A", 0, "d0", "r", None, 202001), ("A", 0, "d0", "r", 5.0, 190001)]
+    path, halves = f"file://{tmp_path}/s", (rows[:20], rows[20:])
+    for number in (0, 1, 0, 1):
+        refresh.load(spark.createDataFrame(halves[number], kind), number, path, 200001)
+    got = sorted((r["emd_code"], r["transaction_count"], r["avg_converted_price"], r["period_start_ym"], r["period_end_ym"]) for r in refresh.statistics(spark, path).collect())
+    assert got == [(0, 20, 19.25, 202001, 202005), (1, 20, 20.25, 202001, 202005)]
+    refresh.load(spark.createDataFrame(halves[1][:2], kind), 1, path, 200001)
+    assert sum(r["transaction_count"] for r in refresh.statistics(spark, path).collect()) == 22
