@@ -43,7 +43,7 @@ BLOCK, SKETCHES, CHARACTERS = 256, 1024, 4_000_000
 MANTISSA = 10
 EMPTY = 0xFFFF
 #: Characters of text hashed at once, and word hashes kept, in one worker.
-AT_ONCE, KEPT = 4_000_000, 400_000
+AT_ONCE, KEPT = 1_000_000, 150_000
 
 
 class _Words(dict):

@@ -37,7 +37,7 @@ THRESHOLD = 0.7
 HELD = 500_000
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=60_000)
 def units_of(word: str) -> tuple[str, ...]:
     """A word's units from the most special one; beginnings carry a mark that no word has."""
     return (word, *(word[:n] + "*" for n in BEGINNINGS if len(word) >= n))
