@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.plans.registry import query
+from lodestrata.plans.texts import BATCHES_SQL
 from lodestrata.session import shared_folder, table
-from lodestrata.streaming import incremental
+from lodestrata.streaming import incremental, memory
 
 
 @query("stream_events", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -49,3 +50,15 @@ def unfinished_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     log = e.select(F.col("event_type").alias("file_name"), F.col("ts").alias("timestamp"), F.when(F.col("user_id") % 2 == 0, "completed").otherwise("running").alias("status"))
     return incremental.unfinished(log.select("file_name").distinct(), log)
+
+
+@query("streamed_batches", BATCHES_SQL)
+def streamed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chat_memory as a stream: messages arrive in three files by turn, and the batches handed on are those of the whole table."""
+    home = shared_folder(spark, "memory")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    for step, which in enumerate(("turn < 3", "turn >= 3 AND turn < 15", "turn >= 15")):
+        rows.where(which).coalesce(1).write.parquet(f"{home}/in/step={step}")
+        arriving = incremental.new_files(spark, f"{home}/in", "conv_id bigint, turn bigint, role string, text string, step int", "parquet")
+        memory.run_batches(arriving.drop("step"), f"{home}/out", f"{home}/state")
+    return memory.last_versions(spark.read.schema(memory.COLUMNS).parquet(f"{home}/out"))

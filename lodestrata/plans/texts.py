@@ -117,11 +117,11 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 NUMBERED_SQL = "n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS no, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)"
 
 
-@query(
-    "conversation_batches",
-    f"""WITH {NUMBERED_SQL} SELECT conv_id, CAST(floor((no - 1) / 10) AS BIGINT) AS batch_no, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n_messages, string_agg(concat_ws(': ', role, text), chr(10) ORDER BY no) AS content
-FROM n WHERE no <= n - 10 GROUP BY conv_id, floor((no - 1) / 10)""",
-)
+BATCHES_SQL = f"""WITH {NUMBERED_SQL} SELECT conv_id, CAST(floor((no - 1) / 10) AS BIGINT) AS batch_no, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n_messages, string_agg(concat_ws(': ', role, text), chr(10) ORDER BY no) AS content
+FROM n WHERE no <= n - 10 GROUP BY conv_id, floor((no - 1) / 10)"""
+
+
+@query("conversation_batches", BATCHES_SQL)
 def conversation_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chat_memory, win_conversation_batches."""
     return conversations.batches(table(spark, sf_dir, "conversations"))
