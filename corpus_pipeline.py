@@ -17,27 +17,33 @@ from lodestrata.llm.common import shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go, repeated ones alike; null and empty texts are scored like others. All columns pass through, whatever their names; an empty table stays empty."""
     return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, 0.8) the document of the smallest id stays."""
+    """Of each group of near copies (five-word shingles, 0.8) the document of the smallest id stays.
+
+    Texts without words, null ones too, and rows of null doc_id are in no group and stay; of rows that share a doc_id all stay or none. An empty table stays empty.
+    """
     return hyperminhash.deduplicate(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; all documents stay."""
+    """Secrets are replaced by a mark, and n_chars follows; all rows stay, those of null doc_id and repeated ones are changed like others, null texts stay null."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of the mix: the files and the rows in them follow its slots."""
+    """Documents in the order of the mix: the files and the rows in them follow its slots.
+
+    Null sources and those without a weight share a group; ties of doc_id are told apart by the whole row. All rows and columns stay.
+    """
     return pfair.mix(docs).orderBy("slot", "place").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 4096 tokens."""
+    """Pieces of sequences of at most 4096 tokens; null and empty texts are the end token alone, repeated rows are packed each, an empty table gives no piece."""
     return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

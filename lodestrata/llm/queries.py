@@ -17,6 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents."""
     return pii.digest(_table(spark, sf_dir, "documents"))
 
 
@@ -24,6 +25,7 @@ QUERIES["op9_personal_data"] = op9_personal_data
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents."""
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
@@ -31,6 +33,7 @@ QUERIES["op10_secrets"] = op10_secrets
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents."""
     return token_counts.digest(_table(spark, sf_dir, "documents"))
 
 
@@ -38,6 +41,7 @@ QUERIES["op6_token_counts"] = op6_token_counts
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences."""
     return packing.digest(_table(spark, sf_dir, "documents"))
 
 
@@ -45,6 +49,7 @@ QUERIES["op5_packing"] = op5_packing
 
 
 def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of all documents in the mix of their sources."""
     return pfair.digest(_table(spark, sf_dir, "documents"))
 
 
@@ -52,6 +57,7 @@ QUERIES["op8_pfair_mix"] = op8_pfair_mix
 
 
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of all pages."""
     return warc.derivatives(_table(spark, sf_dir, "pages"))
 
 
@@ -59,6 +65,7 @@ QUERIES["op7_warc_derivatives"] = op7_warc_derivatives
 
 
 def op4_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edits."""
     return weighted_sampling.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
@@ -66,6 +73,7 @@ QUERIES["op4_weighted_fingerprints"] = op4_weighted_fingerprints
 
 
 def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all embeddings."""
     return multi_index.digest(_table(spark, sf_dir, "embeddings"))
 
 
@@ -73,6 +81,7 @@ QUERIES["op1_multi_index"] = op1_multi_index
 
 
 def op2_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents."""
     return hyperminhash.digest(_table(spark, sf_dir, "documents"))
 
 
@@ -80,6 +89,7 @@ QUERIES["op2_hyperminhash"] = op2_hyperminhash
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, by a model of the labelled ones."""
     return toxicity.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 

@@ -146,7 +146,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """
     kept = find_secrets(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"]).withColumnRenamed("doc_id", "s_id")
     # The columns travel as one, so that no name of theirs meets one of the work.
-    rows = docs.select(F.struct(*docs.columns).alias("held"), F.col("doc_id").alias("h_id"), F.col("text").alias("h_text"), F.md5(F.coalesce("text", F.lit(""))).alias("h_key"))
+    rows = docs.select(F.struct(*docs.columns).alias("held"), F.col("doc_id").alias("h_id"), F.md5(F.coalesce("text", F.lit(""))).alias("h_key"))
     joined = rows.join(kept, F.col("h_id").eqNullSafe(F.col("s_id")) & (F.col("h_key") == F.col("text_key")), "left")
 
     @F.arrow_udf("string")
@@ -155,8 +155,8 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         return pa.array([None if t is None else _cut(t, s, mark) for t, s in pairs], pa.string())
 
     changed = F.col("spans").isNotNull()
-    clean = cleaned(F.when(changed, F.col("h_text")), "spans")
-    out = joined.select("held", changed.alias("changed"), F.coalesce(clean, F.col("h_text")).alias("text"))
+    clean = cleaned(F.when(changed, F.col("held")["text"]), "spans")
+    out = joined.select("held", changed.alias("changed"), F.coalesce(clean, F.col("held")["text"]).alias("text"))
     made = {"text": F.col("text"), "n_chars": F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("held")["n_chars"]) if "n_chars" in docs.columns else None}
     return out.select(*[(made[c] if c in made else F.col("held")[c]).alias(c) for c in docs.columns])
 
