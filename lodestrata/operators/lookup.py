@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators.containment import containing
 
-#: Rows up to which a master may be broadcast; larger ones are joined by shuffling.
+#: Rows up to which a master may be broadcast; larger ones, and wide ones, are joined by shuffling.
 BROADCAST_ROWS = 100_000
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.vectors import cosine
-from lodestrata.operators.lookup import small
+
+#: Queries that are broadcast, and that a block holds; vectors of a block.
+BROADCAST_QUERIES, BLOCK_ROWS = 2000, 100_000
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int = 5, floor: float = 0.0) -> DataFrame:
@@ -20,15 +22,22 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 5, floor: float = 0.0
 
 
 def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 5, floor: float = 0.0, by: list[str] | None = None) -> DataFrame:
-    """The ``k`` nearest rows of each query, numbered by ``rank``.
+    """The ``k`` nearest rows of each query, numbered by ``rank``: the exact way, which compares all vectors with all queries.
 
-    ``queries`` has query_id and query_embedding. All vectors meet all queries, in the
-    tasks that read the vectors where the queries are few enough to be broadcast.
+    ``queries`` has query_id and query_embedding. Few queries are broadcast, and meet the vectors in the tasks that
+    read these; more are dealt to blocks, the vectors too, and each pair of blocks is a key of its own.
     The rank filter lets each task hand on only its own best ``k`` of a query. ``by`` adds
-    columns that both tables have, such as the model's name, which must agree.
+    columns that both tables have, such as the model's name, which must agree. ``ivf`` is the way by an index.
     """
-    q = small(queries, 10_000)
-    joined = vectors.join(q, by) if by else vectors.crossJoin(q)
+    asked = queries.limit(BROADCAST_QUERIES + 1).count()
+    if asked <= BROADCAST_QUERIES:
+        joined = vectors.join(F.broadcast(queries), by) if by else vectors.crossJoin(F.broadcast(queries))
+    else:
+        n_rows, n_asked = -(-vectors.count() // BLOCK_ROWS), -(-queries.count() // BROADCAST_QUERIES)
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        rows = vectors.withColumn("_j", F.pmod(F.xxhash64("id"), F.lit(n_rows))).withColumn("_i", every(n_asked))
+        held = queries.withColumn("_i", F.pmod(F.xxhash64("query_id"), F.lit(n_asked))).withColumn("_j", every(n_rows))
+        joined = rows.join(held, ["_i", "_j", *(by or [])])
     scored = joined.withColumn("similarity", cosine(F.col("embedding"), F.col("query_embedding"))).where(F.col("similarity") >= floor)
     keys = ["query_id", *(by or [])]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("similarity"), "id"))

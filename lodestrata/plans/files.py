@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from xml.sax.saxutils import escape
+
+from pyarrow.dataset import dataset
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,17 +128,22 @@ def xml_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.xml_rows(spark, path, schema="id bigint, name string, balance double")
 
 
-def squares(start: int, end: int) -> str:
-    """A page of a service that knows the squares of 1 to 2500."""
-    rows = "".join(f"<row><n>{i}</n><square>{i * i}</square></row>" for i in range(start, end + 1))
-    return f"<list><list_total_count>2500</list_total_count><RESULT><CODE>{paged.FINE}</CODE></RESULT>{rows}</list>"
+def suppliers(start: int, end: int, folder: str) -> str:
+    """A page of a service that knows the rows of a Parquet folder, read from wherever it lies."""
+    store, path = FileSystem.from_uri(folder)
+    rows = dataset(path, filesystem=store, format="parquet")
+    wanted = range(start - 1, min(end, total := rows.count_rows()))
+    found = "".join(f"<row><key>{r['key']}</key><name>{escape(r['name'])}</name></row>" for r in rows.take(list(wanted)).to_pylist())
+    return f"<list><list_total_count>{total}</list_total_count><RESULT><CODE>{paged.FINE}</CODE></RESULT>{found}</list>"
 
 
-@query("xml_service_rows", "SELECT CAST(i AS VARCHAR) AS n, CAST(i * i AS VARCHAR) AS square FROM range(1, 2501) t(i)")
+@query("xml_service_rows", "SELECT CAST(s_suppkey AS VARCHAR) AS key, s_name AS name FROM supplier")
 def xml_service_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src_xml_paged_api: a partition for each page of a service."""
+    """src_xml_paged_api: a partition for each page of a service over the suppliers."""
+    folder = shared_folder(spark, "service")
+    table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name")).write.parquet(folder)
     spark.dataSource.register(paged.PagedXml)
-    return spark.read.format("paged_xml").schema("n string, square string").option("fetch", f"{__name__}.squares").load()
+    return spark.read.format("paged_xml").schema("key string, name string").option("fetch", f"{__name__}.suppliers").option("service", folder).option("page", "300").load()
 
 
 @query(

@@ -122,10 +122,15 @@ def date_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made(spark, sf_dir, t=DATE).select("id", dates.korean_date(t).alias("iso"), dates.epoch_to_null(t).alias("no_epoch"), dates.flexible_timestamp(t).cast("date").alias("flexible"))
 
 
-@query("yearly_windows", "SELECT * FROM (VALUES (0, DATE '2023-01-01', DATE '2023-12-31'), (1, DATE '2024-01-01', DATE '2024-12-31'), (2, DATE '2025-01-01', DATE '2025-06-30')) t(window_no, window_start, window_end)")
+@query(
+    "yearly_windows",
+    """WITH b AS (SELECT min(l_shipdate)::DATE AS lo, max(l_shipdate)::DATE AS hi FROM lineitem)
+SELECT i::INTEGER AS window_no, (lo + to_years(i::INTEGER))::DATE AS window_start, least((lo + to_years(i::INTEGER + 1))::DATE - 1, hi) AS window_end FROM b, range(0, 100) t(i) WHERE (lo + to_years(i::INTEGER))::DATE <= hi""",
+)
 def yearly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """dt_windows."""
-    return dates.yearly_windows(spark, "2023-01-01", "2025-06-30")
+    """dt_windows: the years from the first shipment to the last."""
+    first, last = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("day")).agg(F.min("day"), F.max("day")).first()
+    return dates.yearly_windows(spark, str(first), str(last))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 The service is asked once for its number of rows, then each task fetches its own pages.
 ``fetch`` is the dotted name of a function (start, end) -> XML text, so that tests and
-offline runs need no network.
+offline runs need no network; with the option ``service`` it is called with that text as a third argument.
 """
 
 from __future__ import annotations
@@ -55,17 +55,20 @@ class PagedXml(DataSource):
         raise ValueError("give a schema")
 
     def reader(self, schema: StructType) -> Reader:
-        return Reader(schema, self.options["fetch"], int(self.options.get("page", PAGE)))
+        return Reader(schema, self.options["fetch"], int(self.options.get("page", PAGE)), self.options.get("service"))
 
 
 class Reader(DataSourceReader):
-    def __init__(self, schema: StructType, fetch: str, page: int):
-        self.names, self.fetch, self.page = schema.fieldNames(), fetch, page
+    def __init__(self, schema: StructType, fetch: str, page: int, service: str | None = None):
+        self.names, self.fetch, self.page, self.service = schema.fieldNames(), fetch, page, service
+
+    def asked(self, start: int, end: int) -> str:
+        return resolve(self.fetch)(start, end, *([] if self.service is None else [self.service]))
 
     def partitions(self) -> list[Page]:
-        total = total_of(resolve(self.fetch)(1, 1))
+        total = total_of(self.asked(1, 1))
         return [Page(i, min(i + self.page - 1, total)) for i in range(1, total + 1, self.page)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        for row in rows_of(resolve(self.fetch)(partition.start, partition.end)):
+        for row in rows_of(self.asked(partition.start, partition.end)):
             yield tuple(row.get(n) for n in self.names)

@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lodestrata.operators import encoder, ivf, layout, postings, refresh
+from lodestrata.operators import encoder, ivf, layout, postings, refresh, search
 
 
 @pytest.mark.parametrize("first", [1, 3])
@@ -131,3 +131,18 @@ def test_refresh(spark, tmp_path):
     assert got == [(0, 20, 19.25, 202001, 202005), (1, 20, 20.25, 202001, 202005)]
     refresh.load(spark.createDataFrame(halves[1][:2], kind), 1, path, 200001)
     assert sum(r["transaction_count"] for r in refresh.statistics(spark, path).collect()) == 22
+
+
+def test_exact_blocks(spark, monkeypatch):
+    """Queries beyond a broadcast are dealt to blocks, with the same result."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(c) for c in rng.normal(size=6)], i % 2) for i in range(90)]
+    v = spark.createDataFrame(rows, "id int, embedding array<float>, label int")
+    q = v.where("id < 40").selectExpr("id AS query_id", "embedding AS query_embedding", "label")
+    for by in (None, ["label"]):
+        asked = q if by else q.drop("label")
+        whole = sorted(map(tuple, search.top_k_each(v.drop("label") if not by else v, asked, 4, -1.0, by).collect()))
+        monkeypatch.setattr(search, "BROADCAST_QUERIES", 7)
+        monkeypatch.setattr(search, "BLOCK_ROWS", 20)
+        assert sorted(map(tuple, search.top_k_each(v.drop("label") if not by else v, asked, 4, -1.0, by).collect())) == whole and len(whole) == 160
+        monkeypatch.undo()
