@@ -32,8 +32,10 @@ def load(batch: DataFrame, number: int, path: str, floor_ym: int) -> None:
 
 def statistics(spark: SparkSession, path: str, keys: list[str] = KEYS) -> DataFrame:
     """The statistics of all batches: count, mean price and period of each key."""
-    merged = spark.read.option("basePath", path).parquet(path).groupBy(*keys).agg(
-        F.min("sigungudong").alias("sigungudong"), F.sum("n").alias("transaction_count"), F.round((F.sum("cents") / F.sum("n") / 100).cast("double"), 2).alias("avg_converted_price"),
-        F.min("start_ym").alias("period_start_ym"), F.max("end_ym").alias("period_end_ym"),
-    )
-    return merged
+    held = spark.read.option("basePath", path).parquet(path)
+    merged = held.groupBy(*keys).agg(
+        F.min("sigungudong").alias("sigungudong"), F.sum("n").alias("n"), F.sum("cents").alias("cents"), F.min("start_ym").alias("period_start_ym"), F.max("end_ym").alias("period_end_ym")
+    )
+    # Half a hundredth is rounded up, in whole numbers.
+    mean = F.expr("(2 * cents + n) DIV (2 * n)").cast("double") / 100
+    return merged.select(*keys, "sigungudong", F.col("n").alias("transaction_count"), mean.alias("avg_converted_price"), "period_start_ym", "period_end_ym")

@@ -96,7 +96,7 @@ def checked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "refreshed_statistics",
-    f"""SELECT building_type, emd_code, area_range, min(sigungudong) AS sigungudong, count(*) AS transaction_count, round(sum(CAST(round(converted_price * 100) AS BIGINT))::DOUBLE / count(*) / 100, 2) AS avg_converted_price,
+    f"""SELECT building_type, emd_code, area_range, min(sigungudong) AS sigungudong, count(*) AS transaction_count, ((2 * sum(CAST(round(converted_price * 100) AS BIGINT)) + count(*)) // (2 * count(*)))::DOUBLE / 100 AS avg_converted_price,
   min(contract_year_month) AS period_start_ym, max(contract_year_month) AS period_end_ym FROM ({rent.TRANS_SQL}) WHERE converted_price IS NOT NULL AND area_range IS NOT NULL AND emd_code IS NOT NULL AND contract_year_month >= {rent.FLOOR_YM} GROUP BY building_type, emd_code, area_range""",
 )
 def refreshed_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
