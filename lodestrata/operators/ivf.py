@@ -19,6 +19,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -32,8 +33,8 @@ SAMPLE, TUNED = 10_000, 200
 STRETCH, ROUNDS, LISTS = 4, 8, 4096
 #: Share of true neighbours the tuned search must find in the sample, and the number of neighbours.
 TARGET, NEAREST = 0.98, 5
-#: Rows and queries of a block.
-BLOCK, ASKED = 8192, 256
+#: Rows and queries of a block, and queries whose distances are taken at once.
+BLOCK, ASKED, TOGETHER = 8192, 256, 64
 
 
 @dataclass
@@ -137,18 +138,29 @@ def _asked(batches: Iterator[pa.RecordBatch], model: bytes, size: int) -> Iterat
 
 def _ranked(key: tuple, asked: pa.Table, rows: pa.Table, model: bytes, size: int, depth: int, kinds: pa.Schema) -> pa.Table:
     """The best ``depth`` codes of a block for each query of a block."""
-    held, out = pickle.loads(model), ([], [], [])  # noqa: S301
-    if len(asked) and len(rows):
-        ids, order = rows["id"].combine_chunks(), np.argsort(np.asarray(rows["id"]), kind="stable")
-        codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(rows), -1)[order]
-        centroid, queries = held.centroids[key[0].as_py()], _units(asked["query_embedding"].combine_chunks(), size)
-        for no, query in zip(asked["query_id"].to_pylist(), queries, strict=True):
-            far = distances(query, centroid, codes, held)
-            best = np.argsort(far, kind="stable")[:depth]
-            out[0].extend([no] * len(best))
-            out[1].extend(ids.take(pa.array(order[best])).to_pylist())
-            out[2].extend(far[best].tolist())
-    return pa.table([pa.array(c, f.type) for c, f in zip(out, kinds, strict=True)], schema=kinds)
+    if not len(asked) or not len(rows):
+        return kinds.empty_table()
+    held = pickle.loads(model)  # noqa: S301
+    rows = rows.take(pc.sort_indices(rows["id"]))
+    codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(rows), -1)
+    rest = _units(asked["query_embedding"].combine_chunks(), size) - held.centroids[key[0].as_py()]
+    tables = [_squared(rest[:, s], book) for s, book in zip(_stretches(size), held.books, strict=True)]
+    best, near = [], []
+    for start in range(0, len(rest), TOGETHER):
+        far = np.zeros((len(rest[start : start + TOGETHER]), len(rows)))
+        for i, table in enumerate(tables):
+            far += table[start : start + TOGETHER].take(codes[:, i], axis=1)
+        if depth < len(rows):
+            # Those of the depth-th distance or less, then the first of them in order of distance and id.
+            most = np.partition(far, depth - 1, axis=1)[:, depth - 1 : depth]
+            order = np.argsort(np.where(far <= most, far, np.inf), axis=1, kind="stable")[:, :depth]
+        else:
+            order = np.broadcast_to(np.arange(len(rows)), far.shape)
+        best.append(order)
+        near.append(np.take_along_axis(far, order, 1))
+    best, near = np.concatenate(best), np.concatenate(near)
+    asking = np.repeat(np.arange(len(best)), best.shape[1])
+    return pa.table([asked["query_id"].take(asking), rows["id"].take(best.ravel()), pa.chunked_array([pa.array(near.ravel())])], schema=kinds)
 
 
 def usable(rows: DataFrame, column: str, size: int) -> DataFrame:

@@ -9,7 +9,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
+from lodestrata.functions.vectors import cosine
 from lodestrata.operators import encoder, ivf, layout, postings, refresh, search
 
 
@@ -146,3 +149,22 @@ def test_exact_blocks(spark, monkeypatch):
         monkeypatch.setattr(search, "BLOCK_ROWS", 20)
         assert sorted(map(tuple, search.top_k_each(v.drop("label") if not by else v, asked, 4, -1.0, by).collect())) == whole and len(whole) == 160
         monkeypatch.undo()
+
+
+def test_exact_each(spark):
+    """The exact way by products of blocks against cosine() of every pair: copies, odd vectors and lengths, ties; its plan compares no pair by an expression."""
+    rng = np.random.default_rng(9)
+    whole = [[float(c) for c in rng.normal(size=6)] for _ in range(70)]
+    held = whole + [[2 * c for c in whole[3]]] * 4 + [whole[3]] * 8 + [None, [0.0] * 6, [None] * 6, [float("nan")] * 6, [float("inf")] + [1.0] * 5, [1.0, 2.0], [3.0, 1.0], []]
+    rows = [(1000 - i * 7, v, i % 3 if i % 11 else None) for i, v in enumerate(held)]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>, label int")
+    q = v.where("id % 2 = 0").selectExpr("id AS query_id", "embedding AS query_embedding", "label")
+    for by, floor in (([], -1.0), ([], 0.3), (["label"], -1.0)):
+        pairs = v.join(q, by) if by else v.drop("label").crossJoin(q.drop("label"))
+        scored = pairs.withColumn("similarity", cosine(F.col("embedding"), F.col("query_embedding"))).where(F.col("similarity") >= floor)
+        rank = F.row_number().over(Window.partitionBy("query_id", *by).orderBy(F.desc("similarity"), "id"))
+        want = scored.withColumn("rank", rank).where("rank <= 5").select("query_id", *by, "id", "similarity", "rank")
+        got = search.top_k_each(v if by else v.drop("label"), q if by else q.drop("label"), 5, floor, by)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 100
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "zip_with" not in plan and "FlatMapCoGroupsInArrow" in plan
