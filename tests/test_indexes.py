@@ -168,3 +168,16 @@ def test_exact_each(spark):
         assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 100
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "zip_with" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_postings_of_terms(spark):
+    """Postings of the terms that are asked for give the scores of the full index, and scores() those of all documents."""
+    rng = random.Random(5)
+    texts = [(i, " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(40)))) for i in range(150)] + [(150, None), (151, "!"), (None, "w1")]
+    docs = spark.createDataFrame(texts, "id long, content string")
+    queries = spark.createDataFrame([(1, "w1 w2 W2"), (2, "w3 unknown"), (3, None), (4, "w1 w29 w7")], "query_id int, query string")
+    full, some = postings.build(docs), postings.build(docs, terms=postings.terms_of(queries).select("term"))
+    plain = lambda df: sorted(map(tuple, df.select("query_id", "id", "score", "share").collect()))
+    want = plain(postings.top_k(full, queries, 1000))
+    assert plain(postings.top_k(some, queries, 1000)) == want == plain(postings.scores(some, queries)) and len(want) > 150
+    assert {r["term"] for r in some.postings.select("term").distinct().collect()} == {"w1", "w2", "w3", "w7", "w29"}

@@ -52,3 +52,14 @@ def test_lines_of_all_words(spark, sf, tmp_path):
                 want.setdefault((r["url"], r["page_id"], number), []).append(line)
         got = {(r["file"], r["page"], r["paragraph_no"]): r["text"] for r in catalog.QUERIES["page_lines"](spark, where).collect()}
         assert max(len(r["words"]) for r in held) > 60 and got == {k: " ".join(v) for k, v in want.items()}
+
+
+def test_every_document_is_a_candidate(spark, sf, duck):
+    """Reranking scores all documents for each item, and its best five are those of all documents."""
+    n = duck.execute("SELECT (SELECT count(*) FROM documents) * (SELECT count(*) FROM benchmark WHERE item_id % 20 = 0)").fetchone()[0]
+    scored = catalog.QUERIES["rerank_scores"](spark, sf).select("query_id", "doc_id", "by_keywords").collect()
+    assert len(scored) == n == catalog.QUERIES["simple_rerank"](spark, sf).count()
+    best = {(r["query_id"], r["rank"]): r["doc_id"] for r in catalog.QUERIES["rerank_ranked"](spark, sf).collect()}
+    mine = {r["doc_id"]: r["by_keywords"] for r in scored if r["query_id"] == 0}
+    ranked = [mine[best[0, rank]] for rank in range(1, 6)]
+    assert ranked == sorted(mine.values(), reverse=True)[:5]
