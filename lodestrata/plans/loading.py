@@ -17,11 +17,11 @@ UNIT_KEY = ["l_orderkey", "l_returnflag", "l_linestatus"]
 @query(
     "dedupe_units",
     """SELECT l_orderkey, l_linenumber, 'space_' || substring(md5(CAST(l_orderkey AS VARCHAR) || '_' || l_returnflag || '_' || l_linestatus || '_' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.0'), 1, 12) AS unit_id
-FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus ORDER BY l_linenumber) AS rn FROM lineitem) WHERE rn = 1""",
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus ORDER BY l_linenumber, l_quantity) AS rn FROM lineitem) WHERE rn = 1""",
 )
 def dedupe_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """win_first_per_key, hash_unit_id."""
-    first = dedupe.first_rows(table(spark, sf_dir, "lineitem").select(*UNIT_KEY, "l_linenumber", "l_quantity"), UNIT_KEY, ["l_linenumber"])
+    """win_first_per_key, hash_unit_id; of rows with the same key and line number the one of the smallest quantity, which the id holds, is first."""
+    first = dedupe.first_rows(table(spark, sf_dir, "lineitem").select(*UNIT_KEY, "l_linenumber", "l_quantity"), UNIT_KEY, ["l_linenumber", "l_quantity"])
     return first.select("l_orderkey", "l_linenumber", hashing.unit_id(F.col("l_orderkey"), F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_quantity")).alias("unit_id"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
@@ -63,3 +64,12 @@ def test_every_document_is_a_candidate(spark, sf, duck):
     mine = {r["doc_id"]: r["by_keywords"] for r in scored if r["query_id"] == 0}
     ranked = [mine[best[0, rank]] for rank in range(1, 6)]
     assert ranked == sorted(mine.values(), reverse=True)[:5]
+
+
+def test_units_with_ties(spark, tmp_path):
+    """Rows of one key and line number give the same unit in whatever order they lie."""
+    kind, rows = "l_orderkey bigint, l_returnflag string, l_linestatus string, l_linenumber int, l_quantity double", [(k, "N", "O", 1, float(q)) for k in range(20) for q in (9, 4, 7, 30)]
+    for number, held in enumerate((rows, rows[::-1])):
+        spark.createDataFrame(held, kind).coalesce(1).write.parquet(f"{tmp_path}/{number}/lineitem.parquet")
+    first, second = (sorted(map(tuple, catalog.QUERIES["dedupe_units"](spark, f"{tmp_path}/{n}").collect())) for n in (0, 1))
+    assert first == second and first[3][2] == "space_" + hashlib.md5(b"3_N_O_4.0").hexdigest()[:12]
