@@ -84,7 +84,9 @@ def best_tables(candidates: DataFrame) -> DataFrame:
     total = scored.groupBy(*PAGE, "strategy").agg(F.sum("score").alias("_total"))
     best = total.groupBy(*PAGE).agg(F.max_by("strategy", F.struct("_total", "strategy")).alias("strategy"))
     text = F.md5(F.array_join(F.transform("cells", lambda r: F.array_join(r, "\x1f", "")), "\x1e"))
-    kept = scored.join(best, [*PAGE, "strategy"]).withColumn("_text", text)
+    chosen = best.select(F.col("file").alias("_f"), F.col("page").alias("_p"), F.col("strategy").alias("_s"))
+    same = F.col("file").eqNullSafe(F.col("_f")) & F.col("page").eqNullSafe(F.col("_p")) & (F.col("strategy") == F.col("_s"))
+    kept = scored.join(chosen, same).drop("_f", "_p", "_s").withColumn("_text", text)
     rank = F.row_number().over(Window.partitionBy("file", "_text").orderBy("page", "table_no"))
     return kept.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_text")
 

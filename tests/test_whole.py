@@ -8,11 +8,13 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.operators import layout, pages
 from lodestrata.plans import catalog
+from tests.helpers import same
 
 
 def test_contexts_of_all(spark, sf, duck):
@@ -73,3 +75,16 @@ def test_units_with_ties(spark, tmp_path):
         spark.createDataFrame(held, kind).coalesce(1).write.parquet(f"{tmp_path}/{number}/lineitem.parquet")
     first, second = (sorted(map(tuple, catalog.QUERIES["dedupe_units"](spark, f"{tmp_path}/{n}").collect())) for n in (0, 1))
     assert first == second and first[3][2] == "space_" + hashlib.md5(b"3_N_O_4.0").hexdigest()[:12]
+
+
+def test_tables_of_repeated_pages(spark, tmp_path):
+    """Each table of a file once, whatever pages it is on, and lines as one column where that scores more; as SQL has it."""
+    page = lambda *words: f"<html><body><p>{' '.join(words)}</p></body></html>"
+    many, few = page(*(f"w{i}" for i in range(37))), page("1", *"abcdefghi", "2")
+    made = [(1, "u", many), (2, "u", many), (3, "v", many), (4, "v", few), (5, "v", few), (6, None, many), (7, "w", page("one"))]
+    spark.createDataFrame(made, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = catalog.QUERIES["page_tables"](spark, str(tmp_path))
+    assert sorted((r["page"], r["strategy"]) for r in got.collect()) == [(1, "gaps"), (3, "gaps"), (4, "aligned"), (6, "gaps"), (7, "gaps")]
+    same(got, c.execute(catalog.ORACLE["page_tables"]))
