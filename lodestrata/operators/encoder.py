@@ -9,7 +9,11 @@ with the corpus is a table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,20 +57,39 @@ def fit(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED, rounds:
         sketches = weights.join(terms, "term").groupBy("id").agg(*sums)
         weights.join(sketches, "id").groupBy("term").agg(*sums).write.parquet(f"{folder}/terms-{step}")
         terms = spark.read.parquet(f"{folder}/terms-{step}")
-    # With the Gram matrix G = L L', the components times inverse(L') are orthonormal.
+    # With the Gram matrix G = V D V', the components times V / sqrt(D) are orthonormal.
     gram = np.zeros((dimensions, dimensions))
-    pairs = [(i, j) for i in range(dimensions) for j in range(i + 1)]
-    products = F.array(*[F.sum(F.col(f"d{i}") * F.col(f"d{j}")) for i, j in pairs])
-    for (i, j), x in zip(pairs, terms.agg(products.alias("g")).first()["g"], strict=True):
-        gram[i, j] = gram[j, i] = x or 0.0
+    held = terms.select(F.array(*names).alias("v"))
+    # Parts are added in order of their rows, so that the same corpus has the same sum.
+    for part in held.mapInArrow(partial(_products, dimensions=dimensions), "products array<double>").select("products").orderBy("products").toLocalIterator():
+        gram += np.array(part["products"]).reshape(dimensions, dimensions)
     values, vectors = np.linalg.eigh(gram)
     scale = np.divide(1.0, np.sqrt(np.maximum(values, 0)), out=np.zeros(dimensions), where=values > max(values.max(), 0) * 1e-12)
-    turned = vectors * scale
-    mixed = [sum((F.col(names[i]) * float(turned[i, j]) for i in range(dimensions)), F.lit(0.0)).alias(names[j]) for j in range(dimensions)]
-    terms.select("term", *mixed).join(idf, "term").write.parquet(f"{folder}/model")
+    mixed = terms.select("term", F.array(*names).alias("v")).mapInArrow(partial(_turned, turned=vectors * scale), "term string, v array<double>")
+    mixed.join(idf, "term").select("term", *[F.col("v")[i].alias(n) for i, n in enumerate(names)], "idf").write.parquet(f"{folder}/model")
     return spark.read.parquet(f"{folder}/model")
 
 
+def _rows(column: pa.Array, dimensions: int) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(-1, dimensions)
+
+
+def _products(batches: Iterator[pa.RecordBatch], dimensions: int) -> Iterator[pa.RecordBatch]:
+    """The sums of products of components over a task's terms, one row."""
+    total = np.zeros((dimensions, dimensions))
+    for batch in batches:
+        x = _rows(batch["v"], dimensions)
+        total += x.T @ x
+    yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["products"])
+
+
+def _turned(batches: Iterator[pa.RecordBatch], turned: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = _rows(batch["v"], len(turned)) @ turned
+        offsets = pa.array(np.arange(0, x.size + 1, len(turned)), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch["term"], pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], ["term", "v"])
+
+
 def encode(docs: DataFrame, model: DataFrame) -> DataFrame:
     """id and embedding (array<double>) of (id, content); a text without a known term is the zero vector."""
     names = sorted((c for c in model.columns if c[0] == "d" and c[1:].isdigit()), key=lambda c: int(c[1:]))

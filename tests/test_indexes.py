@@ -181,3 +181,16 @@ def test_postings_of_terms(spark):
     want = plain(postings.top_k(full, queries, 1000))
     assert plain(postings.top_k(some, queries, 1000)) == want == plain(postings.scores(some, queries)) and len(want) > 150
     assert {r["term"] for r in some.postings.select("term").distinct().collect()} == {"w1", "w2", "w3", "w7", "w29"}
+
+
+def test_encoder_plans(spark, monkeypatch):
+    """No plan of the encoder has more expressions than a few a dimension: the Gram matrix and the turn are not spelt out."""
+    most = []
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    write = type(spark.range(1).write).parquet
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda self, path: (most.append(len(self._df._jdf.queryExecution().optimizedPlan().toString())), write(self, path))[1])
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 3} w{i}") for i in range(20)], "id long, content string")
+    made = encoder.encode(docs, encoder.fit(docs))
+    most.append(len(made._jdf.queryExecution().optimizedPlan().toString()))
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert len(most) > 4 and max(most) < 60_000, most
