@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.vectors import cosine
-from lodestrata.operators import encoder, ivf, layout, postings, refresh, search
+from lodestrata.operators import encoder, ivf, layout, postings, refresh, search, spatial
 
 
 @pytest.mark.parametrize("first", [1, 3])
@@ -194,3 +194,17 @@ def test_encoder_plans(spark, monkeypatch):
     most.append(len(made._jdf.queryExecution().optimizedPlan().toString()))
     spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert len(most) > 4 and max(most) < 60_000, most
+
+
+def test_distances_once(spark):
+    """Each pair once, though points repeat; pairs are brought together again only where an id has several points."""
+    at = lambda rows, kind: spark.createDataFrame(rows, f"{kind}, lon double, lat double")
+    homes = [(i, "t", 127.0 + i * 1e-4, 37.5) for i in range(30)] + [(3, "t", 127.0 + 3e-4, 37.5)]
+    places = [(i, "n", "col" if i % 2 else "park", 127.001, 37.5 + i * 1e-4) for i in range(20)]
+    plain = lambda more: spatial.distances(at(homes + more, "notice_id int, title string"), at(places, "facility_id int, name string, cd string"))
+    one, two = plain([]), plain([(5, "t", 127.0 + 5e-4, 37.5 + 1e-7)])
+    aggregates = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
+    for df in (one, two):
+        rows = list(map(tuple, df.collect()))
+        assert len(rows) == len(set(rows)) and len({r[:2] for r in rows}) == 600
+    assert aggregates(one) < aggregates(two)
