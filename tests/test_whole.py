@@ -68,6 +68,21 @@ def test_every_document_is_a_candidate(spark, sf, duck):
     assert ranked == sorted(mine.values(), reverse=True)[:5]
 
 
+def test_candidates_beyond_fifty(spark, tmp_path):
+    """Contexts, metrics and rerankers rank all documents: 60 that share a word with the item, and those with none of its words; as SQL has it."""
+    rows = [(i, None if i == 7 else f"{'alpha ' * (1 + i % 3)}w{i} beta" + " x" * (i % 9)) for i in range(60)] + [(i, f"gamma delta{i}") for i in range(60, 70)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "Alpha words"), (20, "none of these"), (40, "delta66 w3"), (41, "alpha")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    c = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = {name: catalog.QUERIES[name](spark, str(tmp_path)) for name in ("rerank_ranked", "simple_rerank", "context_budget", "contexts", "context_qa", "ir_metrics")}
+    assert got["simple_rerank"].count() == 3 * 70
+    assert all(Counter(r["query_id"] for r in got[name].collect()) == {0: 5, 20: 5, 40: 5} for name in ("rerank_ranked", "context_budget"))
+    for name, df in got.items():
+        same(df, c.execute(catalog.ORACLE[name]))
+
+
 def test_units_with_ties(spark, tmp_path):
     """Rows of one key and line number give the same unit in whatever order they lie."""
     kind, rows = "l_orderkey bigint, l_returnflag string, l_linestatus string, l_linenumber int, l_quantity double", [(k, "N", "O", 1, float(q)) for k in range(20) for q in (9, 4, 7, 30)]
