@@ -391,6 +391,18 @@ def test_fingerprints_fractional(spark):
     assert abs(np.mean([got[n] - want[n] for n in want])) < 0.02
 
 
+def test_fingerprints_scaled(spark):
+    """Weights far below and above 1 are still drawn in proportion: two terms of weights w and 3 w."""
+    rows = [(f"{w}", n, n * 2 + i, w * (1.0, 3.0)[i]) for w in (1e-12, 1e-3, 1.0, 1e15) for n in range(100) for i in (0, 1)]
+    frame = spark.createDataFrame(rows, "w string, n int, term long, weight double")
+    either = weighted_sampling.sampled(frame, ["w", "n"])
+    heavier = weighted_sampling.sampled(frame.where("term % 2 = 1"), ["w", "n"]).withColumnRenamed("slots", "heavier")
+    shares = defaultdict(list)
+    for r in either.join(heavier, ["w", "n"]).collect():
+        shares[r["w"]] += [r["slots"][i : i + 4] == r["heavier"][i : i + 4] for i in range(0, 256, 4)]
+    assert len(shares) == 4 and all(len(x) == 6400 and abs(np.mean(x) - 0.75) < 0.03 for x in shares.values())
+
+
 def test_fingerprints_odd(odd, none):
     rows = weighted_sampling.fingerprint_edits(odd).collect()
     assert len(rows) == len(ODD) and all(r["fingerprint"] for r in rows)
