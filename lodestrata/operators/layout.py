@@ -5,10 +5,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,22 +37,38 @@ def visible(chars: DataFrame) -> DataFrame:
     return chars.withColumn("_limit", limit).where((F.trim("text") != "") & (F.col("size") >= F.col("_limit")) & (F.col("shade") < WHITE)).drop("_limit")
 
 
-def _lines(page: pd.DataFrame) -> pd.DataFrame:
-    page = page.sort_values(["top", "x", "seq"], kind="stable")
-    number, anchor, out = -1, None, []
-    for top in page["top"]:
-        if anchor is None or abs(top - anchor) > TOLERANCE:
-            number, anchor = number + 1, top
-        out.append(number)
-    page = page.assign(line_no=out).sort_values(["line_no", "x", "seq"], kind="stable")
-    found = page.groupby("line_no").agg(text=("text", "".join), top=("top", "first"), x=("x", "mean"), bold=("bold", "mean")).reset_index()
-    return found.assign(file=page["file"].iloc[0], page=page["page"].iloc[0], is_bold=found["bold"] >= 0.5)[["file", "page", "line_no", "text", "top", "x", "is_bold"]]
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds line_no to characters in the order of file, page and top; a line goes on over the end of a batch. Only changes of top are walked."""
+    last, number, anchor = None, -1, 0.0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch[c].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in PAGE]
+        tops = batch["top"].to_numpy(zero_copy_only=False)
+        new = np.concatenate([[tuple(batch[c][0].as_py() for c in PAGE) != last], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+        at = np.flatnonzero(new | np.concatenate([[True], tops[1:] != tops[:-1]]))
+        numbers = []
+        for begins, top in zip(new[at].tolist(), tops[at].tolist(), strict=True):
+            if begins or abs(top - anchor) > TOLERANCE:
+                number, anchor = 0 if begins else number + 1, top
+            numbers.append(number)
+        last = tuple(batch[c][batch.num_rows - 1].as_py() for c in PAGE)
+        line_no = np.repeat(np.array(numbers, "int32"), np.diff(np.append(at, batch.num_rows)))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(line_no)], [*batch.schema.names, "line_no"])
 
 
 def lines(chars: DataFrame) -> DataFrame:
     """Lines of each page: a character joins while it lies within five points of the line's first; bold if half of it is."""
-    kinds = f"file {chars.schema['file'].dataType.simpleString()}, page {chars.schema['page'].dataType.simpleString()}"
-    return chars.groupBy(*PAGE).applyInPandas(_lines, f"{kinds}, line_no int, text string, top double, x double, is_bold boolean")
+    kinds = {c: chars.schema[c].dataType.simpleString() for c in (*PAGE, "seq", "text")}
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c)  # noqa: E731  a missing place comes last
+    placed = chars.select(*PAGE, "seq", "text", number("x"), number("top"), F.col("bold").cast("double").alias("bold"))
+    dealt = placed.repartition(*PAGE).sortWithinPartitions(*PAGE, "top", "x", "seq")
+    numbered = dealt.mapInArrow(_numbered, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", x double, top double, bold double, line_no int")
+    there = lambda c: F.when(~F.isnan(c), F.col(c))
+    found = numbered.groupBy(*PAGE, "line_no").agg(
+        F.array_sort(F.collect_list(F.struct("x", "seq", "text"))).alias("_chars"), F.min_by("top", F.when(~F.isnan("top"), F.struct("x", "seq"))).alias("top"), F.avg(there("x")).alias("x"), F.coalesce(F.avg("bold") >= 0.5, F.lit(False)).alias("is_bold")
+    )
+    return found.select(*PAGE, "line_no", F.array_join(F.transform("_chars", lambda c: c["text"]), "").alias("text"), "top", "x", "is_bold")
 
 
 def is_heading(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import random
 import re
 from collections import Counter
 
@@ -57,6 +58,35 @@ def test_lines_of_all_words(spark, sf, tmp_path):
         assert max(len(r["words"]) for r in held) > 60 and got == {k: " ".join(v) for k, v in want.items()}
 
 
+def test_lines_over_batches(spark):
+    """Lines go on over the ends of Arrow batches, and none runs into the next page; null names are pages of their own."""
+    rng = random.Random(3)
+    rows = [(f, p, i, chr(97 + i % 26), float(rng.randrange(40)), rng.choice([None, *(k * 1.7 for k in range(30))]), int(rng.random() < 0.5)) for f in ("a", "b", None) for p in (1, 2, None) for i in range(rng.randrange(60) + 1)]
+    rows.append(("c", 1, 0, "z", 1.0, 0.0, 1))
+    want = {}
+    for f, p in {(r[0], r[1]) for r in rows}:
+        number, anchor = -1, None
+        for r in sorted((r for r in rows if r[:2] == (f, p)), key=lambda r: (r[5] is None, r[5] or 0, r[4], r[2])):
+            if anchor is None or (r[5] is not None and abs(r[5] - anchor) > layout.TOLERANCE):
+                number, anchor = number + 1, r[5]
+            want.setdefault((f, p, number), []).append(r)
+    chars = spark.createDataFrame(rows, "file string, page int, seq int, text string, x double, top double, bold int")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        got = {(r["file"], r["page"], r["line_no"]): r for r in layout.lines(chars).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert set(got) == set(want)
+    for key, held in want.items():
+        held.sort(key=lambda r: (r[4], r[2]))
+        tops = [r[5] for r in held if r[5] is not None]
+        r = got[key]
+        assert (r["text"], r["is_bold"]) == ("".join(h[3] for h in held), sum(h[6] for h in held) * 2 >= len(held))
+        assert math.isclose(r["x"], sum(h[4] for h in held) / len(held)) and (r["top"] == tops[0] if tops else r["top"] is None)
+
+
 def test_every_document_is_a_candidate(spark, sf, duck):
     """Reranking scores all documents for each item, and its best five are those of all documents."""
     n = duck.execute("SELECT (SELECT count(*) FROM documents) * (SELECT count(*) FROM benchmark WHERE item_id % 20 = 0)").fetchone()[0]
