@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 from collections.abc import Callable
 from uuid import uuid4
@@ -11,9 +10,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.session import small_batches as small_batches
+
 _OWN: list[str] = []
-#: Bytes handed to Python at once, if no single row is larger.
-BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,14 +40,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand texts to Python ``rows`` at a time, so that workers stay small; larger settings of the session are lowered."""
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = re.match(r"\d+(?=b?$)", spark.conf.get(name))
-        if not (now and 0 < int(now[0]) <= most):
-            spark.conf.set(name, str(most))
-
-
 def bound(x: Column, body: Callable[[Column], Column]) -> Column:
     """``body(x)`` with ``x`` evaluated once, however often the body, or a lambda in it, uses it."""
     return F.get(F.transform(F.array(x), body), F.lit(0))

@@ -6,12 +6,18 @@ import re
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import small_batches
+
 # Sizes in characters.
 SIZE, OVERLAP, LEAST, MOST, FIXED_SIZE = 500, 50, 100, 1000, 512
+#: Bytes of texts whose chunks a worker holds at once, if no single text is larger.
+PART = 1 << 20
 SENTENCE_END = re.compile(r"""(?<=[.!?])\s+(?=[가-힣A-Z"])""")
 
 
@@ -79,17 +85,30 @@ def table_rows(text: str, size: int = SIZE, most: int = MOST) -> list[str]:
 WAYS = {"windows": windows, "sentences": by_sentences, "table": table_rows}
 
 
+def _parts(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches (first, end) of an array of texts with about ``most`` bytes each, a text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(ends):
+        end = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
+        yield first, end
+        first = end
+
+
 def _split(batches: Iterator[pa.RecordBatch], way: str, options: dict) -> Iterator[pa.RecordBatch]:
-    """Ids pass through untouched."""
+    """Ids pass through untouched. A batch is cut in parts, so that a worker holds the chunks of one part at a time."""
     cut = WAYS[way]
     for batch in batches:
-        found = [[c for c in cut(t, **options) if c.strip()] if t and t.strip() else [] for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.list_(pa.string()))], ["doc_id", "pieces"])
+        for first, end in _parts(batch["text"], PART):
+            part = batch.slice(first, end - first)
+            found = pa.array(([c for c in cut(t, **options) if c.strip()] if t and t.strip() else [] for t in (x.as_py() for x in part["text"])), pa.list_(pa.string()), size=end - first)
+            yield pa.RecordBatch.from_arrays([part["doc_id"], found], ["doc_id", "pieces"])
 
 
 def chunked(docs: DataFrame, way: str = "windows", **options: int) -> DataFrame:
     """Columns doc_id, chunk_index (from 0), total_chunks and content; blank texts give no row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
     pieces = docs.select("doc_id", "text").mapInArrow(partial(_split, way=way, options=options), f"doc_id {kind}, pieces array<string>")
     return pieces.select("doc_id", F.size("pieces").alias("total_chunks"), F.posexplode("pieces").alias("chunk_index", "content")).select("doc_id", "chunk_index", "total_chunks", F.trim("content").alias("content"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -413,3 +414,16 @@ def test_dense_cells(spark, most):
         level = found[x // 100, y // 100]
         parts[level, x // (100 / 2**level), y // (100 / 2**level)] = parts.get((level, x // (100 / 2**level), y // (100 / 2**level)), 0) + 1
     assert (max(n for (level, _, _), n in parts.items() if level < 5) <= most) and (most > 5 or found[0, 0] > 0)
+
+
+def test_chunks_by_parts(monkeypatch):
+    """A batch leaves in parts of bounded size; ids, nulls and blank texts keep their places."""
+    texts = ["One. " * 40, None, "", "  ", "Two sentences. And more. " * 30, "x" * 5000, "Short.", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["doc_id", "text"])
+    monkeypatch.setattr(chunks, "PART", 300)
+    assert list(chunks._parts(pa.array(texts), 300)) == [(0, 4), (4, 5), (5, 6), (6, 8)]
+    assert list(chunks._parts(pa.array([], pa.string()), 300)) == []
+    out = list(chunks._split(iter([batch, batch.slice(3, 0), batch.slice(4)]), "sentences", {}))
+    got = [(i, p) for b in out for i, p in zip(b["doc_id"].to_pylist(), b["pieces"].to_pylist(), strict=True)]
+    want = [(i, [c for c in chunks.by_sentences(t) if c.strip()] if t and t.strip() else []) for i, t in enumerate(texts)]
+    assert got == want + want[4:]
