@@ -427,3 +427,13 @@ def test_chunks_by_parts(monkeypatch):
     got = [(i, p) for b in out for i, p in zip(b["doc_id"].to_pylist(), b["pieces"].to_pylist(), strict=True)]
     want = [(i, [c for c in chunks.by_sentences(t) if c.strip()] if t and t.strip() else []) for i, t in enumerate(texts)]
     assert got == want + want[4:]
+
+
+def test_lines_are_stripped_once(spark):
+    """A line's ends are taken off a fixed number of times, however many rules look at it."""
+    one = T.with_bullets(T.without_headers(F.col("text")))
+    plan = spark.createDataFrame([("a",)], "text string").select(one.alias("out"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") <= 12
+    lines = " • one\n  12) two\n\n기간\n\u00a0조건: x \n제12호\n붙임3\n-\u3000three\n77\nab\nABC 특징\n끝:\n12-"
+    got = plan and spark.createDataFrame([(lines,), (None,), ("",)], "text string").select(one.alias("out")).collect()
+    assert [r["out"] for r in got] == [" • one\n  12)two\n\n • 조건: x\n- three\n• ABC 특징\n12-", None, ""]
