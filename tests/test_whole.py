@@ -10,6 +10,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
@@ -113,6 +114,21 @@ def test_candidates_beyond_fifty(spark, tmp_path):
         same(df, c.execute(catalog.ORACLE[name]))
 
 
+def _unhinted(spark, sf, name):
+    """The plan of a query where only hints broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["understanding", "ir_summary", "contexts", "ir_metrics", "search_log"])
+def test_texts_are_not_shuffled(spark, sf, name):
+    """Only the texts of the best documents leave the task that reads them."""
+    assert "Exchange hashpartitioning(doc_id" not in _unhinted(spark, sf, name)
+
+
 def test_units_with_ties(spark, tmp_path):
     """Rows of one key and line number give the same unit in whatever order they lie."""
     kind, rows = "l_orderkey bigint, l_returnflag string, l_linestatus string, l_linenumber int, l_quantity double", [(k, "N", "O", 1, float(q)) for k in range(20) for q in (9, 4, 7, 30)]
