@@ -129,6 +129,12 @@ def test_texts_are_not_shuffled(spark, sf, name):
     assert "Exchange hashpartitioning(doc_id" not in _unhinted(spark, sf, name)
 
 
+def test_vectors_are_not_shuffled(spark, sf):
+    """Only the vectors of items and of their candidates leave the task that reads them."""
+    plan = _unhinted(spark, sf, "semantic_rerank")
+    assert plan.count("FileScan parquet [vec_id") == plan.count("LeftSemi, BuildRight") == 2
+
+
 def test_units_with_ties(spark, tmp_path):
     """Rows of one key and line number give the same unit in whatever order they lie."""
     kind, rows = "l_orderkey bigint, l_returnflag string, l_linestatus string, l_linenumber int, l_quantity double", [(k, "N", "O", 1, float(q)) for k in range(20) for q in (9, 4, 7, 30)]
