@@ -183,6 +183,33 @@ def test_postings_of_terms(spark):
     assert {r["term"] for r in some.postings.select("term").distinct().collect()} == {"w1", "w2", "w3", "w7", "w29"}
 
 
+def test_postings_of_shared_ids(spark):
+    """Rows of one id are one text, also where they are cut within what is asked for; texts without words count as texts."""
+    parts = [(1, "w1 w2"), (1, "w2 x"), (1, None), (2, "w1 y"), (3, ""), (3, "!"), (4, "z z w2"), (None, "w1")]
+    whole = [(1, "w1 w2 w2 x"), (2, "w1 y"), (3, "!"), (4, "z z w2")]
+    queries = spark.createDataFrame([(1, "w1 w2 q9"), (2, "w2")], "query_id int, query string")
+    plain = lambda rows, **o: sorted(map(tuple, postings.scores(postings.build(spark.createDataFrame(rows, "id long, content string"), **o), queries).collect()))
+    want = plain(whole)
+    assert len(want) == 5 and plain(parts) == want == plain(parts, terms=postings.terms_of(queries).select("term")) == plain(whole, terms=postings.terms_of(queries).select("term"))
+
+
+def test_postings_move_once(spark, monkeypatch):
+    """No step of the index joins postings with lengths by shuffling, nor do the first blocks of a search shuffle them."""
+    plans = {}
+    write = type(spark.range(1).write).parquet
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda self, path: (plans.update({path.rsplit("/", 1)[1]: self._df._jdf.queryExecution().executedPlan().toString()}), write(self, path))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        queries = spark.createDataFrame([(1, "w1 w2")], "query_id int, query string")
+        index = postings.build(spark.createDataFrame([(i, f"w{i % 4} w1 x") for i in range(20)], "id long, content string"), terms=postings.terms_of(queries).select("term"))
+        assert postings.top_k(index, queries, 3).count() == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {"words", "postings", "first"} <= set(plans)
+    shuffled = [name for name, plan in plans.items() if name not in ("wanted", "bounds", "first") and "SortMergeJoin" in plan]
+    assert not shuffled and "BroadcastHashJoin [term" in plans["first"], shuffled
+
+
 def test_encoder_plans(spark, monkeypatch):
     """No plan of the encoder has more expressions than a few a dimension: the Gram matrix and the turn are not spelt out."""
     most = []
