@@ -235,3 +235,18 @@ def test_distances_once(spark):
         rows = list(map(tuple, df.collect()))
         assert len(rows) == len(set(rows)) and len({r[:2] for r in rows}) == 600
     assert aggregates(one) < aggregates(two)
+
+
+def test_pairs_are_spread(spark):
+    """Pairs of small tables are made by many tasks, whichever table is larger, and metres are rounded as before."""
+    rng = random.Random(5)
+    spot = lambda n: [(i, rng.uniform(0, 900), rng.uniform(0, 900)) for i in range(n)]
+    few, many = spot(40), spot(700)
+    for homes, places in ((few, many), (many, few)):
+        h, p = spark.createDataFrame(homes, "h int, x double, y double"), spark.createDataFrame(places, "p int, x double, y double")
+        pairs = spatial.within(h, p, 100.0, F.when(F.col("p") % 2 == 0, 100.0).otherwise(50.0), most=20)
+        assert pairs.select(F.spark_partition_id().alias("n")).distinct().count() > 8
+        got = sorted((r["h"], r["p"]) for r in pairs.collect())
+        assert got == sorted((i, j) for i, a, b in homes for j, c, d in places if ((a - c) ** 2 + (b - d) ** 2) ** 0.5 <= (50 if j % 2 else 100))
+    edges = spark.createDataFrame([(x,) for x in (0.0, 0.49999999999999994, 0.5, 1.5, 2.5, 500.49999999999994, 500.5, 999.9999999)], "d double")
+    assert all(r[0] == r[1] for r in edges.select(spatial.whole(F.col("d")), F.round("d").cast("bigint")).collect())
