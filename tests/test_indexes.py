@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.vectors import cosine
-from lodestrata.operators import encoder, ivf, layout, postings, refresh, search, spatial
+from lodestrata.operators import encoder, ivf, layout, postings, reach, refresh, search, spatial
 
 
 @pytest.mark.parametrize("first", [1, 3])
@@ -250,3 +250,42 @@ def test_pairs_are_spread(spark):
         assert got == sorted((i, j) for i, a, b in homes for j, c, d in places if ((a - c) ** 2 + (b - d) ** 2) ** 0.5 <= (50 if j % 2 else 100))
     edges = spark.createDataFrame([(x,) for x in (0.0, 0.49999999999999994, 0.5, 1.5, 2.5, 500.49999999999994, 500.5, 999.9999999)], "d double")
     assert all(r[0] == r[1] for r in edges.select(spatial.whole(F.col("d")), F.round("d").cast("bigint")).collect())
+
+
+def test_sums_within_reach():
+    """Sums and nearest places of the grid against all pairs: even, dense, repeated, single and no places, points on the circle's edge."""
+    rng = np.random.default_rng(7)
+    even, dense = rng.uniform(0, 900, (3000, 2)), rng.normal(450, 3, (2000, 2))
+    edge = np.array([[500.0, 0.0], [0.0, 500.0], [300.0, 400.0], [500.0000001, 0.0]])
+    for places in (even, np.concatenate([even[:50], dense]), np.repeat(even[:20], 2, axis=0), edge, edge[:1], edge[:0]):
+        points = np.concatenate([rng.uniform(-400, 1400, (300, 2)), rng.normal(450, 200, (100, 2)), [[0.0, 0.0], [1000.0, 0.0]]])
+        weight = rng.integers(1, 4, len(places)).astype(float)
+        grid = reach.Grid(places[:, 0], places[:, 1], weight, 500.0)
+        d = np.sqrt((points[:, 0, None] - places[:, 0]) ** 2 + (points[:, 1, None] - places[:, 1]) ** 2)
+        assert (grid.total(points[:, 0], points[:, 1]) == ((d <= 500) * weight).sum(axis=1)).all()
+        least = d.min(axis=1, initial=np.inf)
+        assert np.array_equal(grid.nearest(points[:, 0], points[:, 1]), np.where(least <= 500, least, np.nan), equal_nan=True)
+
+
+def _city(spark, rng, more_homes=(), more_places=()):
+    spot = lambda: (126.98 + rng.uniform(0, 0.02), 37.56 + rng.uniform(0, 0.02))
+    homes = [(i, f"t{i}", *spot()) for i in range(60)] + [(60, "far", 128.0, 36.0), (61, "none", None, 37.5), (None, "null", *spot()), *more_homes]
+    places = [(i, rng.choice([f"n{i % 7}", None]), rng.choice(["col", "park", "hos", "xyz"]), *spot()) for i in range(80)] + [(None, "x", "park", *spot()), *more_places]
+    stops = [(i, f"s{i}", rng.choice(["subway", "bus", "ship"]), rng.random() < 0.3, *spot()) for i in range(200)]
+    at = "lon double, lat double"
+    return spark.createDataFrame(homes, f"notice_id int, title string, {at}"), spark.createDataFrame(places, f"facility_id int, name string, cd string, {at}"), spark.createDataFrame(stops, f"id int, name string, transport_type string, is_transfer boolean, {at}")
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_summary_without_pairs(spark, repeated):
+    """Summaries and scores are the same whether distances are handed in or not, with missing ids and names, ids of several points and rows; scores group no pairs."""
+    rng = random.Random(11)
+    more = [(3, "t3", 126.99, 37.57), (4, "t4", 126.985, 37.565), (4, "t4", 126.985, 37.565)] if repeated else [], [(5, "again", "park", 126.99, 37.57), (6, "n6", "col", 126.985, 37.565)] if repeated else []
+    homes, places, stops = _city(spark, rng, *more)
+    rows = lambda df: sorted((tuple(sorted(v.items()) if isinstance(v, dict) else v for v in r) for r in df.collect()), key=str)
+    want = rows(spatial.summary(homes, places, stops, spatial.distances(homes, places)))
+    assert rows(spatial.summary(homes, places, stops)) == want and any(len(r[2]) == 4 for r in want)
+    scored = spatial.scores(homes, places, stops)
+    assert rows(scored) == sorted(((r[0], r[-1]) for r in want), key=str)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert repeated or ("SQRT" not in plan and "collect_list" not in plan and "MapInArrow" in plan)
