@@ -289,3 +289,20 @@ def test_summary_without_pairs(spark, repeated):
     assert rows(scored) == sorted(((r[0], r[-1]) for r in want), key=str)
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert repeated or ("SQRT" not in plan and "collect_list" not in plan and "MapInArrow" in plan)
+
+
+def test_encoder_blocks(spark, tmp_path, monkeypatch):
+    """Vectors are moved for the terms of a block, not for those of each text, and blocks change nothing; texts of one id are one text."""
+    rng = random.Random(2)
+    texts = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(30))) for i in range(300)]
+    kind = "id long, content string"
+    docs, split = spark.createDataFrame(texts, kind), spark.createDataFrame([(i, part) for i, t in texts for part in (t[: len(t) // 2].rpartition(" ")[0], t[len(t[: len(t) // 2].rpartition(" ")[0]) :])], kind)
+    vectors = lambda d: np.array([r["embedding"] for r in sorted(encoder.encode(d, encoder.fit(d, 16)).collect(), key=lambda r: r["id"])])
+    monkeypatch.setattr(encoder, "shared_folder", lambda s, name: f"file://{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}")
+    one = vectors(docs)
+    moved = spark.read.parquet(f"file://{tmp_path}/encoder-0/dictionaries-0")
+    assert moved.count() == moved.select("b", "term").distinct().count() == 40
+    monkeypatch.setattr(encoder, "BLOCK", 3000)
+    many, again = vectors(docs), vectors(split)
+    assert 40 < spark.read.parquet(f"file://{tmp_path}/encoder-1/dictionaries-0").count() <= 40 * 20
+    assert one.shape == (300, 16) and np.allclose(one @ one.T, many @ many.T, atol=1e-5) and np.allclose(one @ one.T, again @ again.T, atol=1e-5)
