@@ -306,3 +306,16 @@ def test_encoder_blocks(spark, tmp_path, monkeypatch):
     many, again = vectors(docs), vectors(split)
     assert 40 < spark.read.parquet(f"file://{tmp_path}/encoder-1/dictionaries-0").count() <= 40 * 20
     assert one.shape == (300, 16) and np.allclose(one @ one.T, many @ many.T, atol=1e-5) and np.allclose(one @ one.T, again @ again.T, atol=1e-5)
+
+
+def test_larger_table_moves_once(spark):
+    """Points of the larger table are not copied, those of the smaller one only to the parts that their own circle touches."""
+    rng = random.Random(6)
+    spot = lambda n: [(i, rng.uniform(0, 3000), rng.uniform(0, 3000)) for i in range(n)]
+    h, p = spark.createDataFrame(spot(2000), "h int, x double, y double"), spark.createDataFrame(spot(30), "p int, x double, y double")
+    inside, around = spatial.dealt(h, p, 1000.0, F.lit(500.0), most=100)
+    whole = spatial.dealt(h, p, 1000.0, most=100)[1]
+    assert inside.count() == 2000 and around.count() < 0.6 * whole.count()
+    plan = spatial.within(h, p, 1000.0)._jdf.queryExecution().optimizedPlan().toString()
+    copied = [line for line in plan.splitlines() if "Generate explode" in line and "_hx" in line]
+    assert "_px" in plan and not copied
