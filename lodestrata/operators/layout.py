@@ -9,7 +9,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,12 +98,11 @@ def table_score(cells: Column) -> Column:
 def best_tables(candidates: DataFrame) -> DataFrame:
     """Of the candidates (file, page, strategy, table_no, cells) the strategy of the greatest score on each page, then distinct tables."""
     scored = candidates.withColumn("score", table_score(F.col("cells")))
-    total = scored.groupBy(*PAGE, "strategy").agg(F.sum("score").alias("_total"))
-    best = total.groupBy(*PAGE).agg(F.max_by("strategy", F.struct("_total", "strategy")).alias("strategy"))
+    page = Window.partitionBy(*PAGE)
+    totals = scored.withColumn("_total", F.sum("score").over(page.orderBy("strategy").rangeBetween(Window.currentRow, Window.currentRow)))
+    best = totals.withColumn("_best", F.max(F.struct("_total", "strategy")).over(page)["strategy"]).where("strategy = _best").drop("_total", "_best")
     text = F.md5(F.array_join(F.transform("cells", lambda r: F.array_join(r, "\x1f", "")), "\x1e"))
-    chosen = best.select(F.col("file").alias("_f"), F.col("page").alias("_p"), F.col("strategy").alias("_s"))
-    same = F.col("file").eqNullSafe(F.col("_f")) & F.col("page").eqNullSafe(F.col("_p")) & (F.col("strategy") == F.col("_s"))
-    kept = scored.join(chosen, same).drop("_f", "_p", "_s").withColumn("_text", text)
+    kept = best.withColumn("_text", text)
     rank = F.row_number().over(Window.partitionBy("file", "_text").orderBy("page", "table_no"))
     return kept.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_text")
 
@@ -144,41 +142,76 @@ def grouped_sections(sections: DataFrame, small: int = 100, block: int = SECTION
     return joined.select("file", F.col("_group").alias("no"), "title", F.array_join(F.transform("_parts", lambda x: F.coalesce(x["content"], F.lit(""))), "\n").alias("content"))
 
 
-def _tables(page: pd.DataFrame, gap: float, share: float) -> pd.DataFrame:
-    """Candidates of one page by both strategies.
+def _page_tables(lines: np.ndarray, x: np.ndarray, wide: np.ndarray, text: list[str], gap: float, share: float) -> Iterator[tuple[str, int, list[str]]]:
+    """Strategy, columns and cells, row by row, of the candidates of one page, whose words are in the order of line, x and seq.
 
     Rows are the page's lines. "gaps" puts a column's end where a histogram of the page's width has an empty stretch of ``gap``
     or more; "aligned" starts one where at least ``share`` of the rows have a word.
     """
-    page = page.sort_values(["line_no", "x", "seq"], kind="stable")
-    rows = [r for _, r in page.groupby("line_no", sort=True)]
-    left, right = page["x"].round(3), (page["x"] + page["width"]).round(3)
-    spans, ends = sorted(zip(left, right, strict=True)), []
-    reach = None
-    for a, b in spans:
+    left, right = x.round(3), (x + wide).round(3)
+    ends, reach = [], None
+    there = ~np.isnan(left + right)
+    for a, b in sorted(set(zip(left[there].tolist(), right[there].tolist(), strict=True))):
         if reach is not None and a - reach >= gap:
             ends.append((reach + a) / 2)
         reach = b if reach is None else max(reach, b)
-    found = {"gaps": ends}
-    starts = page.groupby(left)["line_no"].nunique()
-    found["aligned"] = [x - 1e-6 for x in starts.index[starts >= share * len(rows)]][1:]
-    out = []
-    for strategy, cuts in found.items():
-        cells = []
-        for r in rows:
-            row = [[] for _ in range(len(cuts) + 1)]
-            for x, text in zip(r["x"], r["text"], strict=True):
-                row[int(np.searchsorted(cuts, x, "right"))].append(text)
-            cells.append([" ".join(c) for c in row])
-        out.append({"file": page["file"].iloc[0], "page": page["page"].iloc[0], "strategy": strategy, "table_no": 0, "cells": cells})
-    return pd.DataFrame(out)
+    row = np.cumsum(np.concatenate([[0], lines[1:] != lines[:-1]]))
+    n = int(row[-1]) + 1
+    starts, which = np.unique(left, return_inverse=True)
+    held = np.bincount(np.unique(which * n + row) // n, minlength=len(starts))
+    for strategy, cuts in (("gaps", ends), ("aligned", (starts[(held >= share * n) & ~np.isnan(starts)] - 1e-6)[1:])):
+        columns = len(cuts) + 1
+        cell = row * columns + np.searchsorted(cuts, x, "right")
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])).tolist()
+        cells = [""] * (n * columns)
+        for a, b, at in zip(first, [*first[1:], len(text)], cell[first].tolist(), strict=True):
+            cells[at] = " ".join(text[a:b])
+        yield strategy, columns, cells
+
+
+def _tables(batches: Iterator[pa.RecordBatch], gap: float, share: float) -> Iterator[pa.RecordBatch]:
+    """Candidates of the pages of words sorted by page; the last page of a batch may go on in the next."""
+    names, pages = ["file", "page", "strategy", "table_no", "cells"], pa.list_(pa.list_(pa.string()))
+
+    def made(words: pa.Table) -> pa.RecordBatch:
+        words = words.combine_chunks()
+        lines, x, wide = (words[c].to_numpy() for c in ("line_no", "x", "width"))
+        text, at, found, out = words["text"].to_pylist(), _starts(words), [], [[0], [0], []]
+        for k, (a, b) in enumerate(zip(at, [*at[1:], words.num_rows], strict=True)):
+            for strategy, columns, cells in _page_tables(lines[a:b], x[a:b], wide[a:b], text[a:b], gap, share):
+                found.append((at[k], strategy))
+                out[2] += cells
+                out[1] += range(out[1][-1] + columns, out[1][-1] + len(cells) + 1, columns)
+                out[0].append(len(out[1]) - 1)
+        rows = pa.ListArray.from_arrays(pa.array(out[1], pa.int32()), pa.array(out[2], pa.string()))
+        where = pa.array([a for a, _ in found], pa.int64())
+        held = [words[c].combine_chunks().take(where) for c in PAGE]
+        return pa.RecordBatch.from_arrays([*held, pa.array([c for _, c in found], pa.string()), pa.array([0] * len(found), pa.int32()), pa.ListArray.from_arrays(pa.array(out[0], pa.int32()), rows).cast(pages)], names)
+
+    rest = None
+    for batch in batches:
+        words = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        last = _starts(words)[-1] if words.num_rows else 0
+        if last:
+            yield made(words.slice(0, last))
+        rest = words.slice(last)
+    if rest is not None and rest.num_rows:
+        yield made(rest)
+
+
+def _starts(words: pa.Table) -> list[int]:
+    """Numbers of the rows that begin a page."""
+    keys = [words[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in PAGE]
+    return [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist()]
 
 
 def table_candidates(glyphs: DataFrame, gap: float = GAP, share: float = ALIGNED) -> DataFrame:
-    """Candidates for best_tables() from placed words (file, page, line_no, seq, x, width, text): file, page, strategy, table_no and cells. A page is a task's group."""
+    """Candidates for best_tables() from placed words (file, page, line_no, seq, x, width, text): file, page, strategy, table_no and cells. Words without a line are in no table."""
     kinds = f"file {glyphs.schema['file'].dataType.simpleString()}, page {glyphs.schema['page'].dataType.simpleString()}"
-    picked = glyphs.select(*PAGE, "line_no", "seq", "x", "width", "text")
-    return picked.groupBy(*PAGE).applyInPandas(partial(_tables, gap=gap, share=share), f"{kinds}, strategy string, table_no int, cells array<array<string>>")
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c)  # noqa: E731  a missing place comes last
+    picked = glyphs.where("line_no IS NOT NULL").select(*PAGE, "line_no", "seq", number("x"), number("width"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = picked.repartition(*PAGE).sortWithinPartitions(*PAGE, "line_no", "x", "seq")
+    return dealt.mapInArrow(partial(_tables, gap=gap, share=share), f"{kinds}, strategy string, table_no int, cells array<array<string>>")
 
 
 def outcome(files: DataFrame) -> DataFrame:

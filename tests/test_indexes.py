@@ -319,3 +319,32 @@ def test_larger_table_moves_once(spark):
     plan = spatial.within(h, p, 1000.0)._jdf.queryExecution().optimizedPlan().toString()
     copied = [line for line in plan.splitlines() if "Generate explode" in line and "_hx" in line]
     assert "_px" in plan and not copied
+
+
+def test_table_candidates_over_batches(spark):
+    """Pages go on over the ends of Arrow batches, none runs into the next, null names are pages of their own; no page is a group of its own in Python."""
+    rng = random.Random(9)
+    rows = [(f, p, rng.randrange(4) * 2, i, f"{f}{p}.{i}", rng.choice([0.0, 30.0, 61.0, 90.5]) + rng.choice([0.0, 0.0, 0.0, 5.0]), 10.0) for f in ("a", "b", None) for p in (1, 2, None) for i in range(rng.randrange(25) + 1)]
+    want = {}
+    for key in {r[:2] for r in rows}:
+        held = sorted((r for r in rows if r[:2] == key), key=lambda r: (r[2], r[5], r[3]))
+        numbers = sorted({r[2] for r in held})
+        ends, reach = [], None
+        for x in sorted({r[5] for r in held}):
+            ends += [(reach + x) / 2] if reach is not None and x - reach >= 15 else []
+            reach = x + 10 if reach is None else max(reach, x + 10)
+        starts = [x for x in sorted({r[5] for r in held}) if len({r[2] for r in held if r[5] == x}) >= 0.6 * len(numbers)]
+        for strategy, cuts in (("gaps", ends), ("aligned", [x - 1e-6 for x in starts[1:]])):
+            column = lambda x: sum(x >= c for c in cuts)  # noqa: B023, E731
+            want[*key, strategy] = [[" ".join(r[4] for r in held if r[2] == n and column(r[5]) == c) for c in range(len(cuts) + 1)] for n in numbers]
+    words = spark.createDataFrame(rows, "file string, page int, line_no int, seq int, text string, x double, width double")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        found = layout.table_candidates(words)
+        got = {(r["file"], r["page"], r["strategy"]): r["cells"] for r in found.collect()}
+        plan = layout.best_tables(found)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert got == want and "InPandas" not in plan and plan.count("MapInArrow") == 1
